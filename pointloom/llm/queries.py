@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, pii, secrets
+from . import bpe, langid, licences, pii, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,13 +39,17 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs, ~F.col("held_out")), ["doc_id", "held_out"])
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal(table(spark, sf_dir, "documents"), pii.train_on(pii.labelled_table(spark)))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_bpe, op6_langid, op10_pii)}
+    return {f.__name__: f for f in (op1_secrets, op2_bpe, op6_langid, op8_licences, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_licences": licences.oracle()}
