@@ -21,8 +21,8 @@ PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general publi
 #: (label, keyword, name): each makes a rule for the name with "license", for a grant under it, and for its identifier.
 NAMES = (
     ("mit", "mit", "mit|expat|x11"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)? (?:version |v)?1 1"),
-    ("apache-2.0", "apache", "apache(?: software)?(?: license)? (?:version |v)?2(?: 0)?"),
+    ("apache-1.1", "apache", "apache(?: software)?(?: licen[cs]e)? (?:version |v)?1 1"),
+    ("apache-2.0", "apache", "apache(?: software)?(?: licen[cs]e)? (?:version |v)?2(?: 0)?"),
     ("apache", "apache", "apache(?: software)?"),
     ("gpl-1.0", "gpl", "gplv1|gpl (?:version |v)?1(?: 0)?"),
     ("gpl-2.0", "gpl", "gplv2|gpl (?:version |v)?2(?: 0)?"),
@@ -126,7 +126,7 @@ def rules() -> list[tuple[str, str, str, int]]:
     """(label, keyword, regex, priority); the regexes stand between spaces, with two spaces between words."""
     out = []
     for label, keyword, name in NAMES:
-        ended = f"(?:{name})" + r"(?: (?:software |open source )?licen[cs]e)?(?: (?:version |v)?[0-9]+(?: 0)?)?"
+        ended = f"(?:{name})(?: (?:software |open source )?licen[cs]e)?"
         out += [
             (label, "licen", f"(?:{name}) (?:software |open source )?licen[cs]e(?:s|d)?", 1),
             (label, "under", f"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{ended}", 2),
