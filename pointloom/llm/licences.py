@@ -133,7 +133,7 @@ def rules() -> list[tuple[str, str, str, int]]:
             (label, "spdx", f"spdx licen[cs]e identifier {label.replace('-', ' ').replace('.', ' ')}(?: only| or later)?", 4),
         ]
     out += [(label, keyword, rx, 3) for label, keyword, rx in SENTENCES]
-    return [(label, keyword, f" (?:{rx.replace(' ', '  ')}) ", priority) for label, keyword, rx, priority in out]
+    return [(label, keyword.replace(" ", "  "), f" (?:{rx.replace(' ', '  ')}) ", priority) for label, keyword, rx, priority in out]
 
 
 def base_places(words: Column, norm: Column, phrase: str) -> Column:
