@@ -122,15 +122,6 @@ def byte_table(kind: str) -> np.ndarray:
     return t
 
 
-def checkpoint_dir(df: DataFrame) -> None:
-    """Use the shared folder the cluster names; set one only where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
 class HashIndex:
     """Finds 64-bit keys in a fixed set: open addressing with linear probing, all in numpy."""
 
@@ -167,3 +158,17 @@ class HashIndex:
             go = (got >= 0) & ~same
             todo, at = todo[go], at[go]
         return out
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder in ``spark.checkpoint.dir`` and read it: later steps start from there, and a
+    lost executor costs no more than that. Without that setting, as in tests, a local folder is used. The tables stay
+    below ``pointloom-tables`` there, for the owner of the folder to clear after the job."""
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-tables-")
+    path = f"{root}/pointloom-tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
