@@ -66,3 +66,28 @@ def distance_within(a: list, b: list, most: int) -> int | None:
         if band >= most:
             return None
         band = min(most, band * 6)
+
+
+def best_ends(pattern, text, most: int) -> tuple[int, int] | None:
+    """(distance, end) of the closest stretch of ``text`` to the whole pattern, the first of equals; None beyond ``most``.
+
+    Bit vectors over the pattern, a text unit at a time; the stretch may begin anywhere at no cost.
+    """
+    m = len(pattern)
+    where: dict = {}
+    for i, x in enumerate(pattern):
+        where[x] = where.get(x, 0) | 1 << i
+    get, full, top = where.get, (1 << m) - 1, 1 << (m - 1)
+    up, down, score, best = full, 0, m, (most + 1, 0)
+    for j, x in enumerate(text):
+        match = get(x, 0)
+        diagonal = ((((match & up) + up) ^ up) | match | down) & full
+        right = (down | ~(diagonal | up)) & full
+        left = diagonal & up
+        score += bool(right & top) - bool(left & top)
+        if score < best[0]:
+            best = score, j + 1
+        right <<= 1
+        up = (left << 1 | ~(diagonal | right)) & full
+        down = diagonal & right & full
+    return best if best[0] <= most else None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licences, neardup, pii, secrets
+from . import bpe, decontaminate, langid, licences, neardup, pii, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def ranks_file() -> bytes:
     import public_tokenizers
 
@@ -52,7 +56,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_bpe, op3_neardup, op6_langid, op8_licences, op10_pii)}
+    return {f.__name__: f for f in (op1_secrets, op2_bpe, op3_neardup, op4_decontaminate, op6_langid, op8_licences, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
