@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licences, neardup, pii, secrets
+from . import bpe, decontaminate, html, langid, licences, neardup, pii, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks_file(), public_tokenizers.PATTERN, "digest")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"))
     return langid.identify(docs, langid.fit(docs, ~F.col("held_out")), ["doc_id", "held_out"])
@@ -56,7 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_bpe, op3_neardup, op4_decontaminate, op6_langid, op8_licences, op10_pii)}
+    return {f.__name__: f for f in (op1_secrets, op2_bpe, op3_neardup, op4_decontaminate, op5_html, op6_langid, op8_licences, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
