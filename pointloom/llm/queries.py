@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, langid, licences, neardup, pii, secrets
+from . import bpe, decontaminate, html, langid, licences, lm, neardup, pii, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs, ~F.col("held_out")), ["doc_id", "held_out"])
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder(5) == 1, F.lit(False)).alias("held_out"))
+    return lm.score(docs, "held_out")
+
+
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_bpe, op3_neardup, op4_decontaminate, op5_html, op6_langid, op8_licences, op10_pii)}
+    return {f.__name__: f for f in (op1_secrets, op2_bpe, op3_neardup, op4_decontaminate, op5_html, op6_langid, op7_lm, op8_licences, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
