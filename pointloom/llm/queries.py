@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, langid, licences, lm, neardup, pii, secrets
+from . import bpe, decontaminate, html, jpeg, langid, licences, lm, neardup, pii, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,12 +60,16 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal(table(spark, sf_dir, "documents"), pii.train_on(pii.labelled_table(spark)))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_bpe, op3_neardup, op4_decontaminate, op5_html, op6_langid, op7_lm, op8_licences, op10_pii)}
+    return {f.__name__: f for f in (op1_secrets, op2_bpe, op3_neardup, op4_decontaminate, op5_html, op6_langid, op7_lm, op8_licences, op9_jpeg, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
