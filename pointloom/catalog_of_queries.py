@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans import ORACLES, QUERIES
+from .plans import clouds, grasping  # noqa: F401  they register themselves
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
