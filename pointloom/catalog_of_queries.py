@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .plans import ORACLES, QUERIES
-from .plans import clouds, grasping  # noqa: F401  they register themselves
+from .plans import cataloging, clouds, grasping, learning, stream_twins, surfaces  # noqa: F401  they register themselves
 
 
 def queries() -> dict:

@@ -24,7 +24,8 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 def depth(spark: SparkSession, d: str) -> DataFrame:
     """frame_id, v, u, d: an image of each label."""
     t = table(spark, d, "embeddings")
-    t = t.selectExpr("label frame_id", "cast(row_number() over (partition by label order by vec_id) - 1 as long) v", "posexplode(embedding) as (u, e)")
+    t = t.selectExpr("label frame_id", "cast(row_number() over (partition by label order by vec_id) - 1 as long) v", "embedding")
+    t = t.selectExpr("frame_id", "v", "posexplode(embedding) as (u, e)")
     return t.selectExpr("frame_id", "v", "u", "case when cast(e as double) > 0.4 then 0 else cast(floor((cast(e as double) + 1) * 800) as int) end d")
 
 
