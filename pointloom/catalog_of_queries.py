@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .plans import ORACLES, QUERIES
-from .plans import cataloging, clouds, draws, grasping, learning, shapes, stream_twins, surfaces  # noqa: F401  they register themselves
+from .plans import cataloging, clouds, composed, draws, grasping, learning, shapes, stream_twins, surfaces  # noqa: F401  they register themselves
 
 
 def queries() -> dict:
