@@ -99,3 +99,46 @@ def logistic_terms(df: DataFrame, xs: list[str], y: str, beta: list[float]) -> D
     s = e.select(F.explode(F.array(*terms)).alias("e")).groupBy("e.i", "e.j").agg(F.sum("e.v").alias("s"))
     two = F.element_at(F.array(*[F.lit(2.0 * b) for b in beta]), F.col("i") + 1)
     return s.withColumn("s", F.col("s") + F.when(F.col("j") == -1, two).otherwise(0.0))
+
+
+def face_basis(corners: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Rotation of each face's stable pose: z along the normal on the side that holds the mesh's middle, x the principal
+    axis of the vertices seen along z, y = z cross x. Rows r0 (x), r1 (y), r2 (z) as x, y, z columns."""
+    from ..functions import cross, dot, named, once, sub, unit, vec
+
+    mid = vertices.groupBy("mesh_id").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
+    cov = vertices.groupBy("mesh_id").agg(*[F.covar_pop(a, b).alias(f"s{a}{b}") for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")])
+    at = lambda n: tuple(F.col(f"{c}{n}") for c in "xyz")
+    f = once(corners.join(mid, "mesh_id").join(cov, "mesh_id"), *named(unit(cross(sub(at(2), at(1)), sub(at(3), at(1)))), "n"))
+    side = F.when(dot(vec("n"), sub(vec("m"), at(1))) < 0, -1.0).otherwise(1.0)
+    f = once(f, *[(F.col(f"n{c}") * side).alias(f"r2{c}") for c in "xyz"]).where("r2x is not null")
+    # any two axes across z: the one closest to x (or y), and its partner
+    ref = F.abs(F.col("r2x")) > 0.9
+    e = (F.when(ref, 0.0).otherwise(1.0), F.when(ref, 1.0).otherwise(0.0), F.lit(0.0))
+    f = once(f, dot(e, vec("r2")).alias("_d"))
+    f = once(f, *named(unit(tuple(a - F.col("_d") * b for a, b in zip(e, vec("r2"), strict=True))), "u"))
+    f = once(f, *named(cross(vec("r2"), vec("u")), "v"))
+    s = {a + b: F.col(f"s{min(a, b)}{max(a, b)}") for a in "xyz" for b in "xyz"}
+    form = lambda p, q: sum((F.col(f"{p}{a}") * s[a + b] * F.col(f"{q}{b}") for a in "xyz" for b in "xyz"), F.lit(0.0))
+    f = once(f, form("u", "u").alias("_a"), form("u", "v").alias("_b"), form("v", "v").alias("_c"))
+    f = once(f, (F.atan2(2 * F.col("_b"), F.col("_a") - F.col("_c")) / 2).alias("_t"))
+    f = once(f, *[(F.cos("_t") * F.col(f"u{c}") + F.sin("_t") * F.col(f"v{c}")).alias(f"r0{c}") for c in "xyz"])
+    f = once(f, *named(cross(vec("r2"), vec("r0")), "r1"))
+    return f.select("mesh_id", "fid", *[f"r{k}{c}" for k in range(3) for c in "xyz"])
+
+
+def perturb_objects(meshes: DataFrame, n: int, seed: int, shift: float, size: float) -> DataFrame:
+    """n copies of each mesh's placement (mesh_id): a scale (at least 0.01) and a shift of its mass centre."""
+    from ..functions import gauss
+
+    g = meshes.select("mesh_id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    key = lambda k: (F.col("mesh_id"), F.col("copy"), F.lit(k))
+    return g.select("mesh_id", "copy", F.greatest(1 + size * gauss(seed, *key("s")), F.lit(0.01)).alias("scale"), *[(shift * gauss(seed, *key(c))).alias(f"d{c}") for c in "xyz"])
+
+
+def candidates(grasps: DataFrame, poses: DataFrame, min_p: float, max_deg: float, points: DataFrame) -> DataFrame:
+    """Grasps with their object's stable poses (cloud_id, pose_id, p) of p above the minimum whose approach is within the
+    angle of the pose's normal (here the table's z), flagged free if their hand meets no point; colliding ones stay."""
+    near = G.table_angles(grasps).where(F.least("approach_angle", F.pi() - F.col("approach_angle")) <= F.radians(F.lit(max_deg))).select("grasp_id")
+    free = G.collisions(points, grasps).select("grasp_id", F.expr("not left and not right and not bottom").alias("free"))
+    return grasps.join(near, "grasp_id", "left_semi").join(poses.where(F.col("p") > min_p), "cloud_id").join(free, "grasp_id").select("grasp_id", "pose_id", "p", "free")

@@ -80,3 +80,27 @@ def a47b(s, d):
 @query("x03_generate", "select cloud_id, count(*) n from (with r as (select *, row_number() over (partition by cloud_id order by point_id) - 1 pos, count(*) over (partition by cloud_id) n from points), c as (select cloud_id, any_value(n) n from r group by 1), dr as (select cloud_id, slot, floor(" + U.format("'8:' || cloud_id || ':' || slot || ':1'") + "*n) a1, floor(" + U.format("'8:' || cloud_id || ':' || slot || ':2'") + "*n) a2 from c, range(30) s(slot)) select dr.cloud_id, sqrt((q.x-p.x)**2+(q.y-p.y)**2+(q.z-p.z)**2) width from dr join r p on p.cloud_id = dr.cloud_id and p.pos = a1 join r q on q.cloud_id = dr.cloud_id and q.pos = a2) where width > 0.05 and width < 0.3 group by 1")
 def x03(s, d):
     return C.generate("uniform", surface=V.points(s, d), n=30, seed=8, least=0.05, most=0.3).groupBy("cloud_id").agg(F.count("*").alias("n"))
+
+
+@query("a20_face_basis", "select mesh_id, fid, 1.0::double lx, 1.0::double ly, 0.0::double across, 1.0::double hand from corners where fid % 40 = 0", "lx ly across hand")
+def a20(s, d):
+    """What every basis must be: unit axes at right angles, right-handed."""
+    v = V.vertices(s, d)
+    c = M.face_corners(v, V.faces(s, d).where("fid % 40 = 0"))
+    b = C.face_basis(c, v)
+    dots = lambda p, q: sum((F.col(f"{p}{a}") * F.col(f"{q}{a}") for a in "yz"), F.col(f"{p}x") * F.col(f"{q}x"))
+    third = F.expr("r0x*(r1y*r2z-r1z*r2y)+r0y*(r1z*r2x-r1x*r2z)+r0z*(r1x*r2y-r1y*r2x)")
+    return b.select("mesh_id", "fid", F.sqrt(dots("r0", "r0")).alias("lx"), F.sqrt(dots("r1", "r1")).alias("ly"), F.abs(F.round(dots("r0", "r2"), 9)).alias("across"), third.alias("hand"))
+
+
+@query("g06_perturb_objects", "select mesh_id, copy_, greatest(1+0.1*(sqrt(-2*ln(1-" + U.format("'7:' || mesh_id || ':' || copy_ || ':s:u'") + "))*cos(2*pi()*" + U.format("'7:' || mesh_id || ':' || copy_ || ':s:v'") + ")), 0.01) scale from (select distinct mesh_id from vertices), range(10) t(copy_)", "scale")
+def g06(s, d):
+    m = V.vertices(s, d).select("mesh_id").distinct()
+    return C.perturb_objects(m, 10, 7, 0.01, 0.1).select("mesh_id", F.col("copy").cast("long").alias("copy_"), "scale")
+
+
+@query("g14_candidates", """with f as (select grasp_id, bool_or(bx > 0 and bx < 0.125 and bz < 0.01125 and abs(b_y) > 0.0835 and abs(b_y) < 0.109) or bool_or(bx > -0.0225 and bx < 0 and abs(b_y) < 0.109 and bz < 0.01125) hit from (select grasp_id, (x-cx)*apx+(y-cy)*apy+(z-cz)*apz bx, (x-cx)*yx+(y-cy)*yy+(z-cz)*yz b_y, abs((x-cx)*mx+(y-cy)*my+(z-cz)*mz) bz from gpose join points using (cloud_id)) group by 1)
+ select grasp_id, pose_id, p, not hit free from gpose g join (select cast(n_nationkey as varchar) cloud_id, cast(k as bigint) pose_id, 0.1+0.2*k p from nation, range(4) t(k)) q using (cloud_id) join f using (grasp_id) where p > 0.2 and least(acos(greatest(least(apz, 1), -1)), pi()-acos(greatest(least(apz, 1), -1))) <= radians(50)""", "p")
+def g14(s, d):
+    poses = V.table(s, d, "nation").selectExpr("cast(n_nationkey as string) cloud_id", "explode(sequence(0, 3)) k").selectExpr("cloud_id", "cast(k as long) pose_id", "0.1D + 0.2D * k p")
+    return C.candidates(V.grasps(s, d), poses, 0.2, 50.0, V.points(s, d))
