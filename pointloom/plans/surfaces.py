@@ -11,7 +11,7 @@ from . import query
 from . import views as V
 
 _H = "[0.8,-0.6,0.0,0.1,0.6,0.8,0.0,-0.2,0.0,0.0,1.0,0.3]"
-_BACK = "select frame_id, v, u, 0.8*x-0.6*y+0.1 x, 0.6*x+0.8*y-0.2 y, z+0.3 z from (select frame_id, v, u, (u-32)*d*0.001/70 x, (v-25)*d*0.001/70 y, d*0.001 z from depth where d > 0)"
+_BACK = "select frame_id, v, u, 0.8*x-0.6*y+0.1 x, 0.6*x+0.8*y-0.2 y, z+0.3 z from (select frame_id, v, u, (u-32.0::double)*z/70.0::double x, (v-25.0::double)*z/70.0::double y, z from (select *, d*10.0::double*1e-4::double z from depth where d > 0))"
 
 
 @query("p06_scale_mask_depth", "select frame_id, v, u, case when (u + v) % 5 = 0 then 0 else d end d, (case when (u + v) % 5 = 0 then 0 else d end)*2.0*1e-4 depth from depth", "depth")
@@ -70,9 +70,9 @@ def a10(s, d):
     return M.face_areas(_corners(s, d))
 
 
-@query("a11_mesh_volume", f"select mesh_id, abs(sum({_VOL})) volume, abs(sum({_VOL}))*1.2 mass from corners group by 1", "volume mass", places=3)
+@query("a11_mesh_volume", f"select mesh_id, abs(sum({_VOL})) volume, abs(sum({_VOL}))*1.3713 mass from corners group by 1", "volume mass", places=7)
 def a11(s, d):
-    return M.mesh_volume(_corners(s, d), 1.2)
+    return M.mesh_volume(_corners(s, d), 1.3713)
 
 
 _COM = f"select mesh_id, sum(vol*(x1+x2+x3)/4)/sum(vol) com_x, sum(vol*(y1+y2+y3)/4)/sum(vol) com_y, sum(vol*(z1+z2+z3)/4)/sum(vol) com_z from (select *, {_VOL} vol from corners) group by 1"
@@ -189,7 +189,7 @@ def g08(s, d):
     return M.subdivide(_corners(s, d)).groupBy("mesh_id").agg(F.count("*").alias("n"), F.sum(side(1, 2) + side(2, 3) + side(1, 3)).alias("around"))
 
 
-@query("g09_box_mesh", "select mesh_id, (max(x)-min(x))*(max(y)-min(y))*(max(z)-min(z)) volume, true watertight from vertices group by 1", "volume", places=3)
+@query("g09_box_mesh", "select mesh_id, (max(x)-min(x))*(max(y)-min(y))*(max(z)-min(z)) volume, true watertight from vertices group by 1", "volume", places=7)
 def g09(s, d):
     v, f = M.box_mesh(V.vertices(s, d))
     return M.mesh_volume(M.face_corners(v, f)).select("mesh_id", "volume").join(M.is_watertight(f), "mesh_id")
