@@ -16,21 +16,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import HashIndex, map_arrow, mix
 
 CHUNK, OVERLAP, LONG = 1 << 16, 1 << 10, 1 << 20
 #: Characters before a chunk's end in which its boundaries are not trusted; a match looks at most this far ahead.
 MARGIN = 4
-#: Pieces a worker remembers; then it starts over, which bounds its memory.
-REMEMBERED = 200_000
+#: Units a worker remembers; then it starts over, which bounds its memory.
+REMEMBERED = 300_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -38,28 +40,8 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """Merge the pair of lowest rank, the leftmost of equals, until none is left."""
-    if piece in ranks:
-        return (ranks[piece],)
-    if len(piece) > 100:
-        return merge_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    get, none = ranks.get, 1 << 40
-    pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
-    while pairs and (low := min(pairs)) < none:
-        i = pairs.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-        if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], none)
-    return tuple([ranks[p] for p in parts])
-
-
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """The same with a heap over a linked list, in n log n."""
+    """Merge the pair of lowest rank, the leftmost of equals, until none is left: a heap over a linked list, n log n."""
     from heapq import heapify, heappop, heappush
 
     n = len(piece)
@@ -81,20 +63,118 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple([ranks[piece[i : end[i]]] for i in range(n) if alive[i]])
 
 
-class Pieces(dict):
-    """Ids of the pieces met so far."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        got = merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
-        if len(piece) < 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = got
-        return got
+class Encoder:
+    """Ranks, the way to cut a text into units of whole pieces, and the units' ids met so far."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.vocab: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.vocab[rank] = token
+        self.names = [str(i) for i in range(len(self.vocab))]
+        self.known: dict[str, tuple[int, ...]] = {}
+        # every pair of tokens that makes a token
+        pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        self.pairs = HashIndex(mix(np.array([p for p, _ in pairs], np.uint64)))
+        self.made = np.array([r for _, r in pairs] + [NONE], np.int32)
+        self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
+
+    def units(self, text: str) -> list[str]:
+        """Cuts a text at some of its pieces' boundaries.
+
+        Where white space is a single space or line feed between other characters, no match goes on over a space, so
+        each space begins a unit; else the units are the pieces.
+        """
+        parts = text.split(" ")
+        if "" in parts or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
+            return self.pattern.findall(text)
+        return [parts[0], *[" " + p for p in parts[1:]]]
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Find the ids of all units not known yet."""
+        new = set().union(*texts) - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = set().union(*texts)
+        # a run of letters, with or without a space before, is one piece (isalpha is the pattern's letter class)
+        words = [u for u in new if u[1:].isalpha() and (u[0] == " " or u[0].isalpha())]
+        mixed = [(u, [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(u)]) for u in new.difference(words)]
+        coded = [w.encode("utf-8", "surrogatepass") for w in words]
+        get = self.ranks.get
+        todo = [p for p in {*coded, *[p for _, ps in mixed for p in ps]} if p not in self.ranks]
+        short = sorted([p for p in todo if len(p) <= 32], key=len)
+        ids: dict[bytes, tuple[int, ...]] = {}
+        for at in range(0, len(short), 8192):
+            ids.update(zip(short[at : at + 8192], self.merge_many(short[at : at + 8192]), strict=True))
+        ids.update((p, merge_long(p, self.ranks)) for p in todo if len(p) > 32)
+        one = lambda p: ids[p] if (r := get(p)) is None else (r,)
+        self.known.update(zip(words, map(one, coded), strict=True))
+        self.known.update((u, tuple(chain.from_iterable(map(one, ps)))) for u, ps in mixed)
+
+    def merge_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """merge_long() of many short pieces at once: a row for each, one merge in every row at a time."""
+        wide = max(map(len, pieces))
+        flat = np.frombuffer(b"".join(p.ljust(wide, b"\0") for p in pieces), np.uint8).reshape(-1, wide)
+        size = np.array([len(p) for p in pieces])
+        ids = np.where(np.arange(wide) < size[:, None], self.single[flat], np.int32(-1))
+        done: list = [None] * len(pieces)
+        rows = np.arange(len(pieces))
+        made = self._made(ids[:, :-1], ids[:, 1:]) if wide > 1 else np.full((len(pieces), 1), NONE, np.int32)
+        while len(rows):
+            at = made.argmin(1)
+            low = made[np.arange(len(rows)), at]
+            ended = low == NONE
+            if ended.any():
+                for r, x in zip(rows[ended], ids[ended].tolist(), strict=True):
+                    done[r] = tuple(x[: x.index(-1)] if -1 in x else x)
+                go = ~ended
+                rows, ids, made, at, low = rows[go], ids[go], made[go], at[go], low[go]
+                if not len(rows):
+                    break
+            k = np.arange(len(rows))
+            ids[k, at] = low
+            cols = np.arange(ids.shape[1] - 1)
+            ids = np.concatenate((np.take_along_axis(ids, cols + (cols > at[:, None]), 1), np.full((len(rows), 1), -1, np.int32)), 1)
+            if made.shape[1] > 1:
+                cols = np.arange(made.shape[1] - 1)
+                made = np.concatenate((np.take_along_axis(made, cols + (cols >= at[:, None]), 1), np.full((len(rows), 1), NONE, np.int32)), 1)
+            else:
+                made[:] = NONE
+            made[k, at] = self._made(ids[k, at], ids[k, np.minimum(at + 1, ids.shape[1] - 1)])
+            left = np.flatnonzero(at > 0)
+            made[left, at[left] - 1] = self._made(ids[left, at[left] - 1], ids[left, at[left]])
+        return done
+
+    def _made(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the token that two tokens make, or NONE; -1 is no token."""
+        out = np.full(a.shape, NONE, np.int32)
+        both = (a >= 0) & (b >= 0)
+        out[both] = self.made[self.pairs.find(mix(a[both].astype(np.uint64) << np.uint64(32) | b[both].astype(np.uint64)))]
+        return out
+
+    def encode(self, texts: list[list[str]]) -> list[list[int]]:
+        """Ids of texts given as units."""
+        self.learn(texts)
+        get = self.known.__getitem__
+        return [list(chain.from_iterable(map(get, units))) for units in texts]
+
+    def finish(self, texts: list[list[str]], out: str) -> list[tuple]:
+        ids = self.encode(texts)
+        return [(x,) for x in ids] if out == "ids" else [_digest(x, self.names, self.vocab) for x in ids]
+
+
+NONE = 1 << 30
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(ranks: bytes, pattern: str) -> Encoder:
+    """The encoder of a worker process; made once."""
+    key = hashlib.sha256(ranks).digest(), pattern
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(load_ranks(ranks), pattern)
+    return _encoders[key]
 
 
 def cut(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str]]:
@@ -102,11 +182,11 @@ def cut(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int
     return [(0, text)] if len(text) <= chunk else [(at, text[at : at + chunk]) for at in range(0, len(text) - overlap, chunk - overlap)]
 
 
-def stitch(chunks: Iterator[tuple[int, str, list[str] | None]], pattern) -> Iterator[list[str]]:
-    """The pieces of the whole text from its chunks' starts, texts and pieces, in order; one chunk is held at a time."""
+def stitch(chunks: Iterator[tuple[int, str, list[str] | None]], split: Callable[[str], list[str]]) -> Iterator[list[str]]:
+    """The whole text's pieces (or units of them) from its chunks' starts, texts and pieces, in order; one chunk is held at a time."""
     held: tuple[int, str, list[str]] | None = None
     for start, text, found in chunks:
-        found = pattern.findall(text) if found is None else found
+        found = split(text) if found is None else found
         if held is None:
             held = start, text, found
             continue
@@ -124,7 +204,7 @@ def stitch(chunks: Iterator[tuple[int, str, list[str] | None]], pattern) -> Iter
             k = safe[-1] if safe else 0
             yield pieces[:k]
             both = before[ends[k] - at :] + text[stop - start :]
-            held = ends[k], both, pattern.findall(both)
+            held = ends[k], both, split(both)
     if held is not None:
         yield held[2]
 
@@ -151,25 +231,12 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, out: str = "ids", id_col
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     schema = pa.schema([pa.field("id", pa.int64() if id_type in ("bigint", "int") else pa.string()), *fields])
 
-    def tools():
-        table = load_ranks(held.value)
-        vocab: list[bytes] = [b""] * (max(table.values(), default=-1) + 1)
-        for token, rank in table.items():
-            vocab[rank] = token
-        names, known = [str(i) for i in range(len(vocab))], Pieces(table)
-
-        def finish(pieces) -> tuple:
-            ids = list(chain.from_iterable(map(known.__getitem__, pieces)))
-            return (ids,) if out == "ids" else _digest(ids, names, vocab)
-
-        return regex.compile(pattern), finish
-
     def make():
-        found, finish = tools()
+        tool = encoder(held.value, pattern)
 
         def run(columns):
-            rows = [finish(found.findall(t) if len(t) <= chunk else chain.from_iterable(stitch(((a, c, None) for a, c in cut(t, chunk, overlap)), found))) for t in columns[1]]
-            return [columns[0], *map(list, zip(*rows, strict=True))] if rows else [[] for _ in schema]
+            texts = [tool.units(t) if len(t) <= chunk else list(chain.from_iterable(stitch(((a, c, None) for a, c in cut(t, chunk, overlap)), tool.units))) for t in columns[1]]
+            return [columns[0], *map(list, zip(*tool.finish(texts, out), strict=True))] if texts else [[] for _ in schema]
 
         return run
 
@@ -183,8 +250,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, out: str = "ids", id_col
     rows = rows.repartition(F.col("h"), F.col("at"))
 
     def make_ends():
-        found = regex.compile(pattern)
-        return lambda columns: [*columns, [[len(p) for p in found.findall(t)] for t in columns[4]]]
+        tool = encoder(held.value, pattern)
+        return lambda columns: [*columns, [[len(p) for p in tool.units(t)] for t in columns[4]]]
 
     id_field = schema.field("id")
     chunk_schema = pa.schema([id_field, ("h", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("t", pa.string()), ("lens", pa.list_(pa.int32()))])
@@ -194,7 +261,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, out: str = "ids", id_col
     def gather(batches):
         from itertools import groupby
 
-        found, finish = tools()
+        tool = encoder(held.value, pattern)
 
         def stream():
             for b in batches:
@@ -212,7 +279,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, out: str = "ids", id_col
                         ends = list(accumulate(lens, initial=0))
                         yield at, t, [t[a:b] for a, b in zip(ends, ends[1:])]
 
-            got = finish(chain.from_iterable(stitch(chunks(), found)))
+            got = tool.finish([list(chain.from_iterable(stitch(chunks(), tool.units)))], out)[0]
             yield pa.RecordBatch.from_arrays([pa.array([v] * copies[0], f.type) for v, f in zip((key[0], *got), schema, strict=True)], schema=schema)
 
     together = parts.mapInArrow(gather, f"{id_ddl}, {ddl}")

@@ -27,14 +27,33 @@ PAT = regex.compile(P.PATTERN)
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab 1'srevé\n\t.,!  ", max_size=200), st.integers(12, 40), st.integers(5, 11))
 def test_stitching_gives_the_pieces_of_the_whole(text, chunk, overlap):
-    got = [p for ps in bpe.stitch(((a, c, None) for a, c in bpe.cut(text, chunk, overlap)), PAT) for p in ps]
+    got = [p for ps in bpe.stitch(((a, c, None) for a, c in bpe.cut(text, chunk, overlap)), PAT.findall) for p in ps]
     assert got == PAT.findall(text)
 
 
 def test_merges(ranks_file):
-    enc, ranks = reference(ranks_file), bpe.load_ranks(ranks_file)
+    enc, tool = reference(ranks_file), bpe.encoder(ranks_file, P.PATTERN)
+    words = ["thth" * k + e for k in range(1, 9) for e in ("", "e", "ing", "é")]
+    got = tool.merge_many([w.encode() for w in words])
+    assert got == [tuple(enc._encode_single_piece(w.encode())) for w in words]
     for text in ("hello", "anticonstitutionnellement", "a" * 301, "ab" * 200, "ñandú", "日本語", "x" * 99, "ththth" * 40):
-        assert list(bpe.merge(text.encode(), ranks)) == enc._encode_single_piece(text.encode()), text
+        assert list(bpe.merge_long(text.encode(), tool.ranks)) == enc._encode_single_piece(text.encode()), text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab 1'srevé\n\t.,!  \u2003日", max_size=60))
+def test_units_are_whole_pieces(text):
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        tool = bpe.encoder(f.read(), P.PATTERN)
+    assert [p for u in tool.units(text) for p in PAT.findall(u)] == PAT.findall(text)
+    assert tool.encode([tool.units(text)])[0] == reference_encode(text)
+
+
+def reference_encode(text, cache=[]):
+    if not cache:
+        with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+            cache.append(reference(f.read()))
+    return cache[0].encode_ordinary(text)
 
 
 def test_frame_short_and_long(spark, ranks_file):
