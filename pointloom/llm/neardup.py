@@ -6,9 +6,11 @@ order; both hashes in that order make one key. Texts that share a key are candid
 similarity of their word sequences, 1 - distance / longer length, is at least 0.8.
 
 Texts with equal word sequences are one from the start (so thousands of copies cost one row each). In the bucket of a
-key (split by length), every member is compared with one leader, never with all others. Buckets whose members are not
-all linked yet get about 16, then 64 other leaders in further rounds, until a round finds no new link; no bucket is
-capped. Pairs whose words, counted in bins, differ by more than the edits allowed are left out before alignment. Classes are the connected components of the links, found by large-star and small-star steps on tables.
+key (split by length), every member is compared with one leader first. Buckets whose members are not all linked yet get
+about 16, then 64 other leaders in further rounds, which leaves one label in most large buckets. What is still open after
+``ROUNDS`` rounds, or after one without a link, is then tried whole: every pair of members with different labels, in small
+buckets by a join, in large ones by blocks of members against blocks, dealt to many tasks; no bucket is capped. Pairs whose
+words, counted in bins, differ by more than the edits allowed are left out before alignment. Classes are the connected components of the links, found by large-star and small-star steps on tables.
 
 Word sequences are told apart by 64-bit hashes (two differ but agree once in 2**64 pairs). Null texts and texts
 without words are alike to nothing. Texts under five words have one shingle, so only equal ones meet. Rows with the
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .align import distance_within
@@ -28,6 +30,12 @@ from .common import U64, byte_table, map_arrow, materialise, mix, utf8, word_has
 SHINGLE, SKETCHES, SIMILARITY = 5, 24, 0.8
 #: Bins that words are counted in, to tell texts apart that can't be alike before they are aligned.
 BINS = 64
+#: Rounds of leaders at most; all pairs of buckets that are still open follow.
+ROUNDS = 3
+#: Buckets of at most ``WHOLE`` members are joined with themselves; larger ones are cut into blocks of about so many members and words.
+WHOLE, BLOCK, BLOCK_WORDS = 32, 1024, 1 << 20
+#: Bins for the words of a block's members.
+BLOCK_BINS = 512
 
 _SEEDS = mix(np.arange(1, 1025, dtype=np.uint64))
 
@@ -141,6 +149,89 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
+def surplus(a: Column, b: Column) -> Column:
+    """How far the counts of a exceed those of b; each edit changes it by one at most."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.greatest(x.cast("int") - y.cast("int"), F.lit(0))), F.lit(0), lambda t, x: t + x)
+
+
+def near(similarity: float) -> Column:
+    """Whether (u, n, bag, label) and (lu, ln, lbag, ll) have different labels and may be alike by length and words."""
+    edits = F.floor(F.greatest("n", "ln") * (1 - similarity) + 1e-9)
+    return (F.col("label") != F.col("ll")) & (F.abs(F.col("n") - F.col("ln")) <= edits) & (surplus(F.col("bag"), F.col("lbag")) <= edits) & (surplus(F.col("lbag"), F.col("bag")) <= edits)
+
+
+def other(members: DataFrame) -> DataFrame:
+    """Members under the names that ``near`` has for the other side."""
+    return members.select("key", F.col("u").alias("lu"), F.col("n").alias("ln"), F.col("bag").alias("lbag"), F.col("label").alias("ll"))
+
+
+def links_in(u: np.ndarray, label: np.ndarray, words: list[np.ndarray], block: np.ndarray, i: int, j: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between the members of block i and those of block j (or within i) that join all that can be joined.
+
+    Every pair is tried unless its ends have one label already, at first or by the links found here.
+    """
+    n = np.array([len(w) for w in words], np.int64)
+    bags = np.zeros((len(u), BLOCK_BINS), np.int32)
+    for r, w in enumerate(words):
+        bags[r] = np.bincount(mix(w.astype(np.int64).view(U64)).astype(np.int64) & (BLOCK_BINS - 1), minlength=BLOCK_BINS)
+    label, lists, out = label.copy(), {}, []
+    get = lambda r: lists[r] if r in lists else lists.setdefault(r, words[r].tolist())
+    right = np.flatnonzero(block == j)
+    for x in np.flatnonzero(block == i):
+        most = ((1 - similarity) * np.maximum(n[right], n[x]) + 1e-9).astype(np.int64)
+        can = (label[right] != label[x]) & (np.abs(n[right] - n[x]) <= most)
+        if i == j:
+            can &= right > x
+        c, most = right[can], most[can]
+        if not len(c):
+            continue
+        more = bags[c] - bags[x]
+        over = np.maximum(more, 0).sum(1)
+        ok = (over <= most) & (over - more.sum(1) <= most)
+        for y, m in zip(c[ok].tolist(), most[ok].tolist(), strict=True):
+            if label[y] != label[x] and distance_within(get(x), get(y), m) is not None:
+                out.append((int(max(u[x], u[y])), int(min(u[x], u[y]))))
+                label[label == label[y]] = label[x]
+    return out
+
+
+def all_pairs(members: DataFrame, texts: DataFrame, tried: DataFrame, similarity: float, whole: int = WHOLE, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) such that no pair of a bucket with different labels and this similarity is left unjoined.
+
+    members: (key, u, n, bag, label); texts: (u, words); tried: pairs (a, b) that are settled already.
+    """
+    sizes = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum("n").alias("total")).where("low <> high")
+    members = materialise(members.join(sizes.select("key", "size", "total"), "key"), "rest")
+    few = members.where(F.col("size") <= whole)
+    pairs = few.join(other(few), "key").where((F.col("u") > F.col("lu")) & near(similarity)).select(F.col("u").alias("a"), F.col("lu").alias("b")).distinct()
+    pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    ends = materialise(pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct(), "ends")
+    found = verified(pairs, narrowed(texts, ends, "u"), similarity)
+    many = members.where(F.col("size") > whole)
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("total") / BLOCK_WORDS))
+    many = many.select("key", "u", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("u"), blocks).alias("block"))
+    inside = materialise(many.select("u").distinct(), "ends")
+    many = many.join(narrowed(texts, inside, "u"), "u").select("key", "u", "label", "words", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
+    many = many.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "u", "label", "words")
+
+    def run(table: pa.Table) -> pa.Table:
+        t = {c: table.column(c).combine_chunks() for c in table.column_names}
+        words = [w.values.to_numpy(zero_copy_only=False) for w in t["words"]]
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        got = links_in(t["u"].to_numpy(), t["label"].to_numpy(), words, t["block"].to_numpy(), i, j, similarity)
+        return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
+
+    return materialise(found.union(many.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")).distinct(), "links")
+
+
+def relabelled(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """Labels (node, label) after links (a, b) have joined their classes."""
+    to = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    between = new.join(labels, new["a"] == labels["node"]).select(F.col("label").alias("la"), "b").join(to, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    moved = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return materialise(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of (a, b) edges as (node, label), the label being the least node; both columns long.
 
@@ -194,8 +285,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, sketches: int, similar
     labels = materialise(buckets.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct(), "labels")
     needed = materialise(labels.select(F.col("node").alias("u")).join(texts.select("u", "hash"), "u").select("hash").distinct(), "needed")
     words = materialise(_words(narrowed(rows.select("hash", "text"), needed, "hash")).groupBy("u").agg(F.first("words").alias("words")), "words")
-    turn, most = 0, 1
-    while True:
+    most, tried = 1, None
+    for turn in range(ROUNDS):
         members = buckets.join(labels, buckets["u"] == labels["node"]).select("key", "u", "n", "bag", "label")
         order = F.xxhash64("u", F.lit(turn))
         mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.min(order).alias("first")).where("low <> high").select("key", "size", "first")
@@ -203,21 +294,19 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, sketches: int, similar
         buckets = open_.select("key", "u", "n", "bag")  # a bucket of one label stays so
         # the first by hash, or of larger buckets about ``most`` of them: no sort, and no bucket in one place
         lead = open_.where(order == F.col("first") if most == 1 else (order == F.col("first")) | (F.pmod(order, F.lit(1 << 20)) * F.col("size") < most << 20))
-        lead = lead.select("key", F.col("u").alias("lu"), F.col("n").alias("ln"), F.col("bag").alias("lbag"), F.col("label").alias("ll"))
-        # each edit changes the surplus of words on either side by one at most
-        surplus = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.greatest(x.cast("int") - y.cast("int"), F.lit(0))), F.lit(0), lambda t, x: t + x)
-        edits = F.floor(F.greatest("n", "ln") * (1 - similarity) + 1e-9)
-        pairs = open_.join(lead, "key").where((F.col("label") != F.col("ll")) & (F.abs(F.col("n") - F.col("ln")) <= edits) & (surplus("bag", "lbag") <= edits) & (surplus("lbag", "bag") <= edits))
+        pairs = open_.join(other(lead), "key").where(near(similarity))
         pairs = materialise(pairs.select(F.greatest("u", "lu").alias("a"), F.least("u", "lu").alias("b")).distinct(), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
         ends = materialise(pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct(), "ends")
         new = materialise(verified(pairs, narrowed(words, ends, "u"), similarity), "links")
         if not new.head(1):
             break
-        to = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        between = new.join(labels, new["a"] == labels["node"]).select(F.col("label").alias("la"), "b").join(to, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        moved = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
-        labels = materialise(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        turn, most = turn + 1, min(64, most * 16)
+        labels = relabelled(labels, new)
+        most = min(64, most * 16)
+    rest = buckets.join(labels, buckets["u"] == labels["node"]).select("key", "u", "n", "bag", "label")
+    new = all_pairs(rest, words, tried, similarity)
+    if new.head(1):
+        labels = relabelled(labels, new)
     own = found.select("id", "row", "hash", "n", "u")
     own = own.join(labels, own["u"] == labels["node"], "left")
     own = own.select("id", "row", "hash", "n", F.coalesce("label", "u").alias("c"))

@@ -95,3 +95,35 @@ def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 101), (101, 102), (200, 200)] + [(300 + i, 300) for i in range(50)]
     got = {r.node: r.label for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100, **{300 + i: 300 for i in range(1, 50)}}
+
+
+def test_links_between_members_that_share_hot_keys_only(spark):
+    """Near copies whose shared shingles all lie in a passage that hundreds of other texts have too."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(8))
+    passage = [word() for _ in range(75)]
+    texts = [passage + [word() for _ in range(25)] for _ in range(400)]
+    for t in texts[:5]:
+        texts.append([w if k < 75 or k % 5 > 2 else word() for k, w in enumerate(t)])
+    got = neardup.classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {**{i: i for i in range(400)}, **{400 + i: i for i in range(5)}}
+
+
+def test_all_pairs_of_a_bucket(spark):
+    """By a join and by blocks of any size, the links join what all pairs join."""
+    rnd = random.Random(2)
+    words = [[rnd.randrange(4) for _ in range(rnd.randint(5, 9))] for _ in range(90)]
+    want = list(range(90))
+    for a in range(90):
+        for b in range(a):
+            if distance_within(words[a], words[b], int(0.2 * max(len(words[a]), len(words[b])) + 1e-9)) is not None:
+                low, high = sorted((want[a], want[b]))
+                want = [low if x == high else x for x in want]
+    assert 1 < len(set(want)) < 90
+    bag = lambda w: np.bincount(w, minlength=neardup.BINS).tolist()
+    members = spark.createDataFrame([(1, i, len(w), bag(w), i) for i, w in enumerate(words)], "key long, u long, n int, bag array<short>, label long")
+    texts = spark.createDataFrame(list(enumerate(words)), "u long, words array<int>")
+    for whole, block in ((100, 8), (10, 8), (10, 1000)):
+        new = neardup.all_pairs(members, texts, spark.createDataFrame([], "a long, b long"), 0.8, whole, block)
+        label = {i: i for i in range(90)} | {r.node: r.label for r in neardup.components(new).collect()}
+        assert [label[i] for i in range(90)] == want
