@@ -2,8 +2,8 @@
 
 The field is trained here from a small labelled table (``labelled_rows``) and decoded by Viterbi in numpy, many
 stretches at once. It labels e-mail addresses (also spelled-out ones), IP addresses, card numbers, phone numbers,
-social-security numbers and bank account numbers. All of these hold a digit, an @ or a bracketed at; only stretches
-of ``REACH`` characters around such a sign are decoded, as a token further away can't be part of any.
+social-security numbers and bank account numbers. All of these hold a digit, an @, a bracketed at, or an at, a word and
+a dot; only stretches of ``REACH`` characters around such a sign are decoded.
 
 Every finding of the patterns stays; one of the field is added where it overlaps none of them and has a plausible
 form. Null text counts as empty; repeated rows give repeated results; other columns are not read.
@@ -32,7 +32,8 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPELLED = re.compile(r"[\w.%+-]+ ?(?:@|[\[(]at[\])]) ?[\w-]+(?: ?(?:\.|[\[(]dot[\])]|dot) ?[\w-]+)+|[\w.%+-]+ at [\w-]+(?: dot [\w-]+)+", re.I)
-_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]", re.I)
+#: The spelled form of _SPELLED counts whole, so that all of an address of any length is decoded.
+_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]|(?<= )at [\w-]+(?: dot [\w-]+)+", re.I)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_|\S")
 
 
@@ -128,6 +129,7 @@ class Field:
             for r, k in enumerate(batch):
                 emit[r, : len(many[k])] = self.scores(many[k])
             lens = np.array([len(many[k]) for k in batch])
+            emit[:, 0] += [-1e4 * (b[0] == "I") for b in LABELS]  # as in training, no finding begins with an inner label
             best, back = emit[:, 0], np.zeros(emit.shape, np.int8)
             for t in range(1, longest):
                 by = best[:, :, None] + self.move
@@ -321,6 +323,16 @@ def labelled_rows(seed: int = 7, n: int = 420) -> list[tuple[str, list[tuple[int
         else:
             v = pick(plain).format(a=num(1 + i % 2), b=num(1), c=num(2), d=num(5 + i % 4), e=num(3), y=f"20{num(2)}", m=num(2), n=num(2), h="".join(pick("0123456789abcdef") for _ in range(40)))
             rows.append((f"{left} {v} {right}", []))
+    for i in range(n // 4):  # addresses in words, and sentences that only look like them
+        left, right = (" ".join(pick(fill) for _ in range(int(rng.integers(a, 7)))) for a in (0, 0))
+        if i % 3:
+            made = lambda xs: pick(xs) if rng.integers(2) else "".join(pick("abcdefghilmnoprstuvz") for _ in range(int(rng.integers(3, 9))))
+            v = f"{made(names)} at {made(hosts)} dot {pick(['com', 'org', 'net', 'de', 'info', 'co dot uk'])}"
+            head = " ".join(x for x in (left, pick(["write to", "mail", "contact", "reach", ""])) if x)
+            head += " " * bool(head)
+            rows.append((head + v + pick([" ", ". ", ", "]) + right, [(len(head), len(head) + len(v), "email")]))
+        else:
+            rows.append((f"{left} {pick(['met at noon', 'look at the dot', 'at the shop dot', 'sat at home', 'mail at once'])} {right}", []))
     return rows
 
 

@@ -58,3 +58,13 @@ def test_frame(spark, field):
     assert [(r.n_email, r.spans) for r in got] == [(1, "email:0:6")] * 2 + [(0, "")] * 2
     assert pii.find_personal(spark.createDataFrame([], "doc_id long, text string"), field).count() == 0
     assert len(pii.train_on(pii.labelled_table(spark).limit(30)).names) > 50
+
+
+def test_spelled_addresses_without_digits(field):
+    """An address in words is found in a text without any digit, @ or bracket, however far it is from other signs."""
+    texts = ["write to carla at example dot com", "please write to carla at example dot org. " + "le la der die " * 30 + "see page 7 of 9"]
+    for text, (plain, every) in zip(texts, pii.findings(texts, field), strict=True):
+        assert not plain and "carla at example dot " in [text[s:e][:21] for s, k, e in every if k == 0]
+    (_, every), = pii.findings(["contact maria at company dot net for details"], field)
+    assert every == [(8, 0, 32)]
+    assert all(not every for _, every in pii.findings(["we met at noon and at the shop", "look at the dot", "at dot"], field))
