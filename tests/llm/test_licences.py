@@ -55,3 +55,10 @@ def test_suppression(spark):
     text = "spdx license identifier mit"
     got = licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert got.labels == "mit" and got.score == 1.0
+
+
+def test_rules_fire_without_other_gate_words(spark):
+    """Grants and sentences count in a text of their own."""
+    texts = ["released under MIT", "distributed under the BSD", "available under Apache 2.0", "neither the name of Acme nor the names of its contributors may be used to endorse"]
+    got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.labels, r.score) for r in sorted(got)] == [("mit", 0.8), ("bsd", 0.8), ("apache-2.0", 0.8), ("bsd-3-clause", 0.9)]
