@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -16,21 +18,45 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 CHUNK = 1 << 21
 
 
-def map_arrow(df: DataFrame, columns: list[str], make: Callable[[], Callable[[list[list]], list[list]]], ddl: str, schema: pa.Schema) -> DataFrame:
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that no column of ``df`` has (Spark compares names without case)."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """A column by its plain name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_arrow(df: DataFrame, keep: list[str], columns: list[str], make: Callable[[], Callable[[list[list]], list[list]]], new: list[tuple[str, pa.DataType, str]]) -> DataFrame:
     """A narrow map: ``make()`` runs once per task and returns a function from a batch's column lists to result lists.
 
-    Only ``columns`` are read, so other columns (also ones with clashing names) never reach Python.
+    The columns ``keep`` go through as they are, of whatever type; ``new`` names what is added (name, Arrow type, Spark
+    type). Only ``keep`` and ``columns`` are read, so other columns (also ones with clashing names) never reach Python.
+    Names may repeat between ``keep`` and ``columns``, and within the result if the caller wants them to.
     """
+    kinds = dict(df.dtypes)
+    width = len(keep)
+    names = [f"c{i}" for i in range(width + len(new))]
+    ddl = ", ".join(f"c{i} {kind}" for i, kind in enumerate([*(kinds[c] for c in keep), *(k for _, _, k in new)]))
+    types = [t for _, t, _ in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # bounds what Python objects take
                 part = batch.slice(at, 256)
-                out = f([c.to_pylist() for c in part.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(out, schema, strict=True)], schema=schema)
+                out = f([c.to_pylist() for c in part.columns[width:]])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *(pa.array(v, t) for v, t in zip(out, types, strict=True))], names=names)
 
-    return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, ddl)
+    asked = df.select(*[column(c).alias(f"k{i}") for i, c in enumerate(keep)], *[column(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    return asked.mapInArrow(run, ddl).toDF(*keep, *(n for n, _, _ in new))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -160,15 +186,46 @@ class HashIndex:
         return out
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or on a local master a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        root = _local[app] = _local.get(app) or tempfile.mkdtemp(prefix="spark-tables-")
+    return f"{root}/pointloom-tables"
+
+
+_local: dict[str, str] = {}
+
+
+class Tables:
+    """Tables written to the shared folder; later steps start from there, and a lost executor costs no more than that.
+
+    ``keep`` writes one and reads it again; ``drop`` removes those that nothing will read any more. The one that a query's
+    result is read from stays for the owner of the folder to clear.
+    """
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        spark = df.sparkSession
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Remove all tables kept under these names; what is read from them must have been written by then."""
+        spark = SparkSession.getActiveSession()
+        for path in [p for p in self.paths if p.rpartition("/")[2].rpartition("-")[0] in names]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            self.paths.remove(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder in ``spark.checkpoint.dir`` and read it: later steps start from there, and a
-    lost executor costs no more than that. Without that setting, as in tests, a local folder is used. The tables stay
-    below ``pointloom-tables`` there, for the owner of the folder to clear after the job."""
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-tables-")
-    path = f"{root}/pointloom-tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """One table of ``Tables``, which stays."""
+    return Tables().keep(df, name)

@@ -3,41 +3,69 @@
 A text's words (ASCII letters and digits and everything above, lower-cased) give its 5-word shingles, each labelled
 with its occurrence number. Each of ``SKETCHES`` hash functions picks the two least of them and keeps them in text
 order; both hashes in that order make one key. Texts that share a key are candidates. Two texts are linked if the edit
-similarity of their word sequences, 1 - distance / longer length, is at least 0.8.
-
-Texts with equal word sequences are one from the start (so thousands of copies cost one row each). In the bucket of a
-key (split by length), every member is compared with one leader first. Buckets whose members are not all linked yet get
-about 16, then 64 other leaders in further rounds, which leaves one label in most large buckets. What is still open after
-``ROUNDS`` rounds, or after one without a link, is then tried whole: every pair of members with different labels, in small
-buckets by a join, in large ones by blocks of members against blocks, dealt to many tasks; no bucket is capped. Pairs whose
-words, counted in bins, differ by more than the edits allowed are left out before alignment. Classes are the connected components of the links, found by large-star and small-star steps on tables.
-
-Word sequences are told apart by 64-bit hashes (two differ but agree once in 2**64 pairs). Null texts and texts
-without words are alike to nothing. Texts under five words have one shingle, so only equal ones meet. Rows with the
-same id count as separate rows.
+similarity of their word sequences, 1 - distance / longer length, is at least 0.8. Texts under ``SHORT`` words, where
+two edits can leave no shingle whole, have further keys: their words without any one of them, from ten words on without
+any two, and all of them. Two such texts that are alike share one of these for certain.
+
+Texts with equal word sequences are one from the start (so thousands of copies cost one row each). Then
+
+1. each bucket (the texts of one key) names its least and its greatest member, and each text is aligned with at most two
+   of those that its buckets name, so the alignments grow with the number of texts whatever the size of a group;
+2. classes found so far are contracted, and buckets of one class are done;
+3. in what is left all pairs of different classes are tried: in small buckets by a join, in large ones by blocks of members
+   against blocks, dealt to many tasks. No bucket is capped, so no pair that shares a key is left untried.
+
+Pairs whose lengths, or whose words counted in bins, differ by more than the edits allowed are left out before alignment.
+Classes are the connected components of the links, found by large-star and small-star steps on tables.
+
+Word sequences are told apart by 64-bit hashes and words within an alignment by 32-bit ones (two words differ but agree
+once in 2**32 pairs of words). Null texts and texts without words are alike to nothing. Rows with the same id count as
+separate rows; ids of any type that Spark can order and other columns of any name are fine.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .align import distance_within
-from .common import U64, byte_table, map_arrow, materialise, mix, utf8, word_hashes
+from .common import U64, Tables, byte_table, column, fresh, map_arrow, mix, utf8, word_hashes
 
-SHINGLE, SKETCHES, SIMILARITY = 5, 24, 0.8
+SHINGLE, SKETCHES, SIMILARITY = 5, 96, 0.8
+#: Texts of fewer words have keys that no two edits can all break.
+SHORT = 15
 #: Bins that words are counted in, to tell texts apart that can't be alike before they are aligned.
 BINS = 64
-#: Rounds of leaders at most; all pairs of buckets that are still open follow.
-ROUNDS = 3
 #: Buckets of at most ``WHOLE`` members are joined with themselves; larger ones are cut into blocks of about so many members and words.
-WHOLE, BLOCK, BLOCK_WORDS = 32, 1024, 1 << 20
-#: Bins for the words of a block's members.
-BLOCK_BINS = 512
-
-_SEEDS = mix(np.arange(1, 1025, dtype=np.uint64))
+WHOLE, BLOCK, BLOCK_WORDS = 16, 4096, 1 << 20
+#: Bins for the words of a block's members: few for all pairs, then more for those that are left.
+BLOCK_BINS = 64, 512
+
+_SEEDS = mix(np.arange(1, 1025, dtype=U64))
+_XOR = (_SEEDS >> U64(32)).astype(np.uint32)[:, None]
+_ODD = mix(np.arange(2001, 3025, dtype=U64)).astype(np.uint32)[:, None] | np.uint32(1)
+
+
+def two_least(h: np.ndarray, sketches: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each hash function the places of the two least of ``h``, many functions at a time (one place twice if there is one)."""
+    short = (h >> U64(32)).astype(np.uint32)
+    a, b = np.zeros(sketches, np.int64), np.zeros(sketches, np.int64)
+    step = max(1, (1 << 16) // len(h))
+    for s in range(0, sketches, step):
+        e = min(s + step, sketches)
+        x = short ^ _XOR[s:e]
+        x *= _ODD[s:e]
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        a[s:e] = x.argmin(1)
+        if len(h) > 1:
+            x[np.arange(e - s), a[s:e]] = 0xFFFFFFFF
+            b[s:e] = x.argmin(1)
+    return a, b
 
 
 def sketch(words: np.ndarray, k: int = SHINGLE, sketches: int = SKETCHES) -> np.ndarray:
@@ -55,19 +83,23 @@ def sketch(words: np.ndarray, k: int = SHINGLE, sketches: int = SKETCHES) -> np.
     number = np.empty(n, U64)
     number[order] = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
     h = mix(h ^ (number * U64(0x9E3779B97F4A7C15)))
-    pairs = np.zeros((2, sketches), U64)  # of each sketch the two least hashes, the earlier in the text first
-    for s in range(sketches):
-        x = (h ^ _SEEDS[s]) * U64(0xD6E8FEB86659FD93)
-        x ^= x >> U64(32)
-        a = int(x.argmin())
-        pairs[0, s], b = x[a], a
-        if n > 1:
-            x[a] = ~U64(0)
-            b = int(x.argmin())
-            pairs[1, s] = x[b]
-        if b < a:
-            pairs[:, s] = pairs[::-1, s]
-    return mix(pairs[0] * U64(3) + pairs[1] + _SEEDS[:sketches])
+    a, b = two_least(h, sketches)
+    return mix(h[np.minimum(a, b)] * U64(3) + h[np.maximum(a, b)] + _SEEDS[:sketches])
+
+
+def shortened(words: np.ndarray) -> np.ndarray:
+    """Further keys of a text under ``SHORT`` words: hashes of all its words, of all but one, and from ten words on of all but two."""
+    n = len(words)
+    out = {sequence_hash(words)}
+    for gone in range(1, 2 + (n >= 10)):
+        out.update(sequence_hash(np.delete(words, list(c))) for c in combinations(range(n), gone) if n > gone)
+    return mix(np.array(sorted(out), np.int64).view(U64) ^ U64(0x5851F42D4C957F2D))
+
+
+def keys_of(words: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
+    """All keys of a text with at least one word, those of the sketches first and in their order."""
+    found = sketch(words, SHINGLE, sketches)
+    return np.concatenate((found, shortened(words))) if len(words) < SHORT else found
 
 
 def words_of(text: str | None, table: np.ndarray) -> np.ndarray:
@@ -81,52 +113,27 @@ def sequence_hash(words: np.ndarray) -> int | None:
     return int(mix(words + mix(np.arange(1, len(words) + 1, dtype=np.uint64))).sum(dtype=U64).view(np.int64))
 
 
-#: Tables of at most so many rows of two numbers are broadcast.
-SMALL = 2_000_000
-
-
-def narrowed(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Rows of df whose key is among ``keys`` (materialised): broadcast if it is small, else by a shuffled join."""
-    return df.join(F.broadcast(keys) if keys.count() <= SMALL else keys, on, "left_semi")
-
-
-def _words(docs: DataFrame) -> DataFrame:
-    """(u, words): the 32-bit hashes of the words of each text."""
-
-    def make():
-        table = byte_table("alnum")
-
-        def run(columns):
-            ws = [words_of(t, table) for t in columns[0]]
-            return [[sequence_hash(w) for w in ws], [(w >> U64(32)).astype(np.uint32).view(np.int32) for w in ws]]
-
-        return run
-
-    schema = pa.schema([("u", pa.int64()), ("words", pa.list_(pa.int32()))])
-    return map_arrow(docs, ["text"], make, "u long, words array<int>", schema)
-
-
 def _sketches(docs: DataFrame, sketches: int) -> DataFrame:
-    """(id, row, text's hash, words' hash u, number of words, their counts by bin, keys); u is null without words."""
+    """(id, row, text's hash, words' hash u, number of words, their counts by bin, keys, words); u is null without words."""
 
     def make():
         table = byte_table("alnum")
 
         def run(columns):
-            us, ns, bags, keys = [], [], [], []
-            for text in columns[3]:
+            us, ns, bags, keys, words = [], [], [], [], []
+            for text in columns[0]:
                 w = words_of(text, table)
                 ns.append(len(w))
                 us.append(sequence_hash(w))
                 bags.append(np.minimum(np.bincount((w >> U64(58)).astype(np.int64), minlength=BINS), 32767).astype(np.int16))
-                keys.append(sketch(w, SHINGLE, sketches).view(np.int64) if len(w) else None)
-            return [*columns[:3], us, ns, bags, keys]
+                keys.append(keys_of(w, sketches).view(np.int64) if len(w) else None)
+                words.append((w >> U64(32)).astype(np.uint32).view(np.int32))
+            return [us, ns, bags, keys, words]
 
         return run
 
-    number = dict(docs.dtypes)["id"] in ("bigint", "int")
-    schema = pa.schema([("id", pa.int64() if number else pa.string()), ("row", pa.int64()), ("hash", pa.int64()), ("u", pa.int64()), ("n", pa.int32()), ("bag", pa.list_(pa.int16())), ("keys", pa.list_(pa.int64()))])
-    return map_arrow(docs, ["id", "row", "hash", "text"], make, f"id {'long' if number else 'string'}, row long, hash long, u long, n int, bag array<short>, keys array<long>", schema)
+    new = [("u", pa.int64(), "long"), ("n", pa.int32(), "int"), ("bag", pa.list_(pa.int16()), "array<short>"), ("keys", pa.list_(pa.int64()), "array<long>"), ("words", pa.list_(pa.int32()), "array<int>")]
+    return map_arrow(docs, ["id", "row", "hash"], ["text"], make, new)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -154,89 +161,105 @@ def surplus(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.greatest(x.cast("int") - y.cast("int"), F.lit(0))), F.lit(0), lambda t, x: t + x)
 
 
-def near(similarity: float) -> Column:
-    """Whether (u, n, bag, label) and (lu, ln, lbag, ll) have different labels and may be alike by length and words."""
-    edits = F.floor(F.greatest("n", "ln") * (1 - similarity) + 1e-9)
-    return (F.col("label") != F.col("ll")) & (F.abs(F.col("n") - F.col("ln")) <= edits) & (surplus(F.col("bag"), F.col("lbag")) <= edits) & (surplus(F.col("lbag"), F.col("bag")) <= edits)
+def near(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of texts (u, n, bag), those that may be alike by length and words."""
+    side = lambda x: texts.select(F.col("u").alias(x), F.col("n").alias(f"n{x}"), F.col("bag").alias(f"bag{x}"))
+    edits = F.floor(F.greatest("na", "nb") * (1 - similarity) + 1e-9)
+    both = pairs.join(side("b"), "b").join(side("a"), "a").where(F.abs(F.col("na") - F.col("nb")) <= edits)
+    return both.where((surplus(F.col("baga"), F.col("bagb")) <= edits) & (surplus(F.col("bagb"), F.col("baga")) <= edits)).select("a", "b")
 
 
-def other(members: DataFrame) -> DataFrame:
-    """Members under the names that ``near`` has for the other side."""
-    return members.select("key", F.col("u").alias("lu"), F.col("n").alias("ln"), F.col("bag").alias("lbag"), F.col("label").alias("ll"))
+def _bags(words: list[np.ndarray], bins: int) -> np.ndarray:
+    out = np.zeros((len(words), bins), np.float32)
+    for r, w in enumerate(words):
+        out[r] = np.bincount(mix(w.astype(np.int64).view(U64)).astype(np.int64) & (bins - 1), minlength=bins)
+    return out
 
 
-def links_in(u: np.ndarray, label: np.ndarray, words: list[np.ndarray], block: np.ndarray, i: int, j: int, similarity: float) -> list[tuple[int, int]]:
-    """Links between the members of block i and those of block j (or within i) that join all that can be joined.
+def links_in(key: int, u: np.ndarray, label: np.ndarray, keys: np.ndarray, words: list[np.ndarray], block: np.ndarray, i: int, j: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between the members of block i and those of block j (or within i) of one bucket that join all that can be joined.
 
-    Every pair is tried unless its ends have one label already, at first or by the links found here.
+    Every pair is tried here unless its ends have one label already, at first or by the links found here, or share an
+    earlier sketch's key (``keys``: a row for each member): that key's bucket, which is as open as this one, tries it.
     """
+    order = np.argsort([len(w) for w in words], kind="stable")
+    u, label, keys, block, words = u[order], label[order].copy(), keys[order], block[order], [words[r] for r in order]
     n = np.array([len(w) for w in words], np.int64)
-    bags = np.zeros((len(u), BLOCK_BINS), np.int32)
-    for r, w in enumerate(words):
-        bags[r] = np.bincount(mix(w.astype(np.int64).view(U64)).astype(np.int64) & (BLOCK_BINS - 1), minlength=BLOCK_BINS)
-    label, lists, out = label.copy(), {}, []
-    get = lambda r: lists[r] if r in lists else lists.setdefault(r, words[r].tolist())
+    few, many = (_bags(words, bins) for bins in BLOCK_BINS)
+    ones = [np.ones(bins, np.float32) for bins in BLOCK_BINS]
+    # a pair is tried from its end in block i; within one block from the shorter
     right = np.flatnonzero(block == j)
+    sizes, right_few = n[right], few[right]
+    lists, out = {}, []
+    get = lambda r: lists[r] if r in lists else lists.setdefault(r, words[r].tolist())
     for x in np.flatnonzero(block == i):
-        most = ((1 - similarity) * np.maximum(n[right], n[x]) + 1e-9).astype(np.int64)
-        can = (label[right] != label[x]) & (np.abs(n[right] - n[x]) <= most)
+        # lengths that can be alike lie in one stretch of the sorted members
+        low, high = np.searchsorted(sizes, [int(n[x] * similarity - 1e-6), int(n[x] / similarity + 1e-6) + 1])
         if i == j:
-            can &= right > x
-        c, most = right[can], most[can]
-        if not len(c):
-            continue
-        more = bags[c] - bags[x]
-        over = np.maximum(more, 0).sum(1)
-        ok = (over <= most) & (over - more.sum(1) <= most)
-        for y, m in zip(c[ok].tolist(), most[ok].tolist(), strict=True):
-            if label[y] != label[x] and distance_within(get(x), get(y), m) is not None:
-                out.append((int(max(u[x], u[y])), int(min(u[x], u[y]))))
-                label[label == label[y]] = label[x]
+            low = max(low, int(np.searchsorted(right, x)) + 1)
+        for at in range(low, high, 1024):
+            part = slice(at, min(high, at + 1024))
+            c = right[part]
+            most = ((1 - similarity) * np.maximum(n[c], n[x]) + 1e-9).astype(np.int64)
+            over = np.maximum(right_few[part] - few[x], 0) @ ones[0]
+            ok = (label[c] != label[x]) & (np.maximum(over, over - (n[c] - n[x])) <= most)
+            c, most = c[ok], most[ok]
+            if len(c):
+                same = keys[c] == keys[x]
+                ok = ~same.any(1) | (keys[x][same.argmax(1)] == key)
+                c, most = c[ok], most[ok]
+                over = np.maximum(many[c] - many[x], 0) @ ones[1]
+                ok = np.maximum(over, over - (n[c] - n[x])) <= most
+            for y, m in zip(c[ok].tolist(), most[ok].tolist(), strict=True) if len(c) else ():
+                if label[y] != label[x] and distance_within(get(x), get(y), m) is not None:
+                    out.append((int(max(u[x], u[y])), int(min(u[x], u[y]))))
+                    label[label == label[y]] = label[x]
     return out
 
 
-def all_pairs(members: DataFrame, texts: DataFrame, tried: DataFrame, similarity: float, whole: int = WHOLE, block: int = BLOCK) -> DataFrame:
+def all_pairs(members: DataFrame, texts: DataFrame, words: DataFrame, tried: DataFrame, similarity: float, tables: Tables, whole: int = WHOLE, block: int = BLOCK) -> DataFrame:
     """Links (a, b) such that no pair of a bucket with different labels and this similarity is left unjoined.
 
-    members: (key, u, n, bag, label); texts: (u, words); tried: pairs (a, b) that are settled already.
+    members: (key, u, n, label); texts: (u, n, bag); words: (u, words, keys of its sketches); tried: pairs (a, b) that are
+    settled already.
     """
-    sizes = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum("n").alias("total")).where("low <> high")
-    members = materialise(members.join(sizes.select("key", "size", "total"), "key"), "rest")
-    few = members.where(F.col("size") <= whole)
-    pairs = few.join(other(few), "key").where((F.col("u") > F.col("lu")) & near(similarity)).select(F.col("u").alias("a"), F.col("lu").alias("b")).distinct()
-    pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    ends = materialise(pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct(), "ends")
-    found = verified(pairs, narrowed(texts, ends, "u"), similarity)
-    many = members.where(F.col("size") > whole)
+    sizes = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum("n").alias("total")).where("low <> high").select("key", "size", "total")
+    open_ = tables.keep(members.join(sizes, "key"), "open")
+    few = open_.where(F.col("size") <= whole).select("key", "u", "label")
+    pairs = few.join(few.toDF("key", "v", "other"), "key").where("u > v and label <> other").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+    found = verified(near(pairs.join(tried, ["a", "b"], "left_anti"), texts, similarity), words, similarity)
+    many = open_.where(F.col("size") > whole).join(words, "u")
     blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("total") / BLOCK_WORDS))
-    many = many.select("key", "u", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("u"), blocks).alias("block"))
-    inside = materialise(many.select("u").distinct(), "ends")
-    many = many.join(narrowed(texts, inside, "u"), "u").select("key", "u", "label", "words", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
-    many = many.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "u", "label", "words")
+    many = many.select("key", "u", "label", "keys", "words", blocks.alias("blocks"), F.pmod(F.xxhash64("u"), blocks).alias("block"))
+    many = many.select("key", "u", "label", "keys", "words", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
+    many = many.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "u", "label", "keys", "words")
 
     def run(table: pa.Table) -> pa.Table:
         t = {c: table.column(c).combine_chunks() for c in table.column_names}
-        words = [w.values.to_numpy(zero_copy_only=False) for w in t["words"]]
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        got = links_in(t["u"].to_numpy(), t["label"].to_numpy(), words, t["block"].to_numpy(), i, j, similarity)
+        ws = [w.values.to_numpy(zero_copy_only=False) for w in t["words"]]
+        keys = np.stack([k.values.to_numpy(zero_copy_only=False) for k in t["keys"]])
+        key, i, j = (t[c][0].as_py() for c in ("key", "i", "j"))
+        got = links_in(key, t["u"].to_numpy(), t["label"].to_numpy(), keys, ws, t["block"].to_numpy(), i, j, similarity)
         return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
 
-    return materialise(found.union(many.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")).distinct(), "links")
+    return tables.keep(found.union(many.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")), "links")
 
 
-def relabelled(labels: DataFrame, new: DataFrame) -> DataFrame:
-    """Labels (node, label) after links (a, b) have joined their classes."""
-    to = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    between = new.join(labels, new["a"] == labels["node"]).select(F.col("label").alias("la"), "b").join(to, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    moved = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return materialise(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+def relabelled(labels: DataFrame, new: DataFrame, tables: Tables) -> DataFrame:
+    """Labels (node, label) after links (a, b) have joined their classes; nodes that are their own label have no row."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    between = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    moved = components(between, tables=tables).select(F.col("node").alias("was"), F.col("label").alias("to"))
+    old = labels.join(moved, labels["label"] == moved["was"], "left").select("node", F.coalesce("to", "label").alias("label"))
+    return tables.keep(old.union(moved.join(labels, moved["was"] == labels["node"], "left_anti")), "labels")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", tables: Tables | None = None) -> DataFrame:
     """Connected components of (a, b) edges as (node, label), the label being the least node; both columns long.
 
     Nodes that are their own label have no row. Large-star and small-star steps go on until the edges are stars.
     """
+    tables = tables or Tables()
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -244,7 +267,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = materialise(small, name)
+        edges = tables.keep(small, name)
         inner = edges.select(F.col("a").alias("x"), F.lit(0).alias("up")).union(edges.select("b", F.lit(1)).distinct())
         if not inner.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").head(1):  # each node has one label, which has none
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
@@ -261,57 +284,48 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ske
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one of each class of near copies stays."""
-    found = materialise(_classes(docs, id_col, text_col, sketches, similarity).select("id", "hash", "n_words", "is_kept"), "classes")
-    kept = found.where("is_kept").select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct()
-    marked = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    out = marked.join(kept, marked[id_col].eqNullSafe(kept["_id"]) & (marked["_text_hash"] == kept["_hash"]), "left_semi")
+    found = _classes(docs, id_col, text_col, sketches, similarity)
+    key, mark = fresh(docs, "kept_id", "text_hash")
+    kept = found.where("is_kept").select(F.col("id").alias(key), F.col("hash").alias(mark)).distinct()
+    own = fresh(docs.withColumn(key, F.lit(0)).withColumn(mark, F.lit(0)), "own_hash")[0]
+    marked = docs.withColumn(own, F.xxhash64(column(text_col)))
+    out = marked.join(kept, column(id_col).eqNullSafe(column(key)) & (column(own) == column(mark)), "left_semi")
     if found.where("n_words > 0").groupBy("id", "hash").count().where("count > 1").head(1):  # repeated rows
-        words = F.coalesce(F.col(text_col).rlike("[A-Za-z0-9\\x{80}-\\x{10FFFF}]"), F.lit(False))
-        out = out.where(words).dropDuplicates([id_col, "_text_hash"]).union(out.where(~words))
-    return out.drop("_text_hash")
+        words = F.coalesce(column(text_col).rlike("[A-Za-z0-9\\x{80}-\\x{10FFFF}]"), F.lit(False))
+        out = out.where(words).dropDuplicates([id_col, own]).union(out.where(~words))
+    return out.drop(own)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, sketches: int, similarity: float) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    found = materialise(_sketches(rows, sketches), "sketches")
-    texts = materialise(found.where("u is not null").groupBy("u").agg(F.min("hash").alias("hash"), F.first("n").alias("n"), F.first("bag").alias("bag"), F.first("keys").alias("keys")), "texts")
-    keys = texts.select("u", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("key")
-    # a bucket is split by length: linked texts differ in it by the similarity at most, so they share one of two classes
-    size = F.floor(F.log("n") / float(-np.log(similarity)) + 1e-9)
-    split = materialise(keys.join(shared, "key"), "shared").join(texts.select("u", "n", "bag"), "u")
-    split = split.select("u", "n", "bag", "key", F.explode(F.array(size, size + 1)).alias("c")).select("u", "n", "bag", F.xxhash64("key", "c").alias("key"))
-    buckets = materialise(split, "buckets")
-    labels = materialise(buckets.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct(), "labels")
-    needed = materialise(labels.select(F.col("node").alias("u")).join(texts.select("u", "hash"), "u").select("hash").distinct(), "needed")
-    words = materialise(_words(narrowed(rows.select("hash", "text"), needed, "hash")).groupBy("u").agg(F.first("words").alias("words")), "words")
-    most, tried = 1, None
-    for turn in range(ROUNDS):
-        members = buckets.join(labels, buckets["u"] == labels["node"]).select("key", "u", "n", "bag", "label")
-        order = F.xxhash64("u", F.lit(turn))
-        mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.min(order).alias("first")).where("low <> high").select("key", "size", "first")
-        open_ = materialise(members.join(mixed, "key"), "open")
-        buckets = open_.select("key", "u", "n", "bag")  # a bucket of one label stays so
-        # the first by hash, or of larger buckets about ``most`` of them: no sort, and no bucket in one place
-        lead = open_.where(order == F.col("first") if most == 1 else (order == F.col("first")) | (F.pmod(order, F.lit(1 << 20)) * F.col("size") < most << 20))
-        pairs = open_.join(other(lead), "key").where(near(similarity))
-        pairs = materialise(pairs.select(F.greatest("u", "lu").alias("a"), F.least("u", "lu").alias("b")).distinct(), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        ends = materialise(pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct(), "ends")
-        new = materialise(verified(pairs, narrowed(words, ends, "u"), similarity), "links")
-        if not new.head(1):
-            break
-        labels = relabelled(labels, new)
-        most = min(64, most * 16)
-    rest = buckets.join(labels, buckets["u"] == labels["node"]).select("key", "u", "n", "bag", "label")
-    new = all_pairs(rest, words, tried, similarity)
+    tables = Tables()
+    rows = docs.select(column(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(column(text_col)).alias("hash"), column(text_col).alias("text"))
+    found = tables.keep(_sketches(rows, sketches), "sketches")
+    texts = tables.keep(found.where("u is not null").groupBy("u").agg(F.first("n").alias("n"), F.first("bag").alias("bag"), F.first("keys").alias("keys")), "texts")
+    keys = texts.select("u", "n", F.explode("keys").alias("key"))
+    named = keys.groupBy("key").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high")
+    members = tables.keep(keys.join(named, "key"), "members")
+    sides = texts.select("u", "n", "bag")
+    words = found.join(members.select("u").distinct(), "u", "left_semi").dropDuplicates(["u"]).select("u", "words", F.slice("keys", 1, sketches).alias("keys"))
+    words = tables.keep(words, "words")
+    # each text with the least and with the greatest of those named by its buckets that it may be like
+    named = members.select(F.col("u").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
+    pairs = near(named, sides, similarity).groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y"))
+    pairs = pairs.select("a", F.explode(F.array("x", "y")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    tried = tables.keep(pairs, "pairs")
+    links = tables.keep(verified(tried, words, similarity), "links")
+    labels = components(links, tables=tables)
+    label = labels.select(F.col("node").alias("u"), "label")
+    new = all_pairs(members.select("key", "u", "n").join(label, "u", "left").select("key", "u", "n", F.coalesce("label", "u").alias("label")), sides, words, tried, similarity, tables)
     if new.head(1):
-        labels = relabelled(labels, new)
+        labels = relabelled(labels, new, tables)
     own = found.select("id", "row", "hash", "n", "u")
     own = own.join(labels, own["u"] == labels["node"], "left")
     own = own.select("id", "row", "hash", "n", F.coalesce("label", "u").alias("c"))
     tops = own.where("c is not null").groupBy("c").agg(F.min(F.struct("id", "row")).alias("top"), F.count("*").alias("size"))
-    return own.join(tops, "c", "left").select(
+    out = own.join(tops, "c", "left").select(
         "id", "hash", F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("class_id"), F.col("n").cast("long").alias("n_words"),
         F.coalesce("size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("top.row") == F.col("row"), F.lit(True)).alias("is_kept"),
     )
+    out = Tables().keep(out, "classes")
+    tables.drop("sketches", "texts", "members", "words", "pairs", "links", "components", "open", "labels")
+    return out

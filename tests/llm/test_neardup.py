@@ -5,8 +5,11 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from pointloom.llm import neardup
 from pointloom.llm.align import banded, distance_within
+from pointloom.llm.common import Tables
 
 
 def plain(a, b):
@@ -121,9 +124,80 @@ def test_all_pairs_of_a_bucket(spark):
                 want = [low if x == high else x for x in want]
     assert 1 < len(set(want)) < 90
     bag = lambda w: np.bincount(w, minlength=neardup.BINS).tolist()
-    members = spark.createDataFrame([(1, i, len(w), bag(w), i) for i, w in enumerate(words)], "key long, u long, n int, bag array<short>, label long")
-    texts = spark.createDataFrame(list(enumerate(words)), "u long, words array<int>")
+    members = spark.createDataFrame([(1, i, len(w), i) for i, w in enumerate(words)], "key long, u long, n int, label long")
+    texts = spark.createDataFrame([(i, len(w), bag(w)) for i, w in enumerate(words)], "u long, n int, bag array<short>")
+    held = spark.createDataFrame([(i, w, [1]) for i, w in enumerate(words)], "u long, words array<int>, keys array<long>")
     for whole, block in ((100, 8), (10, 8), (10, 1000)):
-        new = neardup.all_pairs(members, texts, spark.createDataFrame([], "a long, b long"), 0.8, whole, block)
+        new = neardup.all_pairs(members, texts, held, spark.createDataFrame([], "a long, b long"), 0.8, Tables(), whole, block)
         label = {i: i for i in range(90)} | {r.node: r.label for r in neardup.components(new).collect()}
         assert [label[i] for i in range(90)] == want
+
+
+def joined(words, pairs, similarity=0.8):
+    """Classes of the links among ``pairs``, by plain union."""
+    up = list(range(len(words)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        most = int((1 - similarity) * max(len(words[a]), len(words[b])) + 1e-9)
+        if root(a) != root(b) and abs(len(words[a]) - len(words[b])) <= most and distance_within(words[a], words[b], most) is not None:
+            up[max(root(a), root(b))] = min(root(a), root(b))
+    return [root(x) for x in range(len(words))]
+
+
+def test_large_group_against_all_pairs(spark):
+    """Two thousand copies of one text, each with words replaced so that some pairs are linked and some not."""
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    words = []
+    for _ in range(2000):
+        w = list(base)
+        for k in rnd.sample(range(60), rnd.choice([1, 3, 6, 9])):
+            w[k] = f"x{rnd.randrange(10**9)}"
+        words.append(w)
+    # substitutions at set places only, so the distance is the number of places that differ
+    code = {}
+    m = np.array([[code.setdefault(x, len(code)) for x in w] for w in words])
+    up = np.arange(2000)
+    for a in range(2000):
+        for b in np.flatnonzero((m[:a] != m[a]).sum(1) <= 12):
+            if up[b] != up[a]:
+                up[up == max(up[a], up[b])] = min(up[a], up[b])
+    got = neardup.classes(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(up.tolist()))
+
+
+def test_short_texts_meet_exactly(spark):
+    rnd = random.Random(6)
+    words = [[rnd.choice("abcd") for _ in range(rnd.randint(1, 14))] for _ in range(150)]
+    words += [[f"u{i}v{k}" for k in range(n)] for i, n in enumerate(range(5, 15))]
+    for w in words[150:160]:
+        v = list(w)
+        v[len(v) // 2] = "other"
+        words.append(v)
+    want = joined(words, ((a, b) for a in range(len(words)) for b in range(a)))
+    got = neardup.classes(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(want))
+
+
+def test_recall_at_the_threshold():
+    """Pairs with a fifth of their words replaced at random places, the hardest that count as near, share a key in 95 of 100 cases."""
+    rnd = np.random.default_rng(1)
+    met = 0
+    for _ in range(300):
+        a = rnd.integers(0, 2**63, 300).astype(np.uint64)
+        b = a.copy()
+        b[rnd.choice(300, 60, replace=False)] = rnd.integers(0, 2**63, 60).astype(np.uint64)
+        met += bool((neardup.keys_of(a) == neardup.keys_of(b)).any())
+    assert met >= 285
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a b c d e f", "x", 5), (2, "A b c d e f", "y", 6), (3, "z", "w", 7)]
+    df = spark.createDataFrame(rows, "doc_id short, text string, kept_id string, text_hash int").withColumn("OWN_HASH", F.lit(1))
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {1, 3}
