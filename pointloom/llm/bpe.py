@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashIndex, map_arrow, mix
+from .common import HashIndex, column, map_arrow, mix
 
 CHUNK, OVERLAP, LONG = 1 << 16, 1 << 10, 1 << 20
 #: Characters before a chunk's end in which its boundaries are not trusted; a match looks at most this far ahead.
@@ -67,7 +67,10 @@ class Encoder:
     """Ranks, the way to cut a text into units of whole pieces, and the units' ids met so far."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import public_tokenizers
+
         self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.usual = pattern == public_tokenizers.PATTERN
         self.vocab: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.vocab[rank] = token
@@ -83,8 +86,10 @@ class Encoder:
         """Cuts a text at some of its pieces' boundaries.
 
         Where white space is a single space or line feed between other characters, no match goes on over a space, so
-        each space begins a unit; else the units are the pieces.
+        each space begins a unit; else, and with any other pattern than the tokenizers' own, the units are the pieces.
         """
+        if not self.usual:
+            return self.pattern.findall(text)
         parts = text.split(" ")
         if "" in parts or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
             return self.pattern.findall(text)
@@ -97,7 +102,7 @@ class Encoder:
             self.known.clear()
             new = set().union(*texts)
         # a run of letters, with or without a space before, is one piece (isalpha is the pattern's letter class)
-        words = [u for u in new if u[1:].isalpha() and (u[0] == " " or u[0].isalpha())]
+        words = [u for u in new if u[1:].isalpha() and (u[0] == " " or u[0].isalpha())] if self.usual else []
         mixed = [(u, [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(u)]) for u in new.difference(words)]
         coded = [w.encode("utf-8", "surrogatepass") for w in words]
         get = self.ranks.get
@@ -214,8 +219,8 @@ def _digest(ids: list[int], names: list[str], vocab: list[bytes]) -> tuple[int,
 
 
 SCHEMAS = {
-    "ids": ("ids array<int>", [pa.field("ids", pa.list_(pa.int32()))]),
-    "digest": ("n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]),
+    "ids": [("ids", pa.list_(pa.int32()), "array<int>")],
+    "digest": [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")],
 }
 
 
@@ -226,22 +231,19 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, out: str = "ids", id_col
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(ranks)
-    ddl, fields = SCHEMAS[out]
-    id_type = dict(docs.dtypes)[id_col]
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    schema = pa.schema([pa.field("id", pa.int64() if id_type in ("bigint", "int") else pa.string()), *fields])
+    fields = SCHEMAS[out]
+    texts = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col), F.lit("")).alias("t"))
 
     def make():
         tool = encoder(held.value, pattern)
 
         def run(columns):
-            texts = [tool.units(t) if len(t) <= chunk else list(chain.from_iterable(stitch(((a, c, None) for a, c in cut(t, chunk, overlap)), tool.units))) for t in columns[1]]
-            return [columns[0], *map(list, zip(*tool.finish(texts, out), strict=True))] if texts else [[] for _ in schema]
+            texts = [tool.units(t) if len(t) <= chunk else list(chain.from_iterable(stitch(((a, c, None) for a, c in cut(t, chunk, overlap)), tool.units))) for t in columns[0]]
+            return list(map(list, zip(*tool.finish(texts, out), strict=True))) if texts else [[] for _ in fields]
 
         return run
 
-    id_ddl = f"id {'long' if id_type in ('bigint', 'int') else 'string'}"
-    short = map_arrow(texts.where(F.length("t") <= long), ["id", "t"], make, f"{id_ddl}, {ddl}", schema)
+    short = map_arrow(texts.where(F.length("t") <= long), ["id"], ["t"], make, fields)
 
     # long texts: a row for each chunk, dealt out to pre-tokenise, then brought together by document
     step = chunk - overlap
@@ -251,11 +253,9 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, out: str = "ids", id_col
 
     def make_ends():
         tool = encoder(held.value, pattern)
-        return lambda columns: [*columns, [[len(p) for p in tool.units(t)] for t in columns[4]]]
+        return lambda columns: [[[len(p) for p in tool.units(t)] for t in columns[0]]]
 
-    id_field = schema.field("id")
-    chunk_schema = pa.schema([id_field, ("h", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("t", pa.string()), ("lens", pa.list_(pa.int32()))])
-    parts = map_arrow(rows, ["id", "h", "n", "at", "t"], make_ends, f"{id_ddl}, h long, n int, at int, t string, lens array<int>", chunk_schema)
+    parts = map_arrow(rows, ["id", "h", "n", "at", "t"], ["t"], make_ends, [("lens", pa.list_(pa.int32()), "array<int>")])
     parts = parts.repartition("id", "h", "n").sortWithinPartitions("id", "h", "n", "at")
 
     def gather(batches):
@@ -265,8 +265,10 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, out: str = "ids", id_col
 
         def stream():
             for b in batches:
+                kind.append(b.schema.field(0).type)
                 yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
 
+        kind: list[pa.DataType] = []
         for key, group in groupby(stream(), key=lambda r: r[:3]):
             copies = [0]
 
@@ -280,20 +282,18 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, out: str = "ids", id_col
                         yield at, t, [t[a:b] for a, b in zip(ends, ends[1:])]
 
             got = tool.finish([list(chain.from_iterable(stitch(chunks(), tool.units)))], out)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([v] * copies[0], f.type) for v, f in zip((key[0], *got), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([v] * copies[0], k) for v, k in zip((key[0], *got), (kind[0], *(k for _, k, _ in fields)), strict=True)], names=["id", *(n for n, _, _ in fields)])
 
-    together = parts.mapInArrow(gather, f"{id_ddl}, {ddl}")
+    together = parts.mapInArrow(gather, ", ".join([f"id {dict(texts.dtypes)['id']}", *(f"{n} {k}" for n, _, k in fields)]))
     return short.unionByName(together).withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, ranks: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Raw bytes of each row's ids, joined; null or empty ids give no bytes. Returns ``id_col`` and ``bytes``."""
     held = tokens.sparkSession.sparkContext.broadcast(ranks)
-    number = dict(tokens.dtypes)[id_col] in ("bigint", "int")
 
     def make():
         vocab = {v: k for k, v in load_ranks(held.value).items()}
-        return lambda columns: [columns[0], [b"".join(map(vocab.__getitem__, ids or ())) for ids in columns[1]]]
+        return lambda columns: [[b"".join(map(vocab.__getitem__, ids or ())) for ids in columns[0]]]
 
-    schema = pa.schema([(id_col, pa.int64() if number else pa.string()), ("bytes", pa.binary())])
-    return map_arrow(tokens, [id_col, ids_col], make, f"`{id_col}` {'long' if number else 'string'}, bytes binary", schema)
+    return map_arrow(tokens, [id_col], [ids_col], make, [("bytes", pa.binary(), "binary")])

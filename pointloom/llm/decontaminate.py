@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .align import best_ends
-from .common import U64, HashIndex, codepoints, map_arrow, mix
+from .common import U64, HashIndex, codepoints, column, map_arrow, mix
 
 Q, EDITS, BLOCK_CHARS = 10, 0.07, 1 << 23
 
@@ -161,11 +161,9 @@ def blocks(items: DataFrame, id_col: str, text_col: str, chars: int) -> Iterator
 
 def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each row of ``docs``: id, n_items, items (their ids, sorted), spans (item:start:end:edits in code points)."""
-    number = dict(docs.dtypes)[id_col] in ("bigint", "int")
-    id_ddl = f"id {'long' if number else 'string'}"
     found = pa.list_(pa.struct([("item", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("d", pa.int64())]))
     ddl = "array<struct<item:long,s:long,e:long,d:long>>"
-    df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.lit(None).cast(ddl).alias("found"))
+    df = docs.select(column(id_col).alias("id"), column(text_col).alias("t"), F.lit(None).cast(ddl).alias("found"))
     for ids, texts in blocks(items, item_col, item_text, block_chars):
         held = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
@@ -174,15 +172,14 @@ def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
             def run(columns):
                 out = []
-                for text, before in zip(columns[1], columns[2], strict=True):
+                for text, before in zip(*columns, strict=True):
                     more = [{"item": i, "s": s, "e": e, "d": d} for i, s, e, d in index.find(text)]
                     out.append((before or []) + more)
-                return [columns[0], columns[1], out]
+                return [out]
 
             return run
 
-        schema = pa.schema([("id", pa.int64() if number else pa.string()), ("t", pa.string()), ("found", found)])
-        df = map_arrow(df, ["id", "t", "found"], make, f"{id_ddl}, t string, found {ddl}", schema)
+        df = map_arrow(df, ["id", "t"], ["t", "found"], make, [("found", found, ddl)])
     every = F.array_sort(F.coalesce("found", F.array().cast(ddl)))
     ids = F.array_distinct(F.transform(every, lambda x: x["item"]))
     return df.select(
@@ -195,7 +192,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     """The rows of ``docs``, with all their columns, that hold no item. A filter in place, without a join."""
     out = docs
     for ids, texts in blocks(items, item_col, item_text, block_chars):
-        out = out.where(_clean(docs.sparkSession.sparkContext.broadcast((ids, texts)))(F.col(text_col)))
+        out = out.where(_clean(docs.sparkSession.sparkContext.broadcast((ids, texts)))(column(text_col)))
     return out
 
 

@@ -243,16 +243,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         return run
 
-    schema = pa.schema([("host", pa.string()), ("node", pa.int32()), ("paired", pa.int64()), ("same", pa.int64())])
+    counted = [("host", pa.string(), "string"), ("node", pa.int32(), "int"), ("paired", pa.int64(), "long"), ("same", pa.int64(), "long")]
     pairs = with_host(p.where("host is not null and html is not null"), refs, size).where("ref is not null")
-    votes = map_arrow(pairs, ["host", "html", "ref"], make_votes, "host string, node int, paired long, same long", schema).groupBy("host", "node").agg(F.sum("paired").alias("paired"), F.sum("same").alias("same"))
+    votes = map_arrow(pairs, [], ["host", "html", "ref"], make_votes, counted).groupBy("host", "node").agg(F.sum("paired").alias("paired"), F.sum("same").alias("same"))
     constant = votes.where((F.col("paired") + 1 >= LEAST_PAGES) & (F.col("same") >= LEAST_SHARE * F.col("paired"))).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     hosts = materialise(refs.join(constant, "host"), "templates")  # a list per host, no longer than its reference
 
     def make_texts():
         def run(columns):
             texts = []
-            for html, ref, nodes in zip(*columns[2:], strict=True):
+            for html, ref, nodes in zip(*columns, strict=True):
                 page = parse(html or "")
                 template: set[int] = set()
                 if ref is not None and nodes:
@@ -260,10 +260,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     reference = _reference(ref)
                     template = {a for a, b in align(page, reference).items() if b in fixed and page[a].own_text() == reference[b].own_text()}
                 texts.append(main_text(page, template))
-            return [columns[0], columns[1], texts, [len(t) for t in texts]]
+            return [texts, [len(t) for t in texts]]
 
         return run
 
-    number = dict(pages.dtypes)[id_col] in ("bigint", "int")
-    schema = pa.schema([(id_col, pa.int64() if number else pa.string()), (url_col, pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-    return map_arrow(with_host(p, hosts, size), ["id", "url", "html", "ref", "nodes"], make_texts, f"`{id_col}` {'long' if number else 'string'}, `{url_col}` string, text string, n_chars long", schema)
+    return map_arrow(with_host(p, hosts, size), ["id", "url"], ["html", "ref", "nodes"], make_texts, [("text", pa.string(), "string"), ("n_chars", pa.int64(), "long")]).toDF(id_col, url_col, "text", "n_chars")

@@ -349,7 +349,6 @@ def tensors(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
 
     Null data, and what isn't a progressive JPEG, give nulls.
     """
-    number = dict(files.dtypes)[id_col] in ("bigint", "int")
 
     def one(data):
         try:
@@ -359,10 +358,9 @@ def tensors(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
         return x.shape[0], x.shape[1], x.tobytes()
 
     def make():
-        return lambda columns: [columns[0], *([list(c) for c in zip(*[one(d) if d is not None else (None, None, None) for d in columns[1]], strict=True)] if columns[0] else [[], [], []])]
+        return lambda columns: [list(c) for c in zip(*[one(d) if d is not None else (None, None, None) for d in columns[0]], strict=True)] if columns[0] else [[], [], []]
 
-    schema = pa.schema([(id_col, pa.int64() if number else pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("pixels", pa.binary())])
-    return map_arrow(files, [id_col, data_col], make, f"`{id_col}` {'long' if number else 'string'}, height int, width int, pixels binary", schema)
+    return map_arrow(files, [id_col], [data_col], make, [("height", pa.int32(), "int"), ("width", pa.int32(), "int"), ("pixels", pa.binary(), "binary")])
 
 
 UNIT = 192
@@ -373,7 +371,6 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Null text counts as empty; an empty text is one unit of padding. Repeated rows give repeated results.
     """
-    number = dict(docs.dtypes)[id_col] in ("bigint", "int")
 
     def one(text):
         data = (text or "").encode("utf-8", "surrogatepass")
@@ -384,7 +381,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(file), hashlib.sha256(file).hexdigest(), features(rgb(image))
 
     def make():
-        return lambda columns: [columns[0], *([list(c) for c in zip(*map(one, columns[1]), strict=True)] if columns[0] else [[]] * 7)]
+        return lambda columns: [list(c) for c in zip(*map(one, columns[0]), strict=True)] if columns[0] else [[]] * 7
 
-    schema = pa.schema([(id_col, pa.int64() if number else pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-    return map_arrow(docs, [id_col, text_col], make, f"`{id_col}` {'long' if number else 'string'}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", schema)
+    kinds = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+    return map_arrow(docs, [id_col], [text_col], make, [(n, pa.int64() if k == "long" else pa.string(), k) for n, k in kinds.items()])

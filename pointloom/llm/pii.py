@@ -357,16 +357,14 @@ def find_personal(docs: DataFrame, field: Field, id_col: str = "doc_id", text_co
         field = held.value
 
         def run(columns):
-            out: list[list] = [list(columns[0])] + [[] for _ in range(6)]
-            for plain, every in findings([t or "" for t in columns[1]], field):
+            out: list[list] = [[] for _ in range(6)]
+            for plain, every in findings([t or "" for t in columns[0]], field):
                 kinds = [k for _, k, _ in plain]
-                for column, v in zip(out[1:], (*[kinds.count(k) for k in range(4)], hashlib.sha256(joined(plain).encode()).hexdigest(), joined(every)), strict=True):
-                    column.append(v)
+                for values, v in zip(out, (*[kinds.count(k) for k in range(4)], hashlib.sha256(joined(plain).encode()).hexdigest(), joined(every)), strict=True):
+                    values.append(v)
             return out
 
         return run
 
-    number = dict(docs.dtypes)[id_col] in ("bigint", "int")
-    schema = pa.schema([(id_col, pa.int64() if number else pa.string()), *[(f"n_{k}", pa.int64()) for k in KINDS[:4]], ("base_sha256", pa.string()), ("spans", pa.string())])
-    ddl = f"`{id_col}` {'long' if number else 'string'}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return map_arrow(docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))), [id_col, text_col], make, ddl, schema)
+    new = [*[(f"n_{k}", pa.int64(), "long") for k in KINDS[:4]], ("base_sha256", pa.string(), "string"), ("spans", pa.string(), "string")]
+    return map_arrow(docs, [id_col], [text_col], make, new)
