@@ -1,13 +1,23 @@
 """Secret scan through nested encodings.
 
-A worklist starts with the text itself. Each layer is scanned for the three kinds of secret, then every region of it
-that looks encoded (percent escapes, backslash-u and -x escapes, base64, hex dumps of compressed data) is decoded into
-a new layer, until nothing new appears. A layer whose content was met before at the same place is not opened again, so
-cycles end. Every layer keeps, for each of its characters, the range of the text it came from; findings are reported in
-those terms.
-
-Null text counts as empty; empty texts have no findings. Repeated rows give repeated results; other columns are not
-read. Decompression stops at ``MOST_UNPACKED`` bytes per layer, so that a bomb cannot take a worker's memory.
+A worklist starts with the text itself. Each layer is scanned for the three kinds of secret, then all that looks encoded
+in it is decoded into new layers, which go on the worklist, until nothing new appears:
+
+* percent, backslash (u, U, x) and numeric character escapes: the whole layer with its escapes undone, as they may cover a
+  part of a secret only;
+* base64 runs of 16 characters or more (fewer can't hold a secret of any kind), also over lines of equal length, and hex
+  dumps: their bytes;
+* UTF-16 in bytes: its characters;
+* gzip, zlib, bzip2 and xz streams, wherever they begin: what they unpack to, in windows of ``WINDOW`` bytes that overlap,
+  to the end of the stream, so that a bomb can't take a worker's memory and nothing is left out. A stream inside a stream
+  is unpacked as it comes. A broken or truncated stream is read as far as it goes.
+
+Bytes are layers of one character each (code points 0 to 255): the patterns are ASCII, so no decoded text has to be valid in
+any encoding. A layer whose content was met before at the same place is not opened again, so cycles end. Every layer
+keeps the range of the text that each character came from; findings are reported in those terms (all that comes out of
+a compressed stream has the range of the stream).
+
+Null text counts as empty; empty texts have no findings. Repeated rows give repeated results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,26 +29,32 @@ import hashlib
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import column, map_arrow
 
 KINDS = ("assign", "access", "hex")
-MOST_UNPACKED = 1 << 26
+#: Bytes of an unpacked stream that are scanned at once, and by how many windows overlap.
+WINDOW, OVERLAP = 1 << 23, 1 << 16
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
 #: Where an assign match can begin; a text without any is not searched further.
 _KEYWORD = re.compile(r"passw|secret|token|api_?key", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_PERCENT = re.compile(r"(?<![A-Za-z0-9._~+-])(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9._~+-])*%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9._~+-])*")
-_ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+_ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U000[0-9A-Fa-f]{5}|\\x[0-9A-Fa-f]{2}")
+_ENTITY = re.compile(r"&#(?:[0-9]{2,7}|[xX][0-9A-Fa-f]{2,6});")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_PACKED = ((b"\x1f\x8b", lambda d: zlib.decompressobj(31)), (b"BZh", lambda d: bz2.BZ2Decompressor()), (b"\xfd7zXZ", lambda d: lzma.LZMADecompressor()))
+_NEXT_LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
+_DUMP = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
+_STREAM = re.compile(r"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\A[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\xff]")
+_BYTES = re.compile(r"[\x00-\xff]*")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -52,94 +68,202 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def unpack(data: bytes) -> bytes | None:
-    """Decompressed data, if it begins like gzip, zlib, bzip2 or xz and is sound; at most MOST_UNPACKED bytes."""
-    opener = next((f for magic, f in _PACKED if data.startswith(magic)), None)
-    if opener is None and len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0:
-        opener = lambda d: zlib.decompressobj()
-    if opener is None:
-        return None
+def unpacker(data: bytes):
+    """A decompressor for data that begins like gzip, zlib, bzip2 or xz."""
+    if data.startswith(b"\x1f\x8b\x08"):
+        return zlib.decompressobj(31)
+    if data.startswith(b"BZh"):
+        return bz2.BZ2Decompressor()
+    if data.startswith(b"\xfd7zXZ\x00"):
+        return lzma.LZMADecompressor()
+    if len(data) > 2 and data[0] & 0x8F == 0x08 and (data[0] << 8 | data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    return None
+
+
+def unpacked(chunks: Iterator[bytes], size: int, used: list[int] | None = None) -> Iterator[bytes]:
+    """Bytes of a compressed stream, at most ``size`` at a time, as far as it is sound; members that follow one another are one stream.
+
+    used: gets the number of bytes that the stream took of what was given.
+    """
+    tool, left, given = None, b"", 0
     try:
-        return opener(data).decompress(data, MOST_UNPACKED)
+        for chunk in chunks:
+            given += len(chunk)
+            left += chunk
+            while left or tool is not None:
+                if tool is None:
+                    if (tool := unpacker(left)) is None:
+                        return
+                out = tool.decompress(left, size)
+                left = getattr(tool, "unconsumed_tail", b"")
+                if out:
+                    yield out
+                if tool.eof:
+                    left = tool.unused_data
+                    tool = None
+                    if not left:
+                        break
+                elif not out and (not left or getattr(tool, "needs_input", False)):
+                    break
     except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+        return
+    finally:
+        if used is not None:
+            used.append(given - len(left))
+
+
+def windows(chunks: Iterator[bytes], size: int, overlap: int) -> Iterator[bytes]:
+    """The stream in windows, each of which begins with the end of the one before; streams in the stream are unpacked first."""
+    first = next(chunks, b"")
+    while len(first) < 16 and (more := next(chunks, b"")):
+        first += more
+
+    def whole():
+        yield first
+        yield from chunks
+
+    if unpacker(first) is not None and next(unpacked(iter([first[:65536]]), 64), None) is not None:
+        inner = unpacked(whole(), size)
+        yield from windows(_after(next(inner, b""), inner), size, overlap)
+        return
+    held = b""
+    for chunk in whole():
+        held += chunk
+        while len(held) >= size:
+            yield held[:size]
+            held = held[size - overlap :]
+    yield held
+
+
+def _after(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
+    yield first
+    yield from rest
+
+
+def undone(text: str, pattern: re.Pattern, change) -> tuple[str, tuple] | None:
+    """The text with all matches of an escape replaced by one character each, and where each character came from."""
+    found = [(m.start(), m.end(), change(m[0])) for m in pattern.finditer(text)]
+    if not found:
+        return None
+    n = len(text)
+    gone = np.zeros(n + 1, np.int32)
+    ends = np.arange(1, n + 1)
+    for s, e, _ in found:
+        gone[s + 1] += 1
+        gone[e] -= 1
+        ends[s] = e
+    starts = np.flatnonzero(np.cumsum(gone[:n]) == 0)
+    out, at = [], 0
+    for s, e, c in found:
+        out += [text[at:s], c]
+        at = e
+    out.append(text[at:])
+    return "".join(out), (starts, ends[starts])
+
+
+def _code(digits: str, base: int) -> str:
+    n = int(digits, base)
+    return chr(n) if n < 0x110000 else "\ufffd"
+
+
+def _entity(x: str) -> str:
+    return _code(x[3:-1], 16) if x[2] in "xX" else _code(x[2:-1], 10)
+
+
+def _base64_layer(text: str, lines: list[tuple[int, int]]) -> tuple[str, tuple] | None:
+    """Bytes of base64 digits on these lines (start, end), with no padding but at the end."""
+    digits = "".join(text[a:b] for a, b in lines).rstrip("=")
+    if len(digits) % 4 == 1 or "=" in digits:
         return None
-
-
-def readable(data: bytes) -> str | None:
-    """Text, if these bytes are UTF-8 without control characters."""
     try:
-        text = data.decode()
-    except UnicodeDecodeError:
+        data = base64.b64decode(digits.replace("-", "+").replace("_", "/") + "=" * (-len(digits) % 4), validate=True)
+    except binascii.Error:
         return None
-    return text if text and not re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", text) else None
+    place = np.concatenate([np.arange(a, b) for a, b in lines])
+    at = np.arange(len(data))
+    return data.decode("latin-1"), (place[at * 4 // 3], place[np.minimum(-(-(at + 1) * 4 // 3), len(digits)) - 1] + 1)
+
+
+def opened(text: str, window: int = WINDOW, overlap: int = OVERLAP) -> Iterator[tuple[str, tuple]]:
+    """Layers inside a layer: their text, and the range in this layer of each character (two arrays) or of all (two numbers)."""
+    if "%" in text and (got := undone(text, _PERCENT, lambda x: chr(int(x[1:], 16)))):
+        yield got
+    if "\\" in text and (got := undone(text, _ESCAPE, lambda x: _code(x[2:], 16))):
+        yield got
+    if "&#" in text and (got := undone(text, _ENTITY, _entity)):
+        yield got
+    done = 0
+    for m in _BASE64.finditer(text):
+        if (got := _base64_layer(text, [m.span()])) is not None:
+            yield got
+        if m.end() <= done or m[0].endswith("=") or len(m[0]) % 4:
+            continue
+        lines, wide = [m.span()], len(m[0])
+        while (n := _NEXT_LINE.match(text, lines[-1][1])) and len(n[1]) <= wide:
+            lines.append(n.span(1))
+            if len(n[1]) < wide or n[1].endswith("="):
+                break
+        if len(lines) > 1:
+            done = lines[-1][1]
+            for some in (lines, lines[:-1] if len(lines) > 2 else []):  # the last line may be none of them
+                if some and (got := _base64_layer(text, some)) is not None:
+                    yield got
+    for m in _DUMP.finditer(text):
+        at = np.arange(m.start(), m.end(), 2)
+        yield bytes.fromhex(m[0]).decode("latin-1"), (at, at + 2)
+    if "\0" in text:
+        for order in (0, 1):  # the high bytes of ASCII characters in UTF-16 are 0
+            for m in re.finditer(r"(?:[^\0]\0){6,}" if order else r"(?:\0[^\0]){6,}", text):
+                at = np.arange(m.start(), m.end(), 2)
+                yield m[0][1 - order :: 2], (at, at + 2)
+    reach = -1
+    for m in _STREAM.finditer(text):
+        if m.start() < reach:
+            continue
+        data = _BYTES.match(text, m.start())[0].encode("latin-1")
+        if unpacker(data) is None:
+            continue
+        used: list[int] = []
+        if not sum(map(len, unpacked(iter([data]), window, used))):  # a first pass, to know where the stream ends
+            continue
+        reach = m.start() + used[0]
+        for part in windows(unpacked(iter([data]), window), window, overlap):
+            yield part.decode("latin-1"), (m.start(), reach)
 
 
-def _pieces(parts: list[tuple[str, int, int]]) -> tuple[str, np.ndarray, np.ndarray]:
-    """A layer from (text, start, end in the parent) pieces; with start -1 a piece is plain text that begins at ``end``."""
-    starts, ends = [], []
-    for t, a, b in parts:
-        starts.append(np.full(len(t), a) if a >= 0 else np.arange(b, b + len(t)))
-        ends.append(np.full(len(t), b) if a >= 0 else starts[-1] + 1)
-    return "".join(p[0] for p in parts), np.concatenate(starts), np.concatenate(ends)
+def _through(outer: tuple | None, inner: tuple) -> tuple:
+    """Ranges in the text, from ranges in a layer and that layer's own."""
+    if outer is None:
+        return inner
+    if not isinstance(outer[0], np.ndarray):
+        return outer
+    s, e = inner
+    return (outer[0][s], outer[1][e - 1]) if isinstance(s, np.ndarray) else (int(outer[0][s]), int(outer[1][e - 1]))
 
 
-def _by_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """A layer from bytes that each have a range in the parent; several bytes can make one character."""
-    text = readable(data)
-    if text is None:
-        return None
-    first = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-    return text, starts[first], ends[np.append(first[1:], len(data)) - 1]
-
-
-def opened(text: str):
-    """Layers inside a layer: (text, start of each character in the parent, end of each)."""
-    if "%" in text:
-        for m in _PERCENT.finditer(text):
-            parts = [(x.start() + m.start(), x.end() + m.start(), x[0]) for x in re.finditer(r"%[0-9A-Fa-f]{2}|[^%]", m[0])]
-            data = b"".join(bytes([int(p[2][1:], 16)]) if len(p[2]) == 3 else p[2].encode() for p in parts)
-            if (got := _by_bytes(data, np.array([p[0] for p in parts]), np.array([p[1] for p in parts]))) is not None:
-                yield got
-    if "\\" in text:
-        at, parts = 0, []  # the whole layer with its escapes undone, as they may cover a secret in part only
-        for x in _ESCAPE.finditer(text):
-            parts += [(text[at : x.start()], -1, at), (chr(int(x[0][2:], 16)), x.start(), x.end())]
-            at = x.end()
-        if parts:
-            yield _pieces([*parts, (text[at:], -1, at)])
-    for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except binascii.Error:
-            continue
-        at = np.arange(len(data))
-        if (got := _by_bytes(data, m.start() + at * 4 // 3, m.start() + np.minimum(-(-(at + 1) * 4 // 3), len(run)))) is not None:
-            yield got
-        elif (more := unpack(data)) is not None and (inner := readable(more)) is not None:
-            yield _pieces([(inner, m.start(), m.end())])
-    for m in re.finditer(r"(?:1f8b|789c|7801|78da|425a68|fd377a585a)[0-9a-f]{16,}", text, re.I) if re.search(r"1f8b|789c|7801|78da|425a68|fd377a585a", text, re.I) else ():
-        if len(m[0]) % 2 == 0 and (more := unpack(bytes.fromhex(m[0]))) is not None and (inner := readable(more)) is not None:
-            yield _pieces([(inner, m.start(), m.end())])
+def _range(place: tuple, s: int, e: int) -> tuple[int, int]:
+    return (int(place[0][s]), int(place[1][e - 1])) if isinstance(place[0], np.ndarray) else place
 
 
-def findings(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int]], int]:
+def findings(text: str, window: int = WINDOW, overlap: int = OVERLAP) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int]], int]:
     """Findings in the text itself, those of all layers mapped to the text, and the number of layers below it."""
     base = scan(text)
-    found, seen, work, layers = set(base), {(text, 0, len(text))}, [(text, None, None)], 0
+    found, seen, work, layers = set(base), {(text, 0, len(text))}, [(text, None)], 0
     while work:
-        layer, starts, ends = work.pop()
-        for inner, s, e in opened(layer):
-            if starts is not None:
-                s, e = starts[s], ends[e - 1]
-            if (key := (inner, int(s[0]), int(e[-1]))) in seen:
+        layer, place = work.pop()
+        for inner, where in opened(layer, window, overlap):
+            if not inner:
+                continue
+            where = _through(place, where)
+            if (key := (inner, *_range(where, 0, len(inner)))) in seen:
                 continue
             seen.add(key)
             layers += 1
-            found.update((int(s[a]), kind, int(e[b - 1])) for a, kind, b in scan(inner))
-            work.append((inner, s, e))
+            for a, kind, b in scan(inner):
+                s, e = _range(where, a, b)
+                found.add((s, kind, e))
+            work.append((inner, where))
     return base, found, layers
 
 
@@ -152,20 +276,19 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def make():
         def run(columns):
-            out: list[list] = [[] for _ in range(7)]
-            for key, text in zip(*columns, strict=True):
+            out: list[list] = [[] for _ in range(6)]
+            for text in columns[0]:
                 base, found, layers = findings(text or "")
                 kinds = [k for _, k, _ in base]
-                row = key, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), layers
-                for column, v in zip(out, row, strict=True):
-                    column.append(v)
+                row = kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), layers
+                for values, v in zip(out, row, strict=True):
+                    values.append(v)
             return out
 
         return run
 
-    number = dict(docs.dtypes)[id_col] in ("bigint", "int")
-    schema = pa.schema([(id_col, pa.int64() if number else pa.string()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_layers", pa.int64())])
-    return map_arrow(docs, [id_col, text_col], make, f"`{id_col}` {'long' if number else 'string'}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long", schema)
+    new = [*[(f"n_{k}", pa.int64(), "long") for k in KINDS], ("base_sha256", pa.string(), "string"), ("spans", pa.string(), "string"), ("n_layers", pa.int64(), "long")]
+    return map_arrow(docs, [id_col], [text_col], make, new)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -185,4 +308,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
         return texts.map(one)
 
-    return docs.withColumn("text", clean("text"))
+    return docs.withColumn("text", clean(column("text")))

@@ -56,3 +56,58 @@ def test_frame(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     red = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, k int")).collect()
     assert [r.text for r in red] == ["[SECRET]", "[SECRET]", None, ""]
+
+
+def wrapped(text):
+    code = base64.b64encode(text.encode() * 3).decode()
+    return "\n".join(code[i : i + 64] for i in range(0, len(code), 64))
+
+
+def test_layers_within_layers():
+    """Each of these hides one secret, and one span lies within what hides it."""
+    import bz2
+    import lzma
+    import zlib
+    from urllib.parse import quote, quote_from_bytes
+
+    secret = f"my token={KEY}"
+    b64 = lambda b: base64.b64encode(b).decode()
+    plain = secret.encode()
+    for hidden in (
+        b64(gzip.compress(gzip.compress(plain))), b64(gzip.compress(bz2.compress(plain))), b64(lzma.compress(zlib.compress(plain))),
+        b64(gzip.compress(b"x" * 50 + gzip.compress(plain))), quote_from_bytes(gzip.compress(plain)), b64(secret.encode("utf-16")), b64(secret.encode("utf-16-be")),
+        b64(b"\x1b[31m" + plain + b"\x00\xff"), wrapped(f"{secret} and more, "), gzip.compress(plain).hex(), gzip.compress(plain).hex().upper(),
+        b64(quote("".join(f"\\u{ord(c):04x}" for c in secret)).encode()), quote(quote(b64(plain))), "".join(f"&#{ord(c)};" for c in secret),
+        b64(gzip.compress(gzip.compress(plain + b" " * 5000)[:-9])),
+    ):
+        got = secrets.findings(f"see {hidden} there")[1]
+        assert any(k == 1 and 4 <= s < e <= 4 + len(hidden) for s, k, e in got), hidden
+
+
+def test_percent_escape_in_a_value():
+    text = "say password = %68unter2222 now"
+    assert spans(text) == "assign:4:27"
+
+
+def test_whole_streams_are_scanned():
+    """A secret anywhere in a large stream is found, also across the edges of the windows."""
+    for at in (0, 990, 1000, 5000, 9990):
+        data = bytearray(b"." * 10_000)
+        data[at : at + 20] = b"AKIA" + b"B" * 6 + b"C" * 10
+        code = base64.b64encode(gzip.compress(bytes(data))).decode()
+        for inner in (code, base64.b64encode(gzip.compress(gzip.compress(bytes(data)))).decode()):
+            assert any(k == 1 for _, k, _ in secrets.findings(f"a {inner}", 1000, 100)[1])
+
+
+def test_against_a_plain_scan():
+    import random
+
+    rnd = random.Random(3)
+    parts = ["password", "token", '"', "'", ": ", " = ", "=", "AKIA", "ABCDEFGH12345678", "0123abcdef", "deadbeef", " ", "x", "api_key", "APIKEY", "zz", "é", "-_./+"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 25)))
+        want = [(m.start(), 0, m.end()) for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A) if len(m[2]) >= 6]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        base, found, _ = secrets.findings(text)
+        assert sorted(base) == sorted(want) and set(want) <= found
