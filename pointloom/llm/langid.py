@@ -5,7 +5,8 @@ log frequency of its 5-grams (with its edges as spaces), or if none is known by
 The language with the best mean over the words wins.
 
 Counting runs in Spark over a bounded sample of labelled rows (``PER_LANGUAGE`` rows of each language, picked by a
-hash of the id), so the model is bounded too and can be broadcast.
+hash of id and text). The model keeps the features of the highest counts, at most ``MOST_CELLS`` numbers over all
+languages whatever the lengths of the texts, so it can be collected and broadcast.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashIndex, codepoints, map_arrow, mix, pieces, powers, prefix, span_hash, spans
+from .common import HashIndex, Tables, codepoints, map_arrow, mix, pieces, powers, prefix, span_hash, spans
 
 LONGEST = 5
 #: Bound of the labelled rows of a language that the model is fitted on.
 PER_LANGUAGE = 2500
 #: Bound of the number of languages; more are an error.
 MOST_LANGUAGES = 256
+#: Bound of the model: features times languages.
+MOST_CELLS = 1 << 24
 #: Features seen less often in the sample are left out.
 LEAST_COUNT = 2
 #: What a feature costs in a language that lacks it: minus log10 of a frequency.
@@ -112,7 +115,7 @@ class Model:
         return self.languages[best], float(1 / np.exp((mean[best] - mean) * np.log(10)).sum())
 
 
-def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", per_language: int = PER_LANGUAGE, cells: int = MOST_CELLS) -> Model:
     """Count words and n-grams of a bounded sample of the rows where ``train`` holds and text and lang aren't null.
 
     An empty table, or one without labels, gives a model that answers ``und``. Ties and repeated rows just count.
@@ -125,8 +128,10 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", per_language: in
     if not languages:
         return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32))
     at = {k: i for i, k in enumerate(languages)}
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(min(1.0, per_language / sizes[k]) * (1 << 20))))])
-    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")])
+    # a share of the hashes' whole range, which stays above 0 however many rows a language has
+    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))])
+    place = F.shiftrightunsigned(F.xxhash64("id", "text"), 1).cast("double") / float(1 << 63)
+    sample = labelled.where(place <= share[F.col("lang")])
 
     def make():
         def count(columns):
@@ -146,33 +151,40 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", per_language: in
 
         return count
 
-    schema = pa.schema([("lang", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("c", pa.int64())])
-    counts = map_arrow(sample, ["text", "lang"], make, "lang int, n int, key long, c long", schema).groupBy("lang", "n", "key").agg(F.sum("c").alias("c"))
-    # frequencies are relative to the features kept
-    kept = counts.where(F.col("c") >= LEAST_COUNT).toPandas()
-    total = kept.groupby(["lang", "n"])["c"].transform("sum")
-    keys, row = np.unique(kept["key"].to_numpy().view(np.uint64), return_inverse=True)
+    new = [("lang", pa.int32(), "int"), ("n", pa.int32(), "int"), ("key", pa.int64(), "long"), ("c", pa.int64(), "long")]
+    counts = map_arrow(sample, [], ["text", "lang"], make, new).groupBy("lang", "n", "key").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_COUNT)
+    tables = Tables()
+    counts = tables.keep(counts, "features")
+    # the rarest go, a whole level of counts at a time, until what the model holds has its bound
+    level = F.floor(F.log2("c")).cast("int")
+    by_level = {r.l: r.n for r in counts.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect()}
+    cutoff, left = 0, sum(by_level.values())
+    while left * len(languages) > cells:
+        left -= by_level.get(cutoff, 0)
+        cutoff += 1
+    kept = counts.where(F.col("c") >= float(1 << cutoff))
+    total = {(r.lang, r.n): r.t for r in kept.groupBy("lang", "n").agg(F.sum("c").alias("t")).collect()}  # frequencies are relative to the features kept
+    totals = F.create_map(*[x for (lang, n), t in total.items() for x in (F.lit(lang * 8 + n), F.lit(float(t)))]) if total else F.create_map(F.lit(0), F.lit(1.0))
+    cost = F.least(-F.log10(F.col("c") / totals[F.col("lang") * 8 + F.col("n")]), F.lit(PENALTY)).cast("float")
+    rows = kept.select("lang", "key", cost.alias("cost")).toArrow()
+    tables.drop("features")
+    keys, row = np.unique(rows["key"].to_numpy().view(np.uint64), return_inverse=True)
     costs = np.full((len(keys), len(languages)), PENALTY, np.float32)
-    costs[row, kept["lang"].to_numpy()] = np.minimum(-np.log10(kept["c"].to_numpy() / total.to_numpy()), PENALTY)
+    costs[row, rows["lang"].to_numpy()] = rows["cost"].to_numpy()
     return Model(languages, keys, costs)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (0 to 1) to the columns ``keep``; null or letterless text is ``und`` with score 0."""
+def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score"), text_col: str = "text") -> DataFrame:
+    """Adds a language and a score (0 to 1), under ``names``, to the columns ``keep``; null or letterless text is ``und`` with score 0."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema_in = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(schema_in).append(pa.field("lang_pred", pa.string())).append(pa.field("score", pa.float64()))
 
     def make():
         model = held.value
 
         def run(columns):
-            found = [model.predict(t) for t in columns[-1]]
-            return [*columns[:-1], [f[0] for f in found], [f[1] for f in found]]
+            found = [model.predict(t) for t in columns[0]]
+            return [[f[0] for f in found], [f[1] for f in found]]
 
         return run
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema_in]) + ", lang_pred string, score double"
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")), [*keep, "_text"], make, ddl, schema)
+    return map_arrow(docs, keep, [text_col], make, [(names[0], pa.string(), "string"), (names[1], pa.float64(), "double")])
