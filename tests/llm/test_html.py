@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 from pointloom.llm import html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
@@ -8,7 +11,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 
 
 def text(page):
-    return html.main_text(html.parse(page), set())
+    return html.main_text(html.parse(page))
 
 
 def test_article():
@@ -63,3 +66,43 @@ def test_induction(spark):
     assert got[40].text.startswith("My Shop") and got[41].text == got[42].text == "" and got[None].text == "solo"
     assert html.extract(df).count() == len(rows)
     assert html.extract(df.limit(0)).count() == 0
+
+
+def bare(page):
+    """A page whose author marks nothing: all structure is div, without classes."""
+    page = re.sub(r"<(/?)(?:article|main|nav|aside|footer|header|section)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r" (?:class|id|role)=(?:\"[^\"]*\"|'[^']*')", "", page)
+
+
+def test_wrappers_replace_marks(spark):
+    """On the shared pages, the wrapper finds without any mark what the marks tell, where a host has enough pages."""
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    rows = table.collect()
+    hosts = Counter(re.sub(r"https?://([^/]+).*", r"\1", r.url or "") for r in rows)
+    want = {r.page_id: html.main_text(html.parse(r.html or "")) for r in rows}
+    got = {r.page_id: r.text for r in html.extract(table).collect()}
+    assert got == want
+    stripped = spark.createDataFrame([(r.page_id, r.url, bare(r.html)) for r in rows if r.html], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html.extract(stripped).collect()}
+    many = [r.page_id for r in rows if r.html and hosts[re.sub(r"https?://([^/]+).*", r"\1", r.url or "")] >= 5]
+    right = sum(found[i] == want[i] for i in many) / len(many)
+    without = sum(html.main_text(html.parse(bare(r.html))) == want[r.page_id] for r in rows if r.page_id in set(many)) / len(many)
+    print("right with the wrapper", right, "without", without)
+    assert right >= 0.8 and without <= 0.1
+
+
+def test_constant_notice_within_articles(spark):
+    page = "<body><article><h1>Story {n}</h1><div><p>Please keep our rules in mind.</p></div><p>{t}</p></article></body>"
+    rows = [(i, f"http://a.example/{i}", page.format(n=i, t=f"text {i} " * 40)) for i in range(6)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"Story {r.page_id}\n\n" + (f"text {r.page_id} " * 40).strip() for r in got)
+
+
+def test_deep_pages_align():
+    page = html.parse("<div>" * 3000 + "<p>deep</p><b>x</b>" + "</div>" * 3000)
+    other = html.parse("<div>" * 3000 + "<p>deep</p><i>y</i>" + "</div>" * 3000)
+    assert len(html.align(page, other)) == 3002
+
+
+def test_nothing_is_dropped_but_code():
+    assert text("<p>Area <math>x=2</math> <svg><text>s</text></svg><object>o</object> ends") == "Area x=2 so ends"
