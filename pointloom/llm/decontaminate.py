@@ -4,7 +4,12 @@ Texts are lower-cased, and every run of characters other than ASCII letters and
 one space. An item of L characters may differ from a stretch of a document by k = 7 % of L edits. Then they share at
 least L + 1 - q - q * k q-grams, whose diagonals (place in the document less place in the item) lie within k of each
 other. So hits are counted in bands of 2k diagonals, each overlapping the next by k; a band with enough hits is
-verified by alignment of the item with the stretch under the band, in which no path can leave it.
+filtered again by the lemma for q = 4 (a tighter bound, without regard to diagonals) and then verified by alignment of the
+item with the stretch under the band, in which no path can leave it. k is at most (L - 10) / 10, one less than 7 % give for
+items of 15 to 19 and of 29 characters: with more edits the lemma promises them nothing.
+
+Where many items share a phrase that stands often in a document, the hits are counted in sections of the document that
+overlap by more than a band is long, so that no more than ``MOST_HITS`` are held at once.
 
 The items are read in blocks of at most ``BLOCK_CHARS`` characters, so that what is broadcast has a bound; each block
 is one more narrow map over the documents. There is no shuffle, so no document, source or passage can be hot.
@@ -26,7 +31,9 @@ from pyspark.sql import functions as F
 from .align import best_ends
 from .common import U64, HashIndex, codepoints, column, map_arrow, mix
 
-Q, EDITS, BLOCK_CHARS = 10, 0.07, 1 << 23
+Q, EDITS, BLOCK_CHARS = 10, 0.07, 1 << 21
+#: Length of the grams that bands are filtered by, and of hits that are held at once.
+FINE, MOST_HITS = 4, 1 << 22
 
 _ALNUM = np.array([chr(i).isalnum() for i in range(128)])
 
@@ -76,15 +83,15 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str]):
         self.ids, self.units, self.short = ids, [], []
-        grams, owner, place = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        grams, owner, place = [np.zeros(0, U64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for n, text in enumerate(texts):
             u = normalise(text)[0]
             u = u[1:-1]
-            self.units.append(u.tolist())
+            self.units.append(u.astype(np.uint32))
             if 0 < len(u) < Q:
                 self.short.append(n)
             h = gram_hashes(u)
-            grams.append(h), owner.append(np.full(len(h), n)), place.append(np.arange(len(h)))
+            grams.append(h), owner.append(np.full(len(h), n, np.int32)), place.append(np.arange(len(h), dtype=np.int32))
         h, owner, place = map(np.concatenate, (grams, owner, place))
         order = np.argsort(h, kind="stable")
         self.owner, self.place = owner[order], place[order]
@@ -95,6 +102,7 @@ class Items:
         bound = [budget(len(u)) for u in self.units]
         self.k = np.array([b[0] for b in bound], np.int64)
         self.least = np.array([max(1, b[1]) for b in bound], np.int64)
+        self.longest = max(map(len, self.units), default=0)
         self.fewest = int(self.least[[n for n, u in enumerate(self.units) if len(u) >= Q]].min()) if any(len(u) >= Q for u in self.units) else 0
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
@@ -113,34 +121,64 @@ class Items:
         hits, got = hits[got >= 0], got[got >= 0]
         if len(hits) < self.fewest:
             return found
-        many = self.many[got]
-        where = np.repeat(hits, many)
-        k = np.repeat(self.first[got] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        item, diagonal = self.owner[k], where - self.place[k]
-        step = np.maximum(self.k[item], 1)
-        band = diagonal // step
-        # each hit counts in the band that begins at its step and in the one before, which both hold it
-        keys = np.concatenate((item << 40 | (band + (1 << 20)), item << 40 | (band + (1 << 20) - 1)))
-        keys, counts = np.unique(keys, return_counts=True)
-        enough = counts >= self.least[keys >> 40]
         seen: dict[int, tuple] = {}
-        for key in keys[enough].tolist():
+        fine, fine_at = self._fine(units), {}
+        for key in self._bands(hits, got).tolist():
             n, low = key >> 40, ((key & (1 << 40) - 1) - (1 << 20))
             k, length = int(self.k[n]), len(self.units[n])
             a = low * max(k, 1)
             a, b = max(0, a - k), min(len(units), a + 2 * max(k, 1) + length + k)
+            if n not in fine_at:  # where each place's gram stands among those of the item
+                own = np.unique(self._fine(self.units[n]))
+                spot = np.minimum(np.searchsorted(own, fine), len(own) - 1)
+                fine_at[n] = np.concatenate(([0], np.cumsum(own[spot] == fine)))
+                while len(fine_at) * len(units) > MOST_HITS and len(fine_at) > 1:
+                    del fine_at[next(iter(fine_at))]
+            if fine_at[n][max(a, b - FINE + 1)] - fine_at[n][a] < length + 1 - FINE - FINE * k:
+                continue
             stretch = units[a:b].tolist()
-            best = best_ends(self.units[n], stretch, k)
+            item = self.units[n].tolist()
+            best = best_ends(item, stretch, k)
             if best is None:
                 continue
             end = best[1]
-            back = best_ends(self.units[n][::-1], stretch[:end][::-1], best[0])
+            back = best_ends(item[::-1], stretch[:end][::-1], best[0])
             start = end - back[1]
             s, e = int(at[a + start]), int(at[a + end - 1]) + 1
             if (n, s, e) not in seen:
                 seen[n, s, e] = (self.ids[n], s, e, best[0])
         return sorted(found + list(seen.values()))
 
+    @staticmethod
+    def _fine(units: np.ndarray) -> np.ndarray:
+        """Hashes of all grams of FINE units."""
+        h = np.zeros(max(0, len(units) - FINE + 1), U64)
+        for i in range(FINE):
+            h = h * U64(0x9E3779B97F4A7C15) + units[i : i + len(h)].astype(U64)
+        return h
+
+    def _bands(self, hits: np.ndarray, got: np.ndarray) -> np.ndarray:
+        """item << 40 | band of the bands with enough hits, from the places of hits in the text and their grams' numbers."""
+        total = np.cumsum(self.many[got])
+        reach = self.longest + 4 * int(self.k.max(initial=0)) + Q
+        if len(hits) and total[-1] > MOST_HITS and hits[-1] - hits[0] > 4 * reach:
+            middle = int(np.searchsorted(total, total[-1] // 2))
+            middle = min(max(int(hits[middle]), int(hits[0]) + 2 * reach), int(hits[-1]) - 2 * reach)
+            left, right = hits < middle + reach, hits >= middle - reach
+            if not left.all() and not right.all():
+                return np.union1d(self._bands(hits[left], got[left]), self._bands(hits[right], got[right]))
+        many = self.many[got]
+        where = np.repeat(hits, many)
+        k = np.repeat(self.first[got] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        item, diagonal = self.owner[k].astype(np.int64), where - self.place[k]
+        band = diagonal // np.maximum(self.k[item], 1)
+        # each hit counts in the band that begins at its step and in the one before, which both hold it
+        keys = item << 40 | (band + (1 << 20))
+        keys, counts = np.unique(keys, return_counts=True)
+        both, where = np.unique(np.concatenate((keys, keys - 1)), return_inverse=True)
+        counts = np.bincount(where, np.concatenate((counts, counts)), len(both)).astype(np.int64)
+        return both[counts >= self.least[both >> 40]]
+
     def _equal(self, n: int, units: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
         want = np.array([32, *self.units[n], 32], np.uint32)
         if len(want) > len(units):

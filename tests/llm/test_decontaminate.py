@@ -58,7 +58,7 @@ def test_against_alignment_with_everything():
         assert {g[0] for g in got} == want, trial
         planted += bool(want)
         for _, s, e, d in got:
-            assert d or dc.normalise(text[s:e])[0].tolist()[1:-1] in index.units
+            assert d or dc.normalise(text[s:e])[0].tolist()[1:-1] in [u.tolist() for u in index.units]
     assert 30 < planted < 120
 
 
@@ -86,3 +86,35 @@ def test_frame_in_blocks(spark):
     assert dc.find_passages(d.limit(0), b).count() == 0
     assert dc.find_passages(d, b.limit(0)).where("n_items > 0").count() == 0
     assert dc.drop_contaminated(d, b.limit(0)).count() == 6
+
+
+def test_items_that_share_a_phrase():
+    """Two thousand items with one phrase in common, in a text that repeats it: fast, and only what is held is found."""
+    import time
+
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9)))
+    phrase = "the following questions are about"
+    items = [f"{phrase} {' '.join(word() for _ in range(10))}" for _ in range(2000)]
+    index = dc.Items(list(range(2000)), items)
+    text = ""
+    while len(text) < 20_000:
+        text += f"{phrase} {' '.join(word() for _ in range(12))}. "
+    held = items[77].split()
+    held[8] = "x" + held[8][1:]
+    text += " ".join(held) + " " + items[1500]
+    began = time.process_time()
+    found = {i for i, *_ in index.find(text)}
+    assert found == {77, 1500} and time.process_time() - began < 5
+
+
+def test_sections_find_what_one_pass_finds(monkeypatch):
+    rnd = random.Random(2)
+    word = lambda: rnd.choice("alpha beta gamma delta epsilon zeta eta theta".split())
+    items = [" ".join(word() for _ in range(rnd.randint(8, 14))) for _ in range(30)]
+    text = " ".join(word() for _ in range(1500)) + " " + " ".join(items[:5])
+    index = dc.Items(list(range(30)), items)
+    want = index.find(text)
+    assert want
+    monkeypatch.setattr(dc, "MOST_HITS", 500)
+    assert index.find(text) == want
