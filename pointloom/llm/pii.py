@@ -25,6 +25,8 @@ from .common import map_arrow
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
 REACH = 48
+#: Tokens that are decoded together, with those that sequences are padded by; a longer sequence is decoded alone.
+CELLS = 1 << 14
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -34,6 +36,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPELLED = re.compile(r"[\w.%+-]+ ?(?:@|[\[(]at[\])]) ?[\w-]+(?: ?(?:\.|[\[(]dot[\])]|dot) ?[\w-]+)+|[\w.%+-]+ at [\w-]+(?: dot [\w-]+)+", re.I)
 #: The spelled form of _SPELLED counts whole, so that all of an address of any length is decoded.
 _TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]|(?<= )at [\w-]+(?: dot [\w-]+)+", re.I)
+_SPACE = re.compile(r"\s")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_|\S")
 
 
@@ -114,17 +117,21 @@ class Field:
 
     def scores(self, tokens) -> np.ndarray:
         get, out = self.names.get, np.empty((len(tokens), len(LABELS)))
-        for i, fs in enumerate(features(tokens)):
-            out[i] = self.emit[[k for f in fs if (k := get(f)) is not None]].sum(0)
+        for at in range(0, len(tokens), 4096):  # a token's features depend on three to either side
+            first = max(0, at - 3)
+            some = features(tokens[first : at + 4099])[at - first :]
+            for i, fs in enumerate(some[:4096], at):
+                out[i] = self.emit[[k for f in fs if (k := get(f)) is not None]].sum(0)
         return out
 
     def decode(self, many: list[list[tuple[str, int, int]]]) -> list[np.ndarray]:
-        """Best labels of several token sequences; those of similar length are decoded together."""
+        """Best labels of several token sequences; those of similar length are decoded together, ``CELLS`` tokens at most."""
         out: list = [None] * len(many)
         order = sorted(range(len(many)), key=lambda k: len(many[k]))
-        for at in range(0, len(order), 256):
-            batch = order[at : at + 256]
-            longest = len(many[batch[-1]])
+        while order:
+            longest = len(many[order[-1]])
+            batch = order[-max(1, CELLS // max(1, longest)) :]
+            del order[-len(batch) :]
             emit = np.zeros((len(batch), longest, len(LABELS)))
             for r, k in enumerate(batch):
                 emit[r, : len(many[k])] = self.scores(many[k])
@@ -216,15 +223,22 @@ def tokenise(text: str, at: int) -> list[tuple[str, int, int]]:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Where signs of personal data are, with REACH characters around, cut at white space; overlapping ones are one."""
+    """Where signs of personal data are, with REACH characters and the rest of a token around; overlapping ones are one."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
+        low = out[-1][1] if out else 0
+        a, b = max(low, m.start() - REACH), min(len(text), m.end() + REACH)
+        while a > low and not text[a - 1].isspace():
+            a -= 1
+        if b > low and (space := _SPACE.search(text, b)):
+            b = space.start()
+        elif b > low:
+            b = len(text)
+        if out and a <= low:
+            out[-1][1] = max(low, b)
         else:
             out.append([a, b])
-    return [(a + (len(x) - len(x.lstrip()) if (x := text[a:b]) else 0), b) for a, b in out]
+    return [(a, b) for a, b in out]
 
 
 def plausible(kind: str, text: str) -> bool:

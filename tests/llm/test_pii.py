@@ -1,4 +1,7 @@
 import random
+import re
+
+import numpy as np
 
 import pytest
 
@@ -68,3 +71,48 @@ def test_spelled_addresses_without_digits(field):
     (_, every), = pii.findings(["contact maria at company dot net for details"], field)
     assert every == [(8, 0, 32)]
     assert all(not every for _, every in pii.findings(["we met at noon and at the shop", "look at the dot", "at dot"], field))
+
+
+def test_base_against_plain_patterns():
+    rnd = random.Random(11)
+    parts = ["a.b@c.de", "x@y", "@", ".com", "-", "1.2.3.4", "256.1.1.1", "10.0.0.255", "4111 1111 1111 1111", "4111111111111112", "+49 (30) 123-4567", "+1", "5", "12", " ", ".", "é", "x", "0378282246310005"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 14)))
+        want = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        want += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+
+        def passes(d):
+            total = 0
+            for i, c in enumerate(reversed(d)):
+                v = int(c) * (1 + i % 2)
+                total += v - 9 * (v > 9)
+            return total % 10 == 0
+
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+            d = re.sub("[^0-9]", "", m[0])
+            if 14 <= len(d) <= 19 and passes(d):
+                want.append((m.start(), 2, m.end()))
+        want += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        assert sorted(pii.base(text)) == sorted(want), text
+
+
+def test_stretches_keep_tokens_whole():
+    text = "w" * 100 + "@" + "v" * 100 + " far " + "q" * 200 + " 5 " + "z " * 100
+    assert [text[a:b] for a, b in pii.stretches(text)][0].startswith("w" * 100 + "@" + "v" * 100)
+    for a, b in pii.stretches(text):
+        assert (a == 0 or text[a - 1].isspace()) and (b == len(text) or text[b].isspace())
+
+
+def test_many_numbers_in_one_text():
+    """A long run of tokens is decoded as it would be in one piece, in bounded memory."""
+    import tracemalloc
+
+    field = pii.train([(t, m) for t, m in pii.labelled_rows(n=60)], steps=5)
+    text = " ".join(str(i * 7919 % 100003) for i in range(20_000))
+    tracemalloc.start()
+    base, _ = pii.findings([text], field)[0]
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    tokens = pii.tokenise(text[:60_000], 0)
+    whole = np.array([field.emit[[k for f in fs if (k := field.names.get(f)) is not None]].sum(0) for fs in pii.features(tokens)])
+    assert np.allclose(whole, field.scores(tokens))
