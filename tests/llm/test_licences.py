@@ -51,7 +51,7 @@ def test_against_sql(spark, tmp_path):
 
 def test_suppression(spark):
     """A name within a grant is suppressed by it; the identifier outranks both."""
-    assert len(licences.rules()) > 180
+    assert sum(map(len, licences.SENTENCES.values())) >= 180 and len(licences.rules()) > 350
     text = "spdx license identifier mit"
     got = licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert got.labels == "mit" and got.score == 1.0
@@ -62,3 +62,28 @@ def test_rules_fire_without_other_gate_words(spark):
     texts = ["released under MIT", "distributed under the BSD", "available under Apache 2.0", "neither the name of Acme nor the names of its contributors may be used to endorse"]
     got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert [(r.labels, r.score) for r in sorted(got)] == [("mit", 0.8), ("bsd", 0.8), ("apache-2.0", 0.8), ("bsd-3-clause", 0.9)]
+
+
+def test_keywords_are_in_what_their_rules_match(spark):
+    """Each rule can match only texts that hold its keyword as a word, and each fires on a text of its own."""
+    import re
+
+    def sample(rx):
+        """A text that the rule matches: first alternatives, no optional parts."""
+        rx = rx.replace(".{0,40}?", "").replace(".{0,60}?", "").replace(".{0,80}?", "").replace(".{0,120}?", "").replace(".{0,30}?", "").replace(".{0,20}?", "").replace(".{1,80}?", "acme")
+        rx = rx.replace("[cs]", "s").replace("[bc]", "b").replace("[12][0-9]{3}", "2001").replace("[0-9]", "4").replace("[a-z0-9]+", "x")
+        while "(" in rx:
+            rx = re.sub(r"\(\?:([^()]*)\)(\?|\*|\{0,3\})?", lambda m: "" if m[2] else m[1].split("|")[0], rx)
+        return re.sub(r"(\S)\?", "", rx.split("|")[0])
+
+    rules = licences.rules()
+    texts = []
+    for label, keyword, rx, _ in rules:
+        text = " ".join(sample(rx[4:-2]).split())
+        assert re.search(rx, " " + "  ".join(text.split()) + " "), (rx, text)
+        assert keyword in text.split(), (keyword, text)
+        texts.append(text)
+        for part in re.split(r"\|(?![^(]*\))", rx[4:-2]):
+            assert keyword in part or label in ("mit",), (keyword, part)
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(r.labels for r in got.values())
