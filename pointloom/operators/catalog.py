@@ -28,7 +28,7 @@ def number_grasps(grasps: DataFrame, have: DataFrame, keys: list[str], order: st
 
 
 def subset(df: DataFrame, key: str, start: int, end: int) -> DataFrame:
-    """Rows whose key has place start .. end - 1 in key order. Keys are few beside rows; only they are ranked."""
+    """Rows whose key has place start .. end - 1 in key order; only the first ``end`` keys are ranked."""
     keys = df.select(key).distinct().orderBy(key).limit(end)
     w = Window.orderBy(key)
     chosen = keys.withColumn("_k", F.row_number().over(w) - 1).where((F.col("_k") >= start) & (F.col("_k") < end)).select(key)
@@ -38,15 +38,12 @@ def subset(df: DataFrame, key: str, start: int, end: int) -> DataFrame:
 def chunked(df: DataFrame, key: str, per_file: int) -> DataFrame:
     """Adds index (place in key order, dense when keys are) and chunk, for files of a fixed number of rows.
 
-    Places come from the counts of key ranges before each row's own, so no single task ranks all rows.
+    Places come from the counts of the ranges before each row's own, so no single task ranks all rows.
     """
-    width = per_file
-    ranges = df.withColumn("_r", F.floor(F.col(key) / width))
-    sizes = ranges.groupBy("_r").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_b", F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))).select("_r", F.coalesce("_b", F.lit(0)).alias("_b"))
-    place = F.row_number().over(Window.partitionBy("_r").orderBy(key)) - 1
-    out = ranges.withColumn("_p", place).join(before, "_r").withColumn("index", F.col("_b") + F.col("_p"))
-    return out.withColumn("chunk", F.floor(F.col("index") / per_file)).drop("_r", "_p", "_b")
+    from .rounds import running
+
+    out = running(df, [F.col(key)], {"index": F.lit(1)}).withColumn("index", F.col("index") - 1)
+    return out.withColumn("chunk", F.floor(F.col("index") / per_file))
 
 
 def write_tensors(df: DataFrame, key: str, path: str, per_file: int = 1000) -> None:
@@ -115,8 +112,10 @@ def names(table: DataFrame, column: str) -> DataFrame:
 
 def label_entities(df: DataFrame, key: str) -> DataFrame:
     """Dense numbers for the values of a key; only the distinct values are ranked."""
-    k = df.select(key).distinct()
-    return df.join(k.withColumn("number", F.row_number().over(Window.orderBy(key)) - 1), key)
+    from .rounds import running
+
+    k = running(df.select(key).distinct(), [F.col(key)], {"number": F.lit(1)})
+    return df.join(k.withColumn("number", F.col("number") - 1), key)
 
 
 def training_index(grasps: DataFrame, transforms: DataFrame, per_file: int) -> DataFrame:

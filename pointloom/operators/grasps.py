@@ -56,16 +56,17 @@ def grasp_frame(grasps: DataFrame) -> DataFrame:
 def _boxed(points: DataFrame, framed: DataFrame, half: tuple[Column, Column, Column], keep: list[str]) -> DataFrame:
     """Points that share a grid cell with the bounds of a grasp's box, in the grasp's frame (bx, by_, bz).
 
-    Cells are as wide as the widest bounds in the cloud, so a box covers at most eight.
+    Each box has cells of the power of two at or above its own size, so it covers at most eight, however wide others are;
+    a point has a cell in each size that its cloud's grasps need.
     """
     axes = (vec("ap"), vec("b"), vec("m"))
     g = once(framed, *[sum((F.abs(a[i]) * h for a, h in zip(axes[1:], half[1:], strict=True)), F.abs(axes[0][i]) * half[0]).alias(f"_e{c}") for i, c in enumerate("xyz")])
-    side = g.groupBy("cloud_id").agg(F.greatest(F.max(2 * F.greatest("_ex", "_ey", "_ez")), F.lit(1e-9)).alias("_side"))
-    g, p = g.join(side, "cloud_id"), points.join(side, "cloud_id")
+    g = once(g, F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(2 * F.greatest("_ex", "_ey", "_ez"), F.lit(1e-9))))).alias("_side"))
+    p = points.join(g.select("cloud_id", "_side").distinct(), "cloud_id")
     for c in "xyz":
         g = g.withColumn(f"_c{c}", F.explode(F.sequence(F.floor((F.col(f"c{c}") - F.col(f"_e{c}")) / F.col("_side")), F.floor((F.col(f"c{c}") + F.col(f"_e{c}")) / F.col("_side")))))
         p = p.withColumn(f"_c{c}", F.floor(F.col(c) / F.col("_side")))
-    cells = ["cloud_id", "_cx", "_cy", "_cz"]
+    cells = ["cloud_id", "_side", "_cx", "_cy", "_cz"]
     both = g.select(*cells, *keep, *[f"{a}{c}" for a in ("c", "ap", "b", "m") for c in "xyz"]).join(p.select(*cells, "point_id", "x", "y", "z"), cells)
     d = sub(vec(), vec("c"))
     return both.select(*keep, "point_id", *[dot(d, a).alias(n) for a, n in zip(axes, ("bx", "by_", "bz"), strict=True)])
@@ -91,14 +92,38 @@ def box_counts(grasps: DataFrame, cropped: DataFrame, least: int = 50) -> DataFr
     return grasps.select("grasp_id").join(n, "grasp_id", "left").select("grasp_id", F.coalesce("n", F.lit(0)).alias("n")).withColumn("enough", F.col("n") >= least)
 
 
+REGIONS = ("open", "left", "right", "bottom")
+
+
+def in_region(region: str, gripper: dict = GRIPPER) -> Column:
+    """Whether a point in a hand's frame (bx, by_, bz) is strictly inside one of the hand's regions."""
+    deep, out, w = gripper["hand_depth"], gripper["hand_outer_diameter"] / 2, gripper["hand_outer_diameter"] / 2 - gripper["finger_width"]
+    x, y, flat = F.col("bx"), F.col("by_"), F.abs(F.col("bz")) < gripper["hand_height"] / 2
+    along = (x > 0) & (x < deep) & flat
+    if region == "open":
+        return along & (F.abs(y) < w)
+    if region == "left":
+        return along & (y > w) & (y < out)
+    if region == "right":
+        return along & (y < -w) & (y > -out)
+    if region == "bottom":
+        return (x > -gripper["hand_height"]) & (x < 0) & (F.abs(y) < out) & flat
+    raise ValueError(region)
+
+
+def region_counts(points: DataFrame, grasps: DataFrame, gripper: dict = GRIPPER) -> DataFrame:
+    """(grasp_id, region, n): points in each region of each hand that has any."""
+    out, high = gripper["hand_outer_diameter"] / 2, gripper["hand_height"] / 2
+    cand = _boxed(points, grasp_frame(grasps), (F.lit(gripper["hand_depth"] + gripper["hand_height"]), F.lit(out), F.lit(high)), ["grasp_id"])
+    which = F.array_compact(F.array(*[F.when(in_region(r, gripper), F.lit(r)) for r in REGIONS]))
+    return cand.select("grasp_id", F.explode(which).alias("region")).groupBy("grasp_id", "region").agg(F.count("*").alias("n"))
+
+
 def collisions(points: DataFrame, grasps: DataFrame, gripper: dict = GRIPPER) -> DataFrame:
     """Whether any point is in the open, left, right or bottom region of each grasp's hand, in one pass; all strict."""
-    deep, out, w, high = gripper["hand_depth"], gripper["hand_outer_diameter"] / 2, gripper["hand_outer_diameter"] / 2 - gripper["finger_width"], gripper["hand_height"] / 2
-    back = gripper["hand_height"]
-    cand = _boxed(points, grasp_frame(grasps), (F.lit(deep + back), F.lit(out), F.lit(high)), ["grasp_id"])
-    x, y, z = F.col("bx"), F.col("by_"), F.abs(F.col("bz")) < high
-    inside = (x > 0) & (x < deep) & z
-    regions = {"open": inside & (F.abs(y) < w), "left": inside & (y > w) & (y < out), "right": inside & (y < -w) & (y > -out), "bottom": (x > -back) & (x < 0) & (F.abs(y) < out) & z}
+    out, high = gripper["hand_outer_diameter"] / 2, gripper["hand_height"] / 2
+    cand = _boxed(points, grasp_frame(grasps), (F.lit(gripper["hand_depth"] + gripper["hand_height"]), F.lit(out), F.lit(high)), ["grasp_id"])
+    regions = {name: in_region(name, gripper) for name in REGIONS}
     flags = cand.groupBy("grasp_id").agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(k) for k, c in regions.items()])
     all_ = grasps.select("grasp_id").join(flags, "grasp_id", "left").select("grasp_id", *[F.coalesce(F.col(k), F.lit(False)).alias(k) for k in regions])
     return all_.withColumn("usable", F.expr("open and not left and not right and not bottom"))

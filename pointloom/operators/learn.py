@@ -54,31 +54,35 @@ def topk_error(preds: DataFrame, k: int) -> DataFrame:
 def merge_labels(preds: DataFrame, mapping: DataFrame) -> DataFrame:
     """Probabilities summed over the classes that mapping (old, new) puts together."""
     each = preds.select("row_id", F.posexplode("probs").alias("old", "p"))
-    return each.join(F.broadcast(mapping), "old").groupBy("row_id", "new").agg(F.sum("p").alias("p"))
+    return each.join(mapping, "old").groupBy("row_id", "new").agg(F.sum("p").alias("p"))
 
 
 def flatten_multiclass(preds: DataFrame) -> DataFrame:
     return preds.select("row_id", "label", F.posexplode("probs").alias("cls", "score")).select("row_id", "cls", "score", (F.col("cls") == F.col("label")).cast("int").alias("label"))
 
 
+def _counts(preds: DataFrame) -> DataFrame:
+    """By distinct score: p and q, the positives and negatives at it; tp and fp, those at it or above; ap and aq, all."""
+    from .rounds import running
+
+    by = preds.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("q"))
+    c = running(by, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("q")})
+    return c.crossJoin(F.broadcast(by.agg(F.sum("p").alias("ap"), F.sum("q").alias("aq"))))  # one row
+
+
 def curve(preds: DataFrame) -> DataFrame:
     """Precision, recall and false-positive rate at each distinct score, from high to low.
 
-    Rows are summed to thresholds first, so the one ordered window runs over distinct scores.
+    Rows are summed by score first; running sums go by ranges of scores, so all-distinct scores are no single task's work.
     """
-    by = preds.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("q"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = by.agg(F.sum("p").alias("ap"), F.sum("q").alias("aq"))
-    c = by.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("q").over(down)).crossJoin(F.broadcast(every))
-    return c.select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("ap")).alias("recall"), (F.col("fp") / F.col("aq")).alias("fpr"))
+    return _counts(preds).select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("ap")).alias("recall"), (F.col("fp") / F.col("aq")).alias("fpr"))
 
 
 def average_precision(preds: DataFrame) -> DataFrame:
     """Average precision, and area under the ROC curve by trapezoids."""
-    w = Window.orderBy(F.desc("score"))
-    before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0.0))
-    c = curve(preds).select("precision", "recall", (F.col("recall") - before("recall")).alias("dr"), (F.col("fpr") - before("fpr")).alias("df"), before("recall").alias("r0"))
-    return c.agg(F.sum(F.col("dr") * F.col("precision")).alias("average_precision"), F.sum(F.col("df") * (F.col("recall") + F.col("r0")) / 2).alias("roc_auc"))
+    rise, run = F.col("p") / F.col("ap"), F.col("q") / F.col("aq")
+    return _counts(preds).agg(
+        F.sum(rise * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("average_precision"), F.sum(run * (2 * F.col("tp") - F.col("p")) / F.col("ap") / 2).alias("roc_auc"))
 
 
 def mispredicted(preds: DataFrame, right: bool = False) -> DataFrame:

@@ -77,23 +77,17 @@ def is_watertight(faces: DataFrame) -> DataFrame:
 
 
 def components(faces: DataFrame) -> DataFrame:
-    """Label of each face: the least fid it is linked to over shared edges. Rounds with pointer jumping."""
-    from .rounds import save
+    """Label of each face: the least fid it is linked to over shared edges.
+
+    Each face is linked with the least face of each of its edges, so an edge of n faces gives n links.
+    """
+    from .rounds import components as linked
 
     e = _edges(faces)
-    pairs = e.alias("s").join(e.alias("t"), ["mesh_id", "p", "q"]).where("s.fid <> t.fid").select("mesh_id", F.col("s.fid").alias("fid"), F.col("t.fid").alias("other")).distinct()
-    pairs = save(pairs)
-    label = save(faces.select("mesh_id", "fid", F.col("fid").alias("label")))
-    while True:
-        near = pairs.join(label.select("mesh_id", F.col("fid").alias("other"), F.col("label").alias("l")), ["mesh_id", "other"]).groupBy("mesh_id", "fid").agg(F.min("l").alias("l"))
-        new = label.join(near, ["mesh_id", "fid"], "left").select("mesh_id", "fid", F.least("label", F.coalesce("l", "label")).alias("label"), F.col("label").alias("was"))
-        # the label of the label, as that face may already know a smaller one
-        jump = new.select("mesh_id", F.col("fid").alias("label"), F.col("label").alias("further"))
-        new = new.join(jump, ["mesh_id", "label"], "left").select("mesh_id", "fid", F.least("label", F.coalesce("further", "label")).alias("label"), "was")
-        new = save(new)
-        label = new.drop("was")
-        if not new.where("label <> was").head(1):
-            return label
+    least = e.groupBy("mesh_id", "p", "q").agg(F.min("fid").alias("low"), F.count("*").alias("n")).where("n > 1")
+    found = linked(e.join(least, ["mesh_id", "p", "q"]).select(F.col("mesh_id").alias("group"), F.col("fid").alias("a"), F.col("low").alias("b")))
+    found = found.select(F.col("group").alias("mesh_id"), F.col("node").alias("fid"), "label")
+    return faces.select("mesh_id", "fid").join(found, ["mesh_id", "fid"], "left").select("mesh_id", "fid", F.coalesce("label", "fid").alias("label"))
 
 
 def drop_bad_faces(faces: DataFrame, vertices: DataFrame, strict: bool = False) -> DataFrame:
@@ -187,6 +181,27 @@ def subdivide(corners: DataFrame) -> DataFrame:
     return corners.select("mesh_id", "fid", F.explode(F.array(*each)).alias("e")).select("mesh_id", "fid", "e.*")
 
 
+def longest_edges(corners: DataFrame) -> DataFrame:
+    """Length of each mesh's longest edge."""
+    sides = [norm(sub(corner(j), corner(i))) for i, j in ((1, 2), (2, 3), (1, 3))]
+    return corners.groupBy("mesh_id").agg(F.max(F.greatest(*sides)).alias("longest"))
+
+
+def subdivide_until(corners: DataFrame, max_edge: float) -> DataFrame:
+    """All faces of a mesh subdivided until its longest edge is at most ``max_edge``; each round halves every edge, so the
+    number of rounds of a mesh is known before the first."""
+    if max_edge <= 0:
+        raise ValueError("max_edge must be positive")
+    rounds = longest_edges(corners).select("mesh_id", F.greatest(F.ceil(F.log2(F.col("longest") / max_edge) - 1e-12), F.lit(0)).cast("int").alias("_r"))
+    names = ["mesh_id", "fid", *[f"{c}{i}" for i in (1, 2, 3) for c in "xyz"]]
+    left = corners.select(*names).join(rounds, "mesh_id")
+    out = left.where("_r = 0").select(*names)
+    for turn in range(1, (rounds.agg(F.max("_r")).first()[0] or 0) + 1):
+        left = subdivide(left.where(F.col("_r") >= turn)).drop("part").join(rounds, "mesh_id").select(*names, "_r")
+        out = out.union(left.where(F.col("_r") == turn).select(*names))
+    return out
+
+
 def merge_meshes(first: tuple[DataFrame, DataFrame], second: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """One mesh from two of the same mesh_id: the second's vertices and faces are numbered after the first's."""
     n = first[0].groupBy("mesh_id").agg((F.max("vid") + 1).alias("_n"))

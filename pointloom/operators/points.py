@@ -119,8 +119,8 @@ def _cells(df: DataFrame, side: float, spread: int = 0) -> DataFrame:
     return df
 
 
-def neighbors(points: DataFrame, queries: DataFrame, radius: float, max_nn: int, exclude_self: bool = False) -> DataFrame:
-    """At most max_nn nearest points within the radius of each query, nearest first; ties go by point_id.
+def neighbors(points: DataFrame, queries: DataFrame, radius: float, max_nn: int | None, exclude_self: bool = False) -> DataFrame:
+    """At most max_nn (None: all) nearest points within the radius of each query, nearest first; ties go by point_id.
 
     Points stay in their cell (as wide as the radius); each query visits 27 cells.
     """
@@ -131,24 +131,33 @@ def neighbors(points: DataFrame, queries: DataFrame, radius: float, max_nn: int,
     pairs = q.join(_cells(points.select("cloud_id", "point_id", *XYZ), radius), ["cloud_id", *cells]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
     if exclude_self:
         pairs = pairs.where("point_id <> query_id")
+    if max_nn is None:
+        return pairs.select("cloud_id", "query_id", "point_id", "d2")
     rank = F.row_number().over(Window.partitionBy("cloud_id", "query_id").orderBy("d2", "point_id"))
     return pairs.select("cloud_id", "query_id", "point_id", "d2", rank.alias("rank")).where(F.col("rank") <= max_nn)
 
 
-def knn(points: DataFrame, queries: DataFrame, k: int, radius: float, rounds: int = 12) -> DataFrame:
-    """The k nearest points of each query: neighbours within a radius that doubles for queries that have too few."""
-    left, out = queries, None
+def knn(points: DataFrame, queries: DataFrame, k: int, radius: float) -> DataFrame:
+    """The k nearest points of each query: neighbours within a radius that doubles for queries that have too few.
+
+    The rounds end when every query has k points or all of its cloud, so none is lost however far away the points are.
+    Points and queries without finite coordinates have no neighbours; queries in clouds without points have none.
+    """
+    from .rounds import save
+
+    finite = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < 1e300" for c in XYZ)
+    points = points.where(finite)
     size = points.groupBy("cloud_id").agg(F.count("*").alias("_size"))
-    for _ in range(rounds):
-        found = neighbors(points, left, radius, k)
+    left, out = save(queries.where(finite).join(size, "cloud_id", "left_semi")), None
+    while True:
+        found = save(neighbors(points, left, radius, k))
         full = found.groupBy("cloud_id", "query_id").agg(F.max("rank").alias("n")).join(size, "cloud_id").where((F.col("n") >= k) | (F.col("n") >= F.col("_size"))).select("cloud_id", "query_id")
         done = found.join(full, ["cloud_id", "query_id"], "left_semi")
         out = done if out is None else out.union(done)
-        left = left.join(full.withColumnRenamed("query_id", "point_id"), ["cloud_id", "point_id"], "left_anti")
+        left = save(left.join(full.withColumnRenamed("query_id", "point_id"), ["cloud_id", "point_id"], "left_anti"))
         if not left.head(1):
-            break
+            return out
         radius *= 2
-    return out
 
 
 def nearest_height(points: DataFrame, height: float, n: int = 10) -> DataFrame:

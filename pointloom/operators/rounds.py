@@ -1,15 +1,83 @@
-"""Tables between the rounds of a loop."""
+"""Tables between the rounds of a loop; components of a graph, and places in an order, without a task that sees all rows."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def save(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names (a local one if unset)."""
+    """Cut the lineage by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names (a local one on a local master)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-rounds-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-rounds-"))
     return df.checkpoint()
+
+
+def _stars(batches):
+    """Of one task's edges (group, a, b): each node with the least node of its component among these edges."""
+    import numpy as np
+    import pyarrow as pa
+
+    table = pa.Table.from_batches(list(batches))
+    if not table.num_rows:
+        return
+    group, a, b = (table.column(c).to_numpy() for c in ("group", "a", "b"))
+    nodes, at = np.unique(np.stack((np.concatenate((group, group)), np.concatenate((a, b)))), axis=1, return_inverse=True)
+    at = at.reshape(-1)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(nodes.shape[1])
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for end in (x, y):  # the label's own node takes the lesser label too
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, label[end], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    keep = label != np.arange(len(label))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[0][keep]), pa.array(nodes[1][keep]), pa.array(nodes[1][label[keep]])], names=["group", "a", "b"])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(group, node, label) of the nodes of edges (group, a, b), the label being the least node of its component.
+
+    Nodes that are their own label have no row; group and nodes are longs. The edges are dealt out by ranges of their
+    nodes, and each task first puts the components of its own edges into stars. Large-star and small-star steps then go
+    on until all edges are stars: each takes time in proportion to the edges, and their number grows with the logarithm
+    of the number of tasks that a component lies in.
+    """
+    edges = edges.where("a <> b").select(F.col("group").cast("long"), F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+    edges = save(edges.repartitionByRange("group", "b").mapInArrow(_stars, "group long, a long, b long"))
+    while True:
+        both = edges.union(edges.select("group", F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("group", "a").agg(F.min("b").alias("m")).select("group", "a", F.least("a", "m").alias("m"))
+        large = both.join(least, ["group", "a"]).where("b > a").select("group", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("group", "a").agg(F.min("b").alias("m"))
+        pair = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        edges = save(large.join(low, ["group", "a"]).select("group", F.explode(pair).alias("e")).select("group", "e.a", "e.b").where("a <> b").distinct())
+        inner = edges.select("group", "a").union(edges.select("group", "b").distinct()).groupBy("group", "a").count()
+        if not inner.where("count > 1").head(1):  # each node has one label, which has none itself
+            return edges.select("group", F.col("a").alias("node"), F.col("b").alias("label"))
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums in an order (this row's share included); rows are dealt out by ranges of the order.
+
+    The one window over everything runs over a row for each range.
+    """
+    parts = save(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    names = list(sums)
+    totals = parts.groupBy("_part").agg(*[F.sum(sums[n]).alias(f"_t{i}") for i, n in enumerate(names)])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(names))])
+    upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.join(F.broadcast(offsets), "_part")  # a row for each range
+    return out.select(*df.columns, *[(F.sum(sums[n]).over(upto) + F.col(f"_o{i}")).alias(n) for i, n in enumerate(names)])

@@ -41,7 +41,7 @@ def with_views(sql: str, doubles: list[str], places: int) -> str:
                 used.append(v)
 
     need(sql)
-    ctes = ", ".join(f"{v} as ({SQL[v]})" for v in used)
+    ctes = ", ".join(f"{v} as materialized ({SQL[v]})" for v in used)
     rounds = ", ".join(f"round(cast({c} as double), {places}) + 0.0 as {c}" for c in doubles)
     head = re.match(r"\s*with( recursive)?\b", sql, re.I)
     body = sql if not ctes else f"with{head[1] or ''} {ctes}, {sql[head.end():]}" if head else f"with {ctes} {sql}"

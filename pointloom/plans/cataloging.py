@@ -50,9 +50,9 @@ def s18(s, d):
     return C.subset(V.catalog_grasps(s, d), "object_id", 10, 25)
 
 
-@query("s19_chunked", "select event_id, cast(i as bigint) \"index\", cast(i // 100 as bigint) chunk from (select event_id, row_number() over (order by event_id) - 1 i from events where event_id % 3 <> 1)")
+@query("s19_chunked", "select event_id, cast(i as bigint) \"index\", cast(i // 100 as bigint) chunk from (select event_id, row_number() over (order by event_id) - 1 i from events)")
 def s19(s, d):
-    return C.chunked(V.table(s, d, "events").where("event_id % 3 <> 1").select("event_id"), "event_id", 100)
+    return C.chunked(V.table(s, d, "events").select("event_id"), "event_id", 100)
 
 
 @query("s20_pending", "select grasp_id, cloud_id from grasps where not (grasp_id % 2 = 0 and grasp_id % 3 = 0)")

@@ -70,11 +70,11 @@ def j09(s, d):
     return P.voxel_neighbors(P.voxel_centers(V.points(s, d), 6))
 
 
-_NEAR = "select p.cloud_id, q.point_id query_id, p.point_id, (p.x-q.x)**2+(p.y-q.y)**2+(p.z-q.z)**2 d2 from points p join points q using (cloud_id) where q.point_id % 21 = 0"
+_NEAR = "select p.cloud_id, q.point_id query_id, p.point_id, (p.x-q.x)**2+(p.y-q.y)**2+(p.z-q.z)**2 d2 from points p join points q using (cloud_id) where q.point_id % 100 = 0"
 
 
 def _queries(s, d):
-    return V.points(s, d).where("point_id % 21 = 0")
+    return V.points(s, d).where("point_id % 100 = 0")
 
 
 @query("j06_neighbors", f"select *, row_number() over (partition by cloud_id, query_id order by d2, point_id) rank from ({_NEAR}) where d2 <= 0.0225 qualify rank <= 30", "d2")
@@ -104,13 +104,12 @@ def w04(s, d):
     return P.cap_per_group(P.bins(V.points(s, d), 3), ["cloud_id", "i", "j", "k"], ["point_id"], 50).select("cloud_id", "i", "j", "k", "point_id")
 
 
-_PART = "select cloud_id, point_id from points where cloud_id > '4' or point_id % 50 = 0"
+_PART = "select cloud_id, point_id from points"
 
 
-@query("w05_resample", f"with part as ({_PART}), n as (select cloud_id, count(*) size from part group by 1), r as (select *, row_number() over (partition by cloud_id order by {U.format("'5:' || cloud_id || ':' || point_id")}, point_id) - 1 slot, row_number() over (partition by cloud_id order by point_id) - 1 pos from part join n using (cloud_id)) select cloud_id, slot, point_id from r where size >= 100 and slot < 100 union all select n.cloud_id, s.slot, r.point_id from n, range(100) s(slot), r where n.size < 100 and r.cloud_id = n.cloud_id and r.pos = floor({U.format("'5:' || n.cloud_id || ':' || s.slot")} * n.size)")
+@query("w05_resample", f"with part as ({_PART}), n as (select cloud_id, count(*) size from part group by 1), r as (select *, row_number() over (partition by cloud_id order by {U.format("'5:' || cloud_id || ':' || point_id")}, point_id) - 1 slot, row_number() over (partition by cloud_id order by point_id) - 1 pos from part join n using (cloud_id)) select cloud_id, slot, point_id from r where size >= 1050 and slot < 1050 union all select n.cloud_id, s.slot, r.point_id from n, range(1050) s(slot), r where n.size < 1050 and r.cloud_id = n.cloud_id and r.pos = floor({U.format("'5:' || n.cloud_id || ':' || s.slot")} * n.size)")
 def w05(s, d):
-    part = V.points(s, d).where("cloud_id > '4' or point_id % 50 = 0")
-    return P.resample(part, 100, 5).withColumn("slot", F.col("slot").cast("long"))
+    return P.resample(V.points(s, d), 1050, 5).withColumn("slot", F.col("slot").cast("long"))
 
 
 @query("t05_sample_n", f"select grasp_id from grasps order by {U.format("'3:' || grasp_id")}, grasp_id limit 40")

@@ -41,12 +41,12 @@ def g10(s, d):
     return C.resample_sdf(V.sdf(s, d), _ROT, [1.0, 0.0, -2.0], 12)
 
 
-@query("g11_surface_window", f"""with c as (select *, cast(grasp_id % 10 as int) mesh_id, px*4+6 qx, py*4+6 qy, pz*4+6 qz from ({_FRAME2}) where grasp_id < 100), q as (select grasp_id, side, mesh_id, cast(a as int) wi, cast(b as int) wj, """
+@query("g11_surface_window", f"""with c as (select *, cast(grasp_id % 10 as int) mesh_id, px*4+6 qx, py*4+6 qy, pz*4+6 qz from ({_FRAME2})), q as (select grasp_id, side, mesh_id, cast(a as int) wi, cast(b as int) wj, """
     + ", ".join(f"q{x}+t1{x}*(a-2)*0.75+t2{x}*(b-2)*0.75 {x}" for x in "xyz")
     + """ from c, range(5) t(a), range(5) u(b)), v as (select q.*, coalesce((select sum(val*(1-abs(q.x-s.i))*(1-abs(q.y-s.j))*(1-abs(q.z-s.k))) from sdf s where s.mesh_id = q.mesh_id and s.i between floor(q.x) and floor(q.x)+1 and s.j between floor(q.y) and floor(q.y)+1 and s.k between floor(q.z) and floor(q.z)+1), 0) val from q)
  select grasp_id, side, wi, wj, case when x < 0 or y < 0 or z < 0 or x >= 12 or y >= 12 or z >= 12 then -0.01 else val end val from v where mesh_id in (select mesh_id from sdf)""", "val")
 def g11(s, d):
-    c = V.contacts(s, d).where("grasp_id < 100").withColumn("mesh_id", (F.col("grasp_id") % 10).cast("int"))
+    c = V.contacts(s, d).withColumn("mesh_id", (F.col("grasp_id") % 10).cast("int"))
     c = c.select("grasp_id", "side", "mesh_id", *[(F.col(f"p{x}") * 4 + 6).alias(f"p{x}") for x in "xyz"], *[f"{a}{x}" for a in "nd" for x in "xyz"])
     return C.surface_window(c, V.sdf(s, d), 3.0, 5)
 
@@ -82,11 +82,11 @@ def x03(s, d):
     return C.generate("uniform", surface=V.points(s, d), n=30, seed=8, least=0.05, most=0.3).groupBy("cloud_id").agg(F.count("*").alias("n"))
 
 
-@query("a20_face_basis", "select mesh_id, fid, 1.0::double lx, 1.0::double ly, 0.0::double across, 1.0::double hand from corners where fid % 40 = 0", "lx ly across hand")
+@query("a20_face_basis", "select mesh_id, fid, 1.0::double lx, 1.0::double ly, 0.0::double across, 1.0::double hand from corners", "lx ly across hand")
 def a20(s, d):
     """What every basis must be: unit axes at right angles, right-handed."""
     v = V.vertices(s, d)
-    c = M.face_corners(v, V.faces(s, d).where("fid % 40 = 0"))
+    c = M.face_corners(v, V.faces(s, d))
     b = C.face_basis(c, v)
     dots = lambda p, q: sum((F.col(f"{p}{a}") * F.col(f"{q}{a}") for a in "yz"), F.col(f"{p}x") * F.col(f"{q}x"))
     third = F.expr("r0x*(r1y*r2z-r1z*r2y)+r0y*(r1z*r2x-r1x*r2z)+r0z*(r1x*r2y-r1y*r2x)")

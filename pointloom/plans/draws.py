@@ -54,11 +54,11 @@ def g05(s, d):
     return g.select("grasp_id", F.col("copy").cast("long").alias("copy_"), "cx", "cy", "cz", "width", F.sqrt(F.expr("ax*ax+ay*ay+az*az")).alias("len"))
 
 
-@query("w07_first_contact", """with l as (select mesh_id*10+t line_id, k idx, val from sdf, range(5) r(t) where i = t + 4 and j = 5), n as (select *, lag(val) over w p, lead(val) over w n from l window w as (partition by line_id order by idx)),
+@query("w07_first_contact", """with l as (select (mesh_id*12+i)*12+j line_id, k idx, val from sdf), n as (select *, lag(val) over w p, lead(val) over w n from l window w as (partition by line_id order by idx)),
  h as (select * from n where abs(val) < 0.5 qualify row_number() over (partition by line_id order by idx) = 1), c as (select *, (p+n)/2-val a, (n-p)/2 b from h), r as (select *, case when abs(a) < 1e-12 then -val/nullif(b, 0) else (-b+sqrt(greatest(b*b-4*a*val, 0)))/(2*a) end x1, case when abs(a) < 1e-12 then -val/nullif(b, 0) else (-b-sqrt(greatest(b*b-4*a*val, 0)))/(2*a) end x2 from c)
  select line_id, idx + t pos from (select *, case when abs(x1) <= abs(x2) then x1 else x2 end t from r) where abs(t) <= 1 and (abs(n) >= abs(val) or n*val <= 0)""", "pos")
 def w07(s, d):
-    x = V.sdf(s, d).where("j = 5 and i >= 4 and i < 9").selectExpr("mesh_id * 10 + i - 4 line_id", "k idx", "val")
+    x = V.sdf(s, d).selectExpr("(mesh_id * 12 + i) * 12 + j line_id", "k idx", "val")
     return R.first_contact(x).withColumnRenamed("at", "pos").select(F.col("line_id").cast("long").alias("line_id"), "pos")
 
 

@@ -163,9 +163,10 @@ def p40(s, d):
     return M.rest_on_table(V.vertices(s, d), 0.01)
 
 
-@query("j12_compact_vertices", "with f as (select * from faces where fid % 6 = 0), n as (select mesh_id, vid, row_number() over (partition by mesh_id order by vid) - 1 k from (select distinct mesh_id, unnest([a, b, c]) vid from f)) select f.mesh_id, fid, p.k a, q.k b, r.k c from f join n p on p.mesh_id = f.mesh_id and p.vid = a join n q on q.mesh_id = f.mesh_id and q.vid = b join n r on r.mesh_id = f.mesh_id and r.vid = f.c")
+@query("j12_compact_vertices", "with f as (select mesh_id, fid, a, b, c from corners where z1 > 0 and z2 > 0 and z3 > 0), n as (select mesh_id, vid, row_number() over (partition by mesh_id order by vid) - 1 k from (select distinct mesh_id, unnest([a, b, c]) vid from f)) select f.mesh_id, fid, p.k a, q.k b, r.k c from f join n p on p.mesh_id = f.mesh_id and p.vid = a join n q on q.mesh_id = f.mesh_id and q.vid = b join n r on r.mesh_id = f.mesh_id and r.vid = f.c")
 def j12(s, d):
-    return M.compact_vertices(V.vertices(s, d), V.faces(s, d).where("fid % 6 = 0"))[1]
+    """Faces with a depth at each corner."""
+    return M.compact_vertices(V.vertices(s, d), _corners(s, d).where("z1 > 0 and z2 > 0 and z3 > 0").select("mesh_id", "fid", "a", "b", "c"))[1]
 
 
 @query("j15_closest_hit", f"""with r as (select mesh_id, k ray_id, 5.3171+k*6.1093 ox, 3.2293+k*4.0517 oy from (select distinct mesh_id from vertices), range(8) t(k)), c as (select *, {_NORMAL} from corners),
@@ -177,10 +178,10 @@ def j15(s, d):
     return M.closest_hit(M.ray_hits(r, _corners(s, d), 100.0))
 
 
-@query("u01_merge_meshes", "with v as (select mesh_id, max(vid) + 1 n from vertices group by 1), m as (select mesh_id, max(fid) + 1 m from faces group by 1) select mesh_id, fid, a, b, c from faces union all select f.mesh_id, fid + m, a + n, b + n, c + n from faces f join v using (mesh_id) join m using (mesh_id) where fid < 100")
+@query("u01_merge_meshes", "with v as (select mesh_id, max(vid) + 1 n from vertices group by 1), m as (select mesh_id, max(fid) + 1 m from faces group by 1) select mesh_id, fid, a, b, c from faces union all select f.mesh_id, fid + m, a + n, b + n, c + n from faces f join v using (mesh_id) join m using (mesh_id)")
 def u01(s, d):
     v, f = V.vertices(s, d), V.faces(s, d)
-    return M.merge_meshes((v, f), (v, f.where("fid < 100")))[1]
+    return M.merge_meshes((v, f), (v, f))[1]
 
 
 @query("g08_subdivide", "select mesh_id, count(*) n, sum(sqrt((x2-x1)**2+(y2-y1)**2+(z2-z1)**2)+sqrt((x3-x2)**2+(y3-y2)**2+(z3-z2)**2)+sqrt((x3-x1)**2+(y3-y1)**2+(z3-z1)**2))*2 around from corners, range(1) group by 1".replace("count(*) n", "count(*)*4 n"), "around", places=4)
@@ -223,7 +224,7 @@ def j17(s, d):
     return S.grid(s, 3, 4, 5).crossJoin(F.broadcast(n)).where("i < n").drop("n")
 
 
-@query("p30_to_grid", "select mesh_id, cid, gx, gy, gz, gx < 0 or gy < 0 or gz < 0 or gx >= 12 or gy >= 12 or gz >= 12 outside from (select label mesh_id, vec_id cid, (cast(embedding[1] as double)+0.6)/0.1 gx, (cast(embedding[2] as double)+0.6)/0.1 gy, (cast(embedding[3] as double)+0.6)/0.1 gz from embeddings)", "gx gy gz")
+@query("p30_to_grid", "select mesh_id, cid, gx, gy, gz, gx < 0 or gy < 0 or gz < 0 or gx >= 12 or gy >= 12 or gz >= 12 outside from (select cast(cloud_id as int) mesh_id, point_id cid, (x+0.6)/0.1 gx, (y+0.6)/0.1 gy, (z+0.6)/0.1 gz from points)", "gx gy gz")
 def p30(s, d):
-    p = V.points(s, d).where("point_id % 21 = 0").selectExpr("cast(cloud_id as int) mesh_id", "cast(point_id / 21 as long) cid", "x", "y", "z")
+    p = V.points(s, d).selectExpr("cast(cloud_id as int) mesh_id", "point_id cid", "x", "y", "z")
     return S.to_grid(p, (-0.6, -0.6, -0.6), 0.1, 12)

@@ -42,14 +42,20 @@ class Catalog:
         self._replace(entity, delete(self.read(entity), keys, keys.columns))
 
     def _replace(self, entity: str, rows: DataFrame) -> None:
-        """Write beside, then swap, so that a failed write leaves the old table."""
+        """Write beside, put the old table aside, swap: a failure at any point leaves the old table, at its place or aside."""
         side = f"{self.root}/_{entity}-{self.dataset}"
         rows.write.mode("overwrite").parquet(side)
         jvm = self.spark._jvm
         old, new = jvm.org.apache.hadoop.fs.Path(self._path(entity)), jvm.org.apache.hadoop.fs.Path(side)
         fs = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        fs.rename(new, old)
+        aside = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_{entity}-{self.dataset}-old")
+        fs.delete(aside, True)
+        if not fs.rename(old, aside):
+            raise OSError(f"can't put {old} aside")
+        if not fs.rename(new, old):
+            fs.rename(aside, old)
+            raise OSError(f"can't put {new} in its place")
+        fs.delete(aside, True)
 
     def grasps(self, object_id, gripper: str) -> DataFrame:
         return self.read("grasps").where((F.col("object_id") == object_id) & (F.col("gripper") == gripper))
