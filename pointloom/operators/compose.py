@@ -47,6 +47,105 @@ def resample_sdf(sdf: DataFrame, rotation: list[float], shift: list[float], n: i
     return q.join(sdf.select("mesh_id", *[F.col(c).alias(f"_{c}") for c in "ijk"], "val"), ["mesh_id", "_i", "_j", "_k"]).select("mesh_id", "i", "j", "k", "val")
 
 
+def resample_sdf_detailed(sdf: DataFrame, rotation: list[float], shift: list[float], n: int) -> DataFrame:
+    """The grid under a rigid motion, each cell with the interpolated value at its moved place (``sdf.signed_distance``)."""
+    middle = (n - 1) / 2
+    at = [F.col(c) - middle for c in "ijk"]
+    moved = [(sum((at[k] * float(rotation[3 * r + k]) for k in (1, 2)), at[0] * float(rotation[3 * r])) + middle + float(shift[r])).alias(c) for r, c in enumerate("xyz")]
+    q = sdf.select("mesh_id", "i", "j", "k", ((F.col("i").cast("long") * n + F.col("j")) * n + F.col("k")).alias("query_id"), *moved)
+    return q.select("mesh_id", "i", "j", "k", "query_id").join(S.signed_distance(sdf, q.select("mesh_id", "query_id", "x", "y", "z")), ["mesh_id", "query_id"]).select("mesh_id", "i", "j", "k", "val")
+
+
+#: What a projection is where nothing is hit.
+NO_CONTACT = 0.2
+
+
+def projection_window(contacts: DataFrame, corners: DataFrame, width: float, n: int, max_projection: float = 0.1, back_up: float = 0.0) -> DataFrame:
+    """n x n distances from each contact's tangent plane (grasp_id, side, mesh_id, p*, d*) along its direction to the
+    nearest face of its mesh, from ``back_up`` before the plane on; at most ``max_projection``, NO_CONTACT where none is hit."""
+    res = width / n
+    steps = lambda: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    c = contact_frame(contacts).withColumn("wi", steps()).withColumn("wj", steps())
+    a, b = (F.col("wi") + 0.5) * res - width / 2, (F.col("wj") + 0.5) * res - width / 2
+    ray = ((F.col("grasp_id") * 2 + F.col("side")) * n * n + F.col("wi") * n + F.col("wj")).alias("ray_id")
+    rays = c.select("grasp_id", "side", "mesh_id", "wi", "wj", ray, *[(F.col(f"p{x}") + F.col(f"t1{x}") * a + F.col(f"t2{x}") * b - back_up * F.col(f"d{x}")).alias(f"o{x}") for x in "xyz"], "dx", "dy", "dz")
+    hit = M.closest_hit(M.ray_hits(rays.select("mesh_id", "ray_id", *[f"{k}{x}" for k in "od" for x in "xyz"]), corners, max_projection + back_up))
+    out = rays.join(hit, ["mesh_id", "ray_id"], "left")
+    return out.select("grasp_id", "side", "wi", "wj", F.when(F.col("t").isNull(), NO_CONTACT).otherwise(F.least(F.col("t") - back_up, F.lit(max_projection))).alias("val"))
+
+
+def antipodal_grasps(sdf: DataFrame, n: int, seed: int, mu: float, max_width: float, min_width: float, backup: float = 3.0) -> DataFrame:
+    """Grasps (mesh_id, grasp_id, c*, a*, width; in grid units) from n draws at each surface cell.
+
+    The cell is moved by up to half a cell, an axis is drawn from the friction cone about the inward normal there, and the
+    line through both is searched from either end for the surface. Kept are grasps whose contacts are further apart than
+    ``min_width``, at most ``max_width``, and in force closure. Draws depend on seed, mesh, cell and slot alone.
+    """
+    from ..functions import add, dot, named, norm, once, scale, sub, unit, vec
+    from .quality import force_closure
+
+    key = [F.col(x) for x in ("mesh_id", "i", "j", "k", "slot")]
+    field = S.grid_gradient(sdf).select("mesh_id", "i", "j", "k", "gi", "gj", "gk")
+    size = sdf.groupBy("mesh_id").agg((F.max("i") + 1).alias("_n"))
+    flat = (F.col("i").cast("long") * F.col("_n") + F.col("j")) * F.col("_n") + F.col("k")
+    d = S.surface_points(sdf).join(size, "mesh_id").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    d = d.withColumn("draw", F.col("mesh_id").cast("long") * (1 << 36) + flat * n + F.col("slot"))
+    d = d.join(field, ["mesh_id", "i", "j", "k"])
+    d = once(d, *[(F.col(i) + uniform(seed, *key, F.lit(i)) - 0.5).alias(f"s{c}") for i, c in zip("ijk", "xyz", strict=True)], *named(unit((F.col("gi"), F.col("gj"), F.col("gk"))), "n")).where("nx is not null")
+    d = contact_frame(d.select("mesh_id", "draw", "_n", "i", "j", "k", "slot", "sx", "sy", "sz", "nx", "ny", "nz", *named(scale(vec("n"), F.lit(-1.0)), "d")))
+    turn, far = 6.283185307179586 * uniform(seed, *key, F.lit("t")), mu * uniform(seed, *key, F.lit("r"))
+    sign = F.when(uniform(seed, *key, F.lit("f")) > 0.5, 1.0).otherwise(-1.0)
+    d = once(d, *named(scale(unit(add(vec("n"), add(scale(vec("t1"), far * F.cos(turn)), scale(vec("t2"), far * F.sin(turn))))), -sign), "v"))
+    # two lines: from behind the drawn point on, and from the other end of the opening back
+    ends = F.array(F.struct(F.lit(0).alias("end"), F.lit(-backup).alias("from"), F.lit(1.0).alias("way")), F.struct(F.lit(1).alias("end"), F.lit(max_width - backup).alias("from"), F.lit(-1.0).alias("way")))
+    lines = d.select("mesh_id", "draw", "_n", "sx", "sy", "sz", "vx", "vy", "vz", F.inline(ends)).withColumn("line_id", F.col("draw") * 2 + F.col("end"))
+    idx = F.explode(F.sequence(F.lit(0), F.lit(int(2 * max_width))))
+    at = F.col("from") + F.col("way") * F.col("idx") / 2
+    spots = lines.withColumn("idx", idx).withColumn("query_id", F.col("line_id") * 4096 + F.col("idx"))
+    spots = once(spots, *named(add(vec("s"), scale(vec("v"), at)), "")).where("x >= 0 and y >= 0 and z >= 0 and x <= _n - 1 and y <= _n - 1 and z <= _n - 1")
+    seen = S.sdf_lookup(sdf, spots.select("mesh_id", "query_id", "x", "y", "z"))
+    hit = R.first_contact(seen.select(F.floor(F.col("query_id") / 4096).alias("line_id"), (F.col("query_id") % 4096).alias("idx"), "val"))
+    c = once(lines.join(hit, "line_id"), *named(add(vec("s"), scale(vec("v"), F.col("from") + F.col("way") * F.col("at") / 2)), "p"))
+    near = [F.least(F.greatest(F.floor(F.col(f"p{x}") + 0.5), F.lit(0)), F.col("_n") - 1).cast("int").alias(i) for x, i in zip("xyz", "ijk", strict=True)]
+    c = c.select("mesh_id", F.col("draw").alias("grasp_id"), F.col("end").alias("side"), "px", "py", "pz", *near).join(field, ["mesh_id", "i", "j", "k"])
+    c = c.select("mesh_id", "grasp_id", "side", "px", "py", "pz", F.col("gi").alias("nx"), F.col("gj").alias("ny"), F.col("gk").alias("nz"))
+    closed = force_closure(c, mu).where("closed").select("grasp_id")
+    side = lambda k: c.where(F.col("side") == k).select("mesh_id", "grasp_id", *[F.col(f"p{x}").alias(f"p{k}{x}") for x in "xyz"])
+    both = once(side(0).join(side(1), ["mesh_id", "grasp_id"]), norm(sub(vec("p1"), vec("p0"))).alias("width"))
+    both = both.where((F.col("width") > min_width) & (F.col("width") <= max_width)).join(closed, "grasp_id", "left_semi")
+    return both.select("mesh_id", "grasp_id", *named(scale(add(vec("p0"), vec("p1")), 0.5), "c"), *named(scale(sub(vec("p1"), vec("p0")), 1 / F.col("width")), "a"), "width")
+
+
+def image_to_mesh(mask: DataFrame, extrusion: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Meshes (vertices, faces) of the occupied pixels (frame_id, v, u) of each image.
+
+    Each pixel is a vertex in front and one behind. It is the right-angled corner of a triangle with its neighbours before
+    it in v and u, and of one with those after it; where the neighbour in v is missing, the diagonal one takes its place.
+    Edges of a single front triangle get a wall of two triangles. The other side's triangles are the same, turned.
+    """
+    steps = [(0, 0), (1, 0), (0, 1), (1, 1), (-1, 0), (0, -1), (-1, -1)]
+    told = F.array(*[F.struct((F.col("v") + a).alias("v"), (F.col("u") + b).alias("u"), F.lit(1 << k).alias("bit")) for k, (a, b) in enumerate(steps)])
+    # each pixel tells its neighbours that it is there; bit 0 is the pixel itself
+    known = mask.select("frame_id", "v", "u").distinct().select("frame_id", F.inline(told)).groupBy("frame_id", "v", "u").agg(F.bit_or("bit").alias("m")).where("m & 1 = 1")
+    here = lambda a, b: F.struct((F.col("v") + a).alias("v"), (F.col("u") + b).alias("u"))
+    has = lambda k: F.col("m").bitwiseAND(F.lit(1 << k)) > 0  # noqa: E731  bit k: the neighbour at minus step k
+    tri = lambda *p: F.struct(*[here(*x).alias(n) for x, n in zip(p, "abc", strict=True)])
+    before = F.when(has(1) & has(2), tri((0, 0), (-1, 0), (0, -1))).when(has(2) & has(3) & (F.col("v") > 1) & (F.col("u") > 1), tri((0, 0), (-1, -1), (0, -1)))
+    after = F.when(has(4) & has(5), tri((0, 0), (1, 0), (0, 1))).when(has(5) & has(6), tri((0, 0), (1, 1), (0, 1)))
+    front = known.select("frame_id", F.explode(F.array_compact(F.array(before, after))).alias("t")).select("frame_id", "t.a", "t.b", "t.c").distinct()
+    edge = F.array(*[F.struct(F.col(p).alias("p"), F.col(q).alias("q"), F.least(p, q).alias("lo"), F.greatest(p, q).alias("hi")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))])
+    edges = front.select("frame_id", F.inline(edge)).groupBy("frame_id", "lo", "hi").agg(F.count("*").alias("n"), F.min(F.struct("p", "q")).alias("e")).where("n = 1").select("frame_id", "e.p", "e.q")
+    at = lambda x, back: F.struct(F.col(f"{x}.v").alias("v"), F.col(f"{x}.u").alias("u"), F.lit(back).alias("back"))
+    face = lambda *p: F.struct(*[at(*x).alias(n) for x, n in zip(p, "abc", strict=True)])
+    sides = front.select("frame_id", F.inline(F.array(face(("a", 0), ("b", 0), ("c", 0)), face(("a", 1), ("c", 1), ("b", 1)))))
+    walls = edges.select("frame_id", F.inline(F.array(face(("q", 0), ("p", 0), ("p", 1)), face(("q", 0), ("p", 1), ("q", 1)))))
+    faces = sides.union(walls)
+    used = faces.select("frame_id", F.explode(F.array("a", "b", "c")).alias("w")).select("frame_id", "w.v", "w.u", "w.back").distinct()
+    used = used.select(F.col("frame_id").alias("mesh_id"), (F.col("v").cast("long") * (1 << 31) * 2 + F.col("u") * 2 + F.col("back")).alias("vid"), F.col("v").cast("double").alias("x"), F.col("u").cast("double").alias("y"), (extrusion * (0.5 - F.col("back"))).alias("z"))
+    number = lambda x: (F.col(f"{x}.v").cast("long") * (1 << 31) * 2 + F.col(f"{x}.u") * 2 + F.col(f"{x}.back")).alias(x)
+    return used, faces.select(F.col("frame_id").alias("mesh_id"), number("a"), number("b"), number("c"))
+
+
 def surface_window(contacts: DataFrame, sdf: DataFrame, width: float, n: int, outside: float = -0.01) -> DataFrame:
     """n x n values of the grid on each contact's tangent plane (grasp_id, side, mesh_id, p*, d*); ``outside`` off the grid."""
     size = sdf.groupBy("mesh_id").agg((F.max("i") + 1).alias("_n"))
@@ -83,8 +182,8 @@ def choose(state: DataFrame, policy: str, seed: int) -> DataFrame:
 
 
 def generate(method: str, **config) -> DataFrame:
-    """Grasps by the sampler's name: uniform, gaussian or sweep."""
-    by_name = {"uniform": R.uniform_grasps, "gaussian": R.gaussian_grasps, "sweep": G.sweep_grasps}
+    """Grasps by the sampler's name: uniform, gaussian, sweep or antipodal."""
+    by_name = {"uniform": R.uniform_grasps, "gaussian": R.gaussian_grasps, "sweep": G.sweep_grasps, "antipodal": antipodal_grasps}
     if method not in by_name:
         raise ValueError(f"no sampler named {method}")
     return by_name[method](**config)

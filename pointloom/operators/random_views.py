@@ -20,6 +20,21 @@ def view_grid(spark: SparkSession, radii: tuple[float, float, int], elevations:
     return g.select("*", *named(sph_to_cart(F.col("radius"), F.col("azimuth"), F.col("elevation")), "c"))
 
 
+def object_views(objects: DataFrame, radii: int, elevations: int, azimuths: int, seed: int) -> DataFrame:
+    """Cameras on spheres about each object (object_id, r_lo, r_hi, e_lo, e_hi): all steps of radius and elevation (both ends
+    taken) and of azimuth, and for each a camera drawn evenly from the same ranges (drawn is true)."""
+    part = lambda lo, hi, i, n: F.col(lo) + (F.col(hi) - F.col(lo)) * F.col(i) / max(1, n - 1)
+    step = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    g = objects.withColumn("a", step(radii)).withColumn("b", step(elevations)).withColumn("c", step(azimuths)).withColumn("drawn", F.explode(F.array(F.lit(False), F.lit(True))))
+    key = [F.col(x) for x in ("object_id", "a", "b", "c")]
+    draw = lambda lo, hi, k: F.col(lo) + (F.col(hi) - F.col(lo)) * uniform(seed, *key, F.lit(k))
+    turn = 2 * math.pi
+    g = g.withColumn("radius", F.when(F.col("drawn"), draw("r_lo", "r_hi", "r")).otherwise(part("r_lo", "r_hi", "a", radii)))
+    g = g.withColumn("elevation", F.when(F.col("drawn"), draw("e_lo", "e_hi", "e")).otherwise(part("e_lo", "e_hi", "b", elevations)))
+    g = g.withColumn("azimuth", F.when(F.col("drawn"), turn * uniform(seed, *key, F.lit("z"))).otherwise(turn * F.col("c") / azimuths))
+    return g.select("object_id", "a", "b", "c", "drawn", "radius", "elevation", "azimuth", *named(sph_to_cart(F.col("radius"), F.col("azimuth"), F.col("elevation")), "c"))
+
+
 def sample_views(spark: SparkSession, n: int, ranges: dict[str, tuple[float, float]], seed: int) -> DataFrame:
     """n cameras, each parameter even in its range, with its place for radius, azimuth and elevation."""
     out = spark.range(n).withColumnRenamed("id", "view")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,41 @@ def sdf_lookup(sdf: DataFrame, queries: DataFrame) -> DataFrame:
     return q.join(sdf, ["mesh_id", "i", "j", "k"], "left").groupBy("mesh_id", "query_id").agg(F.sum(F.coalesce("val", F.lit(0.0)) * w).alias("val"))
 
 
+def signed_distance(sdf: DataFrame, queries: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """As ``sdf_lookup`` for queries within their mesh's grid; others get the distance to the nearest surface cell (all of
+    them are searched; ties go to the first) plus that cell's value. Queries of meshes without a grid have no row."""
+    from .points import knn
+
+    n = sdf.groupBy("mesh_id").agg(*[(F.max(c) + 1).alias(f"_n{c}") for c in "ijk"])
+    q = queries.join(n, "mesh_id")
+    off = F.expr("x < 0 or y < 0 or z < 0 or x >= _ni or y >= _nj or z >= _nk")
+    within = sdf_lookup(sdf, q.where(~off).select("mesh_id", "query_id", "x", "y", "z"))
+    cell = (F.col("i").cast("long") * 1_048_576 + F.col("j")) * 1_048_576 + F.col("k")
+    cells = surface_points(sdf, resolution).select(F.col("mesh_id").alias("cloud_id"), cell.alias("point_id"), *[F.col(i).cast("double").alias(c) for i, c in zip("ijk", "xyz", strict=True)], "val")
+    asked = q.where(off).select(F.col("mesh_id").alias("cloud_id"), F.col("query_id").alias("point_id"), "x", "y", "z")
+    near = knn(cells, asked, 1, 4.0).join(cells.select("cloud_id", "point_id", "val"), ["cloud_id", "point_id"])
+    return within.union(near.select(F.col("cloud_id").alias("mesh_id"), "query_id", (F.sqrt("d2") * resolution + F.col("val")).alias("val")))
+
+
+def grid_curvature(sdf: DataFrame) -> DataFrame:
+    """At cells with neighbours on all sides: the symmetric matrix of gradient differences, (g(+1) - g(-1)) / 4 plus its
+    transpose (hxx .. hyz), and its determinant. Differences come from windows along each axis."""
+    g = grid_gradient(sdf)
+    for c in "ijk":
+        w = Window.partitionBy("mesh_id", *[x for x in "ijk" if x != c]).orderBy(c)
+        g = g.select("*", *[((F.lead(f"g{b}").over(w) - F.lag(f"g{b}").over(w)) / 4).alias(f"c{c}{b}") for b in "ijk"])
+    h = lambda a, b: F.col(f"c{a}{b}") + F.col(f"c{b}{a}")
+    g = g.select("mesh_id", "i", "j", "k", h("i", "i").alias("hxx"), h("j", "j").alias("hyy"), h("k", "k").alias("hzz"), h("i", "j").alias("hxy"), h("i", "k").alias("hxz"), h("j", "k").alias("hyz"))
+    g = g.where("hxx is not null and hyy is not null and hzz is not null")
+    return g.withColumn("det", F.expr("hxx*(hyy*hzz-hyz*hyz) - hxy*(hxy*hzz-hyz*hxz) + hxz*(hxy*hyz-hyy*hxz)"))
+
+
+def grids(sizes: DataFrame) -> DataFrame:
+    """All cells of each mesh's grid (mesh_id, nx, ny, nz) in C order, with their flat id."""
+    out = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx") * F.col("ny") * F.col("nz") - 1)).alias("id")).where("nx > 0 and ny > 0 and nz > 0")
+    return out.select("mesh_id", F.floor(F.col("id") / (F.col("ny") * F.col("nz"))).alias("i"), (F.floor(F.col("id") / F.col("nz")) % F.col("ny")).alias("j"), (F.col("id") % F.col("nz")).alias("k"), "id")
+
+
 def grid_gradient(sdf: DataFrame) -> DataFrame:
     """Central differences inside and one-sided ones at the edges, by equi-joins with the neighbours."""
     out = sdf

@@ -11,6 +11,7 @@ from . import query
 from . import views as V
 from .clouds import U
 from .learning import _BETA, _FRAME2
+from .surfaces import SIGNED
 
 _ROT = [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
 
@@ -104,3 +105,35 @@ def g06(s, d):
 def g14(s, d):
     poses = V.table(s, d, "nation").selectExpr("cast(n_nationkey as string) cloud_id", "explode(sequence(0, 3)) k").selectExpr("cloud_id", "cast(k as long) pose_id", "0.1D + 0.2D * k p")
     return C.candidates(V.grasps(s, d), poses, 0.2, 50.0, V.points(s, d))
+
+
+@query("g10_resample_detailed", f"with q as materialized (select mesh_id, (i*12+j)*12+k query_id, -0.6018150231520483*(j-5.5)+0.7986355100472928*(i-5.5)+5.5+0.4137 x, 0.6018150231520483*(i-5.5)+0.7986355100472928*(j-5.5)+5.5-1.2911 y, (k-5.5)+5.5+0.2303 z from sdf) select mesh_id, cast(query_id // 144 as int) i, cast(query_id // 12 % 12 as int) j, cast(query_id % 12 as int) k, val from ({SIGNED})", "val", places=5)
+def g10b(s, d):
+    return C.resample_sdf_detailed(V.sdf(s, d), [0.7986355100472928, -0.6018150231520483, 0.0, 0.6018150231520483, 0.7986355100472928, 0.0, 0.0, 0.0, 1.0], [0.4137, -1.2911, 0.2303], 12)
+
+
+@query("g12_projection_window", f"""with b as (select cloud_id, {", ".join(f"min({c}) l{c}, max({c}) h{c}" for c in "xyz")} from points group by 1), r as (select grasp_id, side, cast(wi as int) wi, cast(wj as int) wj, {", ".join(f"p{c}+t1{c}*((wi+0.5)*0.05-0.1)+t2{c}*((wj+0.5)*0.05-0.1)-0.1*d{c} o{c}, d{c}, l{c}, h{c}" for c in "xyz")} from ({_FRAME2}) f join (select grasp_id, cloud_id from grasps) using (grasp_id) join b using (cloud_id), range(4) i(wi), range(4) j(wj)),
+ t as (select *, greatest({", ".join(f"least((l{c}-o{c})/d{c}, (h{c}-o{c})/d{c})" for c in "xyz")}) near, least({", ".join(f"greatest((l{c}-o{c})/d{c}, (h{c}-o{c})/d{c})" for c in "xyz")}) far from r), u as (select *, case when near <= far then case when near > 0 then near when far > 0 then far end end t from t)
+ select grasp_id, side, wi, wj, case when t is null or t > 0.9 then 0.2 else least(t-0.1, 0.8) end val from u""", "val")
+def g12(s, d):
+    """Contacts before the bounding box of their cloud."""
+    v, f = M.box_mesh(V.points(s, d).select(F.col("cloud_id").alias("mesh_id"), F.col("point_id").alias("vid"), "x", "y", "z"))
+    c = V.contacts(s, d).join(V.grasps(s, d).select("grasp_id", F.col("cloud_id").alias("mesh_id")), "grasp_id")
+    return C.projection_window(c, M.face_corners(v, f), 0.2, 4, 0.8, 0.1)
+
+
+@query("g03_antipodal")
+def g03(s, d):
+    return C.antipodal_grasps(V.sdf(s, d), 2, 5, 0.5, 11.0, 1.0)
+
+
+_OCC = "occ as materialized (select frame_id, v, u from depth where d > 500), p as (select o.frame_id, o.v, o.u, " + ", ".join(f"{n}.v is not null {n}" for n in ("up", "le", "di", "do_", "ri", "dd")) + " from occ o " + " ".join(f"left join occ {n} on {n}.frame_id = o.frame_id and {n}.v = o.v{a} and {n}.u = o.u{b}" for n, a, b in (("up", "-1", ""), ("le", "", "-1"), ("di", "-1", "-1"), ("do_", "+1", ""), ("ri", "", "+1"), ("dd", "+1", "+1"))) + ")"
+_TRI = "select distinct frame_id, unnest([(v, u), {b}, {c}]) p, unnest([{b}, {c}, (v, u)]) q, (v, u, {n}) t from p where {w}"
+
+
+@query("g07_image_to_mesh", f"with {_OCC}, e as (" + " union all ".join(_TRI.format(b=b, c=c, n=n, w=w) for n, (b, c, w) in enumerate((("(v-1, u)", "(v, u-1)", "up and le"), ("(v-1, u-1)", "(v, u-1)", "not up and le and di and v > 1 and u > 1"), ("(v+1, u)", "(v, u+1)", "do_ and ri"), ("(v+1, u+1)", "(v, u+1)", "not do_ and ri and dd"))))
+    + "), s as (select frame_id, list_sort([t_a, t_b, t_c]) k from (select frame_id, t, list(p)[1] t_a, list(p)[2] t_b, list(p)[3] t_c from e group by 1, 2)), w as (select frame_id, count(*) n from (select frame_id, least(p, q), greatest(p, q) from e group by 1, 2, 3 having count(*) = 1) group by 1), f as (select frame_id, count(*) n from s group by 1) select frame_id mesh_id, cast(f.n*2 + w.n*2 as bigint) n from f join w using (frame_id)")
+def g07(s, d):
+    """Pixels further than half a unit; faces of each mesh."""
+    _, f = C.image_to_mesh(V.depth(s, d).where("d > 500").select("frame_id", "v", "u"))
+    return f.groupBy("mesh_id").agg(F.count("*").alias("n"))

@@ -20,17 +20,26 @@ def _gauss(*parts: str) -> str:
     return f"(sqrt(-2*ln(1-{_u(*parts, "'u'")}))*cos(2*pi()*{_u(*parts, "'v'")}))"
 
 
-@query("p25_view_grid", "select r, e, az, roll, r*cos(az)*sin(e) cx, r*sin(az)*sin(e) cy, r*cos(e) cz from (select 0.5+i*0.25 r, 0.1+j*0.2 e, k*2*pi()/8 az, l*pi()/2 roll from range(3) a(i), range(4) b(j), range(8) c(k), range(2) d(l)), (select count(*) n from embeddings) where n > 0", "r e az roll cx cy cz")
+def _objects(s, d):
+    """Camera ranges of each embedding."""
+    return V.table(s, d, "embeddings").selectExpr("vec_id object_id", "0.5D r_lo", "0.6D + abs(cast(element_at(embedding, 1) as double)) r_hi", "0.1D e_lo", "0.2D + abs(cast(element_at(embedding, 2) as double)) e_hi")
+
+
+_OBJECTS = "select vec_id object_id, 0.5 r_lo, 0.6+abs(cast(embedding[1] as double)) r_hi, 0.1 e_lo, 0.2+abs(cast(embedding[2] as double)) e_hi, a, b, c from embeddings, range(3) x(a), range(4) y(b), range(8) z(c)"
+
+
+@query("p25_view_grid", f"select object_id, radius, elevation, azimuth, radius*cos(azimuth)*sin(elevation) cx, radius*sin(azimuth)*sin(elevation) cy, radius*cos(elevation) cz from (select object_id, r_lo+(r_hi-r_lo)*a/2 radius, e_lo+(e_hi-e_lo)*b/3 elevation, 2*pi()*c/8 azimuth from ({_OBJECTS}))", "radius elevation azimuth cx cy cz")
 def p25(s, d):
-    g = R.view_grid(s, (0.5, 1.0, 3), (0.1, 0.7, 4), (0.0, 6.283185307179586, 8), (0.0, 3.141592653589793, 2))
-    n = V.table(s, d, "embeddings").agg(F.count("*").alias("n"))
-    return g.crossJoin(F.broadcast(n)).where("n > 0").select(F.col("radius").alias("r"), F.col("elevation").alias("e"), F.col("azimuth").alias("az"), "roll", "cx", "cy", "cz")
+    return R.object_views(_objects(s, d), 3, 4, 8, 6).where("not drawn").select("object_id", "radius", "elevation", "azimuth", "cx", "cy", "cz")
+
 
+_KEY = ("'6'", "object_id", "a", "b", "c")
 
-@query("p26_sample_views", f"select view_, radius, fx from (select i view_, 0.5+0.5*{_u("'6'", 'i', "'radius'")} radius, 500+50*{_u("'6'", 'i', "'fx'")} fx from (select vec_id i from embeddings where vec_id < 200))", "radius fx")
+
+@query("p26_sample_views", f"select object_id, a, b, c, r_lo+(r_hi-r_lo)*{_u(*_KEY, "'r'")} radius, e_lo+(e_hi-e_lo)*{_u(*_KEY, "'e'")} elevation, 2*pi()*{_u(*_KEY, "'z'")} azimuth from ({_OBJECTS})", "radius elevation azimuth")
 def p26(s, d):
-    g = R.sample_views(s, 200, {"radius": (0.5, 1.0), "fx": (500.0, 550.0)}, 6)
-    return g.join(V.table(s, d, "embeddings").select(F.col("vec_id").alias("view")), "view", "left_semi").withColumnRenamed("view", "view_")
+    v = R.object_views(_objects(s, d), 3, 4, 8, 6).where("drawn")
+    return v.select("object_id", *[F.col(x).cast("long").alias(x) for x in "abc"], "radius", "elevation", "azimuth")
 
 
 @query("g01_uniform_grasps", f"""with r as (select *, row_number() over (partition by cloud_id order by point_id) - 1 pos, count(*) over (partition by cloud_id) n from points), c as (select cloud_id, any_value(n) n from r group by 1),
@@ -95,3 +104,11 @@ def p39(s, d):
     r = F.array(*[F.col(f"{a}{c}") for c in "xyz" for a in ("ap", "b", "m")])
     one, two = f.select("grasp_id", r.alias("r1")), f.select((F.col("grasp_id") - 1).alias("grasp_id"), r.alias("r2"))
     return one.join(two, "grasp_id").select("grasp_id", R.same_pose("r1", "r2", 0.05).alias("same"))
+
+
+_REGIONS = {"open": "bx > 0 and bx < 0.125 and bz < 0.01125 and abs(b_y) < 0.0835", "left": "bx > 0 and bx < 0.125 and bz < 0.01125 and b_y > 0.0835 and b_y < 0.109", "right": "bx > 0 and bx < 0.125 and bz < 0.01125 and b_y < -0.0835 and b_y > -0.109", "bottom": "bx > -0.0225 and bx < 0 and bz < 0.01125 and abs(b_y) < 0.109"}
+
+
+@query("p15_regions", "with q as (select grasp_id, (x-cx)*apx+(y-cy)*apy+(z-cz)*apz bx, (x-cx)*yx+(y-cy)*yy+(z-cz)*yz b_y, abs((x-cx)*mx+(y-cy)*my+(z-cz)*mz) bz from gpose join points using (cloud_id)) " + " union all ".join(f"select grasp_id, '{k}' region, count(*) n from q where {c} group by 1" for k, c in _REGIONS.items()))
+def p15b(s, d):
+    return G.region_counts(V.points(s, d), V.grasps(s, d))

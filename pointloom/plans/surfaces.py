@@ -218,10 +218,42 @@ def j11(s, d):
     return S.sdf_lookup(V.sdf(s, d), q)
 
 
-@query("j17_grid", "select a.i, b.j, c.k, (a.i*4+b.j)*5+c.k id from range(3) a(i), range(4) b(j), range(5) c(k), (select count(*) n from embeddings) e where a.i < e.n")
+_SIDE = "cast(floor({}*10) as bigint)+2"
+
+
+@query("j17_grid", "select mesh_id, i, j, k, (i*ny+j)*nz+k id from (select vec_id mesh_id, " + ", ".join(f"{_SIDE.format(f'abs(cast(embedding[{n + 1}] as double))')} n{c}" for n, c in enumerate("xyz")) + " from embeddings), lateral (select unnest(range(nx)) i), lateral (select unnest(range(ny)) j), lateral (select unnest(range(nz)) k)")
 def j17(s, d):
-    n = V.table(s, d, "embeddings").agg(F.count("*").alias("n"))
-    return S.grid(s, 3, 4, 5).crossJoin(F.broadcast(n)).where("i < n").drop("n")
+    """A grid for each embedding, of sides that its numbers tell."""
+    sizes = V.table(s, d, "embeddings").selectExpr("vec_id mesh_id", *[f"{_SIDE.format(f'abs(cast(element_at(embedding, {n + 1}) as double))')} n{c}" for n, c in enumerate("xyz")])
+    return S.grids(sizes)
+
+
+_INSIDE = "select q.mesh_id, query_id, sum(val*(1-abs(x-i))*(1-abs(y-j))*(1-abs(z-k))) val from q join sdf s on s.mesh_id = q.mesh_id and i between floor(x) and floor(x)+1 and j between floor(y) and floor(y)+1 and k between floor(z) and floor(z)+1 where x >= 0 and y >= 0 and z >= 0 and x < 12 and y < 12 and z < 12 group by 1, 2"
+_OUTSIDE = "select q.mesh_id, query_id, arg_min(r, (d, c)) val from (select q.mesh_id, query_id, sqrt((x-i)**2+(y-j)**2+(z-k)**2) d, (i*12+j)*12+k c, sqrt((x-i)**2+(y-j)**2+(z-k)**2)+val r from q join sdf s on s.mesh_id = q.mesh_id where abs(val) < sqrt(2.0)/2 and (x < 0 or y < 0 or z < 0 or x >= 12 or y >= 12 or z >= 12)) q group by 1, 2"
+#: SQL of the signed distance at queries q (mesh_id, query_id, x, y, z).
+SIGNED = f"{_INSIDE} union all {_OUTSIDE}"
+
+
+@query("j11_signed_distance", f"with q as materialized (select cast(cloud_id as int) mesh_id, point_id query_id, x*14+6 x, y*14+6 y, z*14+6 z from points where cast(cloud_id as int) in (select mesh_id from sdf)) {SIGNED}", "val", places=5)
+def j11b(s, d):
+    """Each point as a place in its label's grid; many are outside."""
+    q = V.points(s, d).selectExpr("cast(cloud_id as int) mesh_id", "point_id query_id", "x*14+6 x", "y*14+6 y", "z*14+6 z")
+    return S.signed_distance(V.sdf(s, d).withColumn("mesh_id", F.col("mesh_id").cast("int")), q)
+
+
+_GRAD = ", ".join(f"(coalesce(lead(val) over w{c}, val) - coalesce(lag(val) over w{c}, val)) / (case when lead(val) over w{c} is null or lag(val) over w{c} is null then 1 else 2 end) g{c}" for c in "ijk")
+_WINDOWS = "window " + ", ".join(f"w{c} as (partition by mesh_id, {', '.join(x for x in 'ijk' if x != c)} order by {c})" for c in "ijk")
+
+
+@query("w08_grid_curvature", f"with g as materialized (select mesh_id, i, j, k, {_GRAD} from sdf {_WINDOWS}), c as (select mesh_id, i, j, k, " + ", ".join(f"(lead(g{b}) over w{a} - lag(g{b}) over w{a})/4 c{a}{b}" for a in "ijk" for b in "ijk") + f" from g {_WINDOWS}), h as (select mesh_id, i, j, k, 2*cii hxx, 2*cjj hyy, 2*ckk hzz, cij+cji hxy, cik+cki hxz, cjk+ckj hyz from c where cii is not null and cjj is not null and ckk is not null) select *, hxx*(hyy*hzz-hyz*hyz) - hxy*(hxy*hzz-hyz*hxz) + hxz*(hxy*hyz-hyy*hxz) det from h", "hxx hyy hzz hxy hxz hyz det")
+def w08b(s, d):
+    return S.grid_curvature(V.sdf(s, d))
+
+
+@query("g08_subdivide_until", "with m as (select mesh_id, count(*) n, max(greatest(sqrt((x2-x1)**2+(y2-y1)**2+(z2-z1)**2), sqrt((x3-x2)**2+(y3-y2)**2+(z3-z2)**2), sqrt((x3-x1)**2+(y3-y1)**2+(z3-z1)**2))) l from corners group by 1) select mesh_id, cast(n*4**greatest(ceil(log2(l/0.8)), 0) as bigint) n, l/2**greatest(ceil(log2(l/0.8)), 0) longest from m", "longest")
+def g08b(s, d):
+    c = M.subdivide_until(_corners(s, d), 0.8)
+    return c.groupBy("mesh_id").agg(F.count("*").alias("n")).join(M.longest_edges(c), "mesh_id")
 
 
 @query("p30_to_grid", "select mesh_id, cid, gx, gy, gz, gx < 0 or gy < 0 or gz < 0 or gx >= 12 or gy >= 12 or gz >= 12 outside from (select cast(cloud_id as int) mesh_id, point_id cid, (x+0.6)/0.1 gx, (y+0.6)/0.1 gy, (z+0.6)/0.1 gz from points)", "gx gy gz")
