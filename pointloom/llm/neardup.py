@@ -113,6 +113,15 @@ def sequence_hash(words: np.ndarray) -> int | None:
     return int(mix(words + mix(np.arange(1, len(words) + 1, dtype=np.uint64))).sum(dtype=U64).view(np.int64))
 
 
+#: Tables of at most so many rows of one number are broadcast.
+SMALL = 4_000_000
+
+
+def narrowed(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of df whose key is among ``keys`` (a table on disk): broadcast if that is small, else by a shuffled join."""
+    return df.join(F.broadcast(keys) if keys.count() <= SMALL else keys, on, "left_semi")
+
+
 def _sketches(docs: DataFrame, sketches: int) -> DataFrame:
     """(id, row, text's hash, words' hash u, number of words, their counts by bin, keys, words); u is null without words."""
 
@@ -305,8 +314,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, sketches: int, similar
     named = keys.groupBy("key").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high")
     members = tables.keep(keys.join(named, "key"), "members")
     sides = texts.select("u", "n", "bag")
-    words = found.join(members.select("u").distinct(), "u", "left_semi").dropDuplicates(["u"]).select("u", "words", F.slice("keys", 1, sketches).alias("keys"))
+    needed = tables.keep(members.select("u").distinct(), "needed")
+    words = narrowed(found.select("u", "words", F.slice("keys", 1, sketches).alias("keys")), needed, "u").dropDuplicates(["u"])
     words = tables.keep(words, "words")
+    rows = tables.keep(found.select("id", "row", "hash", "n", "u"), "rows")
+    tables.drop("sketches")
     # each text with the least and with the greatest of those named by its buckets that it may be like
     named = members.select(F.col("u").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
     pairs = near(named, sides, similarity).groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y"))
@@ -318,8 +330,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, sketches: int, similar
     new = all_pairs(members.select("key", "u", "n").join(label, "u", "left").select("key", "u", "n", F.coalesce("label", "u").alias("label")), sides, words, tried, similarity, tables)
     if new.head(1):
         labels = relabelled(labels, new, tables)
-    own = found.select("id", "row", "hash", "n", "u")
-    own = own.join(labels, own["u"] == labels["node"], "left")
+    own = rows.join(labels, rows["u"] == labels["node"], "left")
     own = own.select("id", "row", "hash", "n", F.coalesce("label", "u").alias("c"))
     tops = own.where("c is not null").groupBy("c").agg(F.min(F.struct("id", "row")).alias("top"), F.count("*").alias("size"))
     out = own.join(tops, "c", "left").select(
@@ -327,5 +338,5 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, sketches: int, similar
         F.coalesce("size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("top.row") == F.col("row"), F.lit(True)).alias("is_kept"),
     )
     out = Tables().keep(out, "classes")
-    tables.drop("sketches", "texts", "members", "words", "pairs", "links", "components", "open", "labels")
+    tables.drop("texts", "rows", "needed", "members", "words", "pairs", "links", "components", "open", "labels")
     return out
