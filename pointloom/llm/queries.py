@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, jpeg, langid, licences, lm, neardup, pii, secrets
+from . import bpe, decontaminate, html, jpeg, langid, licences, lm, neardup, pii, resample, secrets, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,9 +68,29 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal(table(spark, sf_dir, "documents"), pii.train_on(pii.labelled_table(spark)))
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def pieces_file() -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+#: Tokens that a document may have before op13_token_counts marks it.
+TOKEN_LIMIT = 4096
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.totals(token_counts.prefix_counts(table(spark, sf_dir, "documents"), pieces_file()), TOKEN_LIMIT)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_bpe, op3_neardup, op4_decontaminate, op5_html, op6_langid, op7_lm, op8_licences, op9_jpeg, op10_pii)}
+    found = (op1_secrets, op2_bpe, op3_neardup, op4_decontaminate, op5_html, op6_langid, op7_lm, op8_licences, op9_jpeg, op10_pii, op12_resample, op13_token_counts)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licences": licences.oracle()}
+    return {"op8_licences": licences.oracle(), "op12_resample": resample.oracle()}
