@@ -81,3 +81,22 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
     upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = parts.join(F.broadcast(offsets), "_part")  # a row for each range
     return out.select(*df.columns, *[(F.sum(sums[n]).over(upto) + F.col(f"_o{i}")).alias(n) for i, n in enumerate(names)])
+
+
+def running_within(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums within groups in an order (this row's share included); null is a group of its own.
+
+    Rows are dealt out by ranges of group and order, so a group of any size is shared among tasks, each of which sums its
+    own range. At most as many groups as there are ranges lie in more than one; for these alone, the sums of the ranges
+    before are added. All tables that are broadcast have a few rows for each range.
+    """
+    parts = save(df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in group], *order).withColumn("_part", F.spark_partition_id()))
+    names, key = list(sums), F.struct(*group)
+    ends = parts.groupBy("_part").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))  # groups lie in the ranges one after the other
+    cut = ends.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_g")).groupBy("_g").count().where("count > 1").select("_g")
+    totals = parts.withColumn("_g", key).join(F.broadcast(cut), "_g").groupBy("_g", "_part").agg(*[F.sum(sums[n]).alias(f"_t{i}") for i, n in enumerate(names)])
+    before = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_g", "_part", *[F.sum(f"_t{i}").over(before).alias(f"_o{i}") for i in range(len(names))])
+    upto = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.withColumn("_g", key).join(F.broadcast(offsets), ["_g", "_part"], "left")
+    return out.select(*df.columns, *[(F.sum(sums[n]).over(upto) + F.coalesce(F.col(f"_o{i}"), F.lit(0))).alias(n) for i, n in enumerate(names)])
