@@ -186,6 +186,18 @@ class HashIndex:
         return out
 
 
+#: DuckDB SQL for CRC-32: a table of remainders made by rule (needs ``with recursive``), and the checksum of a string by it.
+CRC_TABLE = """bits(b, k, v) as (select b, 0, b from range(256) t(b) union all
+  select b, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+crc as (select list(v order by b) remainders from bits where k = 8)"""
+
+
+def crc_of(text: str) -> str:
+    """The SQL of a string's unsigned CRC-32, in a query that joins ``crc``."""
+    data = f"list_transform(range(0, octet_length(encode({text}))), lambda i: cast('0x' || substr(hex(encode({text})), cast(2 * i + 1 as int), 2) as bigint))"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {data}), lambda c, x: xor(c >> 8, remainders[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or on a local master a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

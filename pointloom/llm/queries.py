@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, jpeg, langid, licences, lm, neardup, pii, resample, secrets, token_counts
+from . import bpe, decontaminate, html, jpeg, langid, licences, lm, neardup, pii, prefix_trie, resample, secrets, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal(table(spark, sf_dir, "documents"), pii.train_on(pii.labelled_table(spark)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -88,9 +92,9 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_secrets, op2_bpe, op3_neardup, op4_decontaminate, op5_html, op6_langid, op7_lm, op8_licences, op9_jpeg, op10_pii, op12_resample, op13_token_counts)
+    found = (op1_secrets, op2_bpe, op3_neardup, op4_decontaminate, op5_html, op6_langid, op7_lm, op8_licences, op9_jpeg, op10_pii, op11_prefix_trie, op12_resample, op13_token_counts)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licences": licences.oracle(), "op12_resample": resample.oracle()}
+    return {"op8_licences": licences.oracle(), "op11_prefix_trie": prefix_trie.oracle(), "op12_resample": resample.oracle()}

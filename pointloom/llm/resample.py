@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pointloom.operators.rounds import running
 
-from .common import Tables, column, map_arrow
+from .common import CRC_TABLE, Tables, column, crc_of, map_arrow
 
 BUCKETS, NGRAM, SEED, LEAST_WORDS, PERCENT = 10_000, 1, 2024, 20, 10
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -176,15 +176,12 @@ def oracle(buckets: int = BUCKETS, least_words: int = LEAST_WORDS, percent: int
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     split = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{word}')"
     return f"""
-with recursive bits(b, k, v) as (select b, 0, b from range(256) t(b) union all
-  select b, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
-crc as (select list(v order by b) t from bits where k = 8),
+with recursive {CRC_TABLE},
 docs as (select row_number() over () rid, doc_id, {split} words from documents),
 corpus as (select rid, unnest(words) w from docs),
 target as (select unnest({split}) w from benchmark),
 distinct_words as (select distinct w from (select w from corpus union all select w from target)),
-bytes as (select w, list_transform(range(0, octet_length(encode(w))), lambda i: cast('0x' || substr(hex(encode(w)), cast(2 * i + 1 as int), 2) as bigint)) b from distinct_words),
-bucket as (select w, xor(list_reduce(list_prepend(cast(4294967295 as bigint), b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % {buckets} b from bytes, crc),
+bucket as (select w, {crc_of("w")} % {buckets} b from distinct_words, crc),
 s as (select b, count(*) n from corpus join bucket using (w) group by b),
 t as (select b, count(*) n from target join bucket using (w) group by b),
 gain as (select b, cast(floor(1000 * ln(cast(coalesce(t.n, 0) + 1 as double) * ((select coalesce(sum(n), 0) from s) + {buckets})
