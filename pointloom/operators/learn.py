@@ -145,10 +145,67 @@ def ucb_arm(state: DataFrame, b: float) -> DataFrame:
 
 
 def posterior_history(rewards: DataFrame, rate: int, a0: float = 1.0, b0: float = 1.0) -> DataFrame:
-    """The posterior of each arm after every ``rate`` rewards, and after the last."""
-    w = Window.partitionBy("arm").orderBy("seq")
-    h = rewards.withColumn("k", F.row_number().over(w)).withColumn("s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("last", F.lead("seq").over(w).isNull())
-    return h.where((F.col("k") % rate == 0) | F.col("last")).select("arm", F.col("k").cast("long").alias("k"), (a0 + F.col("s")).alias("alpha"), (b0 + F.col("k") - F.col("s")).alias("beta"))
+    """The posterior of each arm after every ``rate`` rewards, and after the last.
+
+    Sums run over ranges of (arm, seq), so an arm with most of the rewards is shared among tasks.
+    """
+    from .rounds import running_within
+
+    one = F.lit(1).cast("long")
+    h = running_within(rewards.select("arm", "seq", "v"), ["arm"], [F.col("seq")], {"k": one, "s": F.col("v")}, {"n": one})
+    return h.where((F.col("k") % rate == 0) | (F.col("k") == F.col("n"))).select("arm", "k", (a0 + F.col("s")).alias("alpha"), (b0 + F.col("k") - F.col("s")).alias("beta"))
+
+
+class Stop:
+    """When an arm has had enough rewards: a test of the rewards so far (k), the last one, the one before it, and the posterior's variance.
+
+    The test is made of comparisons joined by ``&`` and ``|``, so it holds for columns and for numpy arrays alike. Rules
+    are put together with ``&`` and ``|`` as well.
+    """
+
+    def __init__(self, test):
+        self.test = test
+
+    def __and__(self, other: Stop) -> Stop:
+        return Stop(lambda *now: self.test(*now) & other.test(*now))
+
+    def __or__(self, other: Stop) -> Stop:
+        return Stop(lambda *now: self.test(*now) | other.test(*now))
+
+    @classmethod
+    def count(cls, most: int) -> Stop:
+        return cls(lambda k, value, before, variance: k >= most)
+
+    @classmethod
+    def progress(cls, eps: float) -> Stop:
+        """The last two rewards differ by less than eps; before the first one, the reward counts as 0."""
+        return cls(lambda k, value, before, variance: (value - before < eps) & (before - value < eps))
+
+    @classmethod
+    def confidence(cls, eps: float) -> Stop:
+        """The posterior's variance is below eps."""
+        return cls(lambda k, value, before, variance: variance < eps)
+
+
+def beta_variance(a, b):
+    """Variance of a Beta distribution, of columns or arrays."""
+    return a * b / ((a + b) * (a + b) * (a + b + 1))
+
+
+def posterior_until(rewards: DataFrame, stop: Stop, a0: float = 1.0, b0: float = 1.0) -> DataFrame:
+    """(arm, alpha, beta, n, stopped): each arm's posterior when ``stop`` first holds, or after its last reward if it never does.
+
+    Rewards count in order of ``seq``; later ones than the stop are left out. Sums run over ranges of (arm, seq).
+    """
+    from .rounds import running_within
+
+    h = running_within(rewards.select("arm", "seq", "v"), ["arm"], [F.col("seq")], {"n": F.lit(1).cast("long"), "s": F.col("v")}, previous={"before": F.col("v")})
+    h = h.select("arm", "n", "v", F.coalesce("before", F.lit(0.0)).alias("before"), (a0 + F.col("s")).alias("alpha"), (b0 + F.col("n") - F.col("s")).alias("beta"))
+    ends = stop.test(F.col("n"), F.col("v"), F.col("before"), beta_variance(F.col("alpha"), F.col("beta")))
+    state = F.struct("n", "alpha", "beta")
+    found = h.groupBy("arm").agg(F.min(F.when(ends, state)).alias("first"), F.max(state).alias("last"))
+    now = F.coalesce("first", "last")
+    return found.select("arm", now["alpha"].alias("alpha"), now["beta"].alias("beta"), now["n"].alias("n"), F.col("first").isNotNull().alias("stopped"))
 
 
 def best_per_bin(state: DataFrame, k: int, seed: int) -> DataFrame:

@@ -83,20 +83,38 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
     return out.select(*df.columns, *[(F.sum(sums[n]).over(upto) + F.col(f"_o{i}")).alias(n) for i, n in enumerate(names)])
 
 
-def running_within(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+def running_within(
+    df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column], totals: dict[str, Column] | None = None, previous: dict[str, Column] | None = None
+) -> DataFrame:
     """Adds running sums within groups in an order (this row's share included); null is a group of its own.
 
+    ``totals``: sums over the whole group. ``previous``: values of the row before in the group, null in its first row
+    (these need an ascending order that tells all rows of a group apart).
+
     Rows are dealt out by ranges of group and order, so a group of any size is shared among tasks, each of which sums its
-    own range. At most as many groups as there are ranges lie in more than one; for these alone, the sums of the ranges
-    before are added. All tables that are broadcast have a few rows for each range.
+    own range. At most as many groups as there are ranges lie in more than one; for these alone, the sums of the other
+    ranges are added. All tables that are broadcast have a few rows for each range.
     """
+    totals, previous = totals or {}, previous or {}
     parts = save(df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in group], *order).withColumn("_part", F.spark_partition_id()))
-    names, key = list(sums), F.struct(*group)
+    key = F.struct(*group)
     ends = parts.groupBy("_part").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))  # groups lie in the ranges one after the other
     cut = ends.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_g")).groupBy("_g").count().where("count > 1").select("_g")
-    totals = parts.withColumn("_g", key).join(F.broadcast(cut), "_g").groupBy("_g", "_part").agg(*[F.sum(sums[n]).alias(f"_t{i}") for i, n in enumerate(names)])
-    before = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_g", "_part", *[F.sum(f"_t{i}").over(before).alias(f"_o{i}") for i in range(len(names))])
-    upto = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = parts.withColumn("_g", key).join(F.broadcast(offsets), ["_g", "_part"], "left")
-    return out.select(*df.columns, *[(F.sum(sums[n]).over(upto) + F.coalesce(F.col(f"_o{i}"), F.lit(0))).alias(n) for i, n in enumerate(names)])
+    each = [F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())] + [F.sum(c).alias(f"_t{i}") for i, c in enumerate(totals.values())]
+    each += [F.max_by(F.struct(c.alias("v")), F.struct(*order)).alias(f"_p{i}") for i, c in enumerate(previous.values())]
+    shares = parts.withColumn("_g", key).join(F.broadcast(cut), "_g").groupBy("_g", "_part").agg(F.count("*").alias("_n"), *each)
+    line = Window.partitionBy("_g").orderBy("_part")
+    before, whole = line.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_g")
+    others = shares.select(
+        "_g", "_part", F.lit(True).alias("_cut"), *[F.sum(f"_s{i}").over(before).alias(f"_s{i}") for i in range(len(sums))],
+        *[F.sum(f"_t{i}").over(whole).alias(f"_t{i}") for i in range(len(totals))], *[F.lag(f"_p{i}").over(line).alias(f"_p{i}") for i in range(len(previous))],
+    )
+    out = parts.withColumn("_g", key).join(F.broadcast(others), ["_g", "_part"], "left")
+    place = Window.partitionBy("_part", *group).orderBy(*order)
+    upto, all_here = place.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("_part", *group)
+    return out.select(
+        *df.columns,
+        *[(F.sum(c).over(upto) + F.coalesce(F.col(f"_s{i}"), F.lit(0))).alias(n) for i, (n, c) in enumerate(sums.items())],
+        *[F.when(F.col("_cut"), F.col(f"_t{i}")).otherwise(F.sum(c).over(all_here)).alias(n) for i, (n, c) in enumerate(totals.items())],
+        *[F.coalesce(F.lag(F.struct(c.alias("v"))).over(place), F.col(f"_p{i}"))["v"].alias(n) for i, (n, c) in enumerate(previous.items())],
+    )

@@ -1,14 +1,18 @@
-"""Streaming forms of the detection loop; each works on a batch frame as well, which is how they are checked."""
+"""Streaming forms of the detection loop; each has a batch form as well, which is how they are checked.
+
+Those with state of their own (``gate_stream``, ``publish_best``, ``stream_posterior``) need the RocksDB state store:
+``spark.sql.streaming.stateStore.providerClass`` = ``stateful.STORE``.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.catalog import rank_grasps
+from ..operators.learn import Stop, posterior_until
 
 
 def stream_features(frames: DataFrame, leaf: float, late: str, width: str = "1 minute") -> DataFrame:
@@ -20,30 +24,38 @@ def stream_features(frames: DataFrame, leaf: float, late: str, width: str = "1 m
     return p.select("frame_id", "ts", "z", *cells).groupBy("frame_id", F.window("ts", width), "i", "j", "k").agg(F.count("*").alias("n"), F.avg("z").alias("z"))
 
 
-def gate_batch(frames: DataFrame, states: DataFrame) -> DataFrame:
-    """Frames whose source's latest state before them is home: last value over the time-ordered union."""
+def gate_batch(frames: DataFrame, states: DataFrame, idle: str | None = None) -> DataFrame:
+    """Frames whose source's latest state before them is home: last value over the time-ordered union.
+
+    With ``idle`` (an interval such as "10 minutes"), a source that has been silent for longer is forgotten: its flag
+    counts as not home until its next state.
+    """
     both = states.select("source", "ts", "home", F.lit(None).cast("long").alias("frame_id"), F.lit(0).alias("kind")).unionByName(
         frames.select("source", "ts", F.lit(None).cast("boolean").alias("home"), "frame_id", F.lit(1).alias("kind")))
-    w = Window.partitionBy("source").orderBy("ts", "kind", "frame_id").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("now", F.last("home", ignorenulls=True).over(w))
+    line = Window.partitionBy("source").orderBy("ts", "kind", "frame_id")
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    if idle is None:
+        seen = both.withColumn("now", F.last("home", ignorenulls=True).over(upto))
+    else:
+        silent = F.col("ts") > F.lag("ts").over(line) + F.expr(f"interval {idle}")
+        seen = both.withColumn("_from", F.when(silent, F.col("ts"))).withColumn("_from", F.last("_from", ignorenulls=True).over(upto))
+        said = F.last(F.when(F.col("home").isNotNull(), F.struct("ts", "home")), ignorenulls=True).over(upto)
+        seen = seen.withColumn("_said", said).withColumn("now", F.col("_said.home") & (F.col("_from").isNull() | (F.col("_said.ts") >= F.col("_from"))))
     return seen.where("kind = 1 and now").select("frame_id", "ts", "source")
 
 
-def gate_stream(events: DataFrame) -> DataFrame:
-    """The same on a stream of (source, ts, frame_id or null, home or null): one remembered flag a source."""
+def gate_stream(events: DataFrame, late: str = "1 minute", idle: str = "1 day") -> DataFrame:
+    """``gate_batch`` on a stream of (source, ts, frame_id or null, home or null), whatever order events come in.
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["ts", "frame_id"], na_position="first")
-        home, out = (state.get[0] if state.exists else False), []
-        for r in rows.itertuples():
-            if pd.isna(r.frame_id):
-                home = bool(r.home)
-            elif home:
-                out.append((int(r.frame_id), r.ts, key[0]))
-        state.update((home,))
-        yield pd.DataFrame(out, columns=["frame_id", "ts", "source"])
+    Events wait in their source's state until the watermark has passed them, then are gone through in order of time, so
+    a state that comes late still decides about the frames after it. What comes after the watermark is lost. A source
+    silent for longer than ``idle`` is forgotten, and its state removed.
+    """
+    from .stateful import Gate, micros
 
-    return events.groupBy("source").applyInPandasWithState(step, "frame_id long, ts timestamp, source long", "home boolean", "append", "NoTimeout")
+    rows = events.withWatermark("ts", late).select("source", "ts", F.unix_micros("ts").alias("us"), "frame_id", "home")
+    out = rows.groupBy("source").transformWithStateInPandas(Gate(micros(events.sparkSession, idle)), "frame_id long, us long, source long", "append", "EventTime")
+    return out.select("frame_id", F.timestamp_micros("us").alias("ts"), "source")
 
 
 def latest_frame(frames: DataFrame) -> DataFrame:
@@ -64,33 +76,39 @@ def robot_state(joints: DataFrame, home: list[float], within: float = 1.0) -> Da
 
 
 def publish_best(scored: DataFrame, least_width: float, n: int = 1, late: str = "1 minute") -> DataFrame:
-    """The best grasps of each frame; too-narrow ones score 0; repeats of a grasp in a frame are dropped."""
-    s = scored.withColumn("score", F.when(F.col("width") < least_width, 0.0).otherwise(F.col("score")))
+    """(frame_id, ts, grasp_id, score, place): the n best grasps of each frame, once.
+
+    Too-narrow grasps score 0. Of a grasp that is repeated in a frame, the best score counts; equal scores go by grasp_id;
+    a null score is no score. All rows of a frame carry its time ts. On a stream, a frame's best so far (never more than n)
+    are its state, and are given out when the watermark passes the frame.
+    """
+    s = scored.withColumn("score", F.when(F.col("width") < least_width, 0.0).otherwise(F.col("score"))).where("score is not null")
     if s.isStreaming:
-        return s.withWatermark("ts", late).dropDuplicatesWithinWatermark(["frame_id", "grasp_id"])
-    return rank_grasps(s.dropDuplicates(["frame_id", "grasp_id"]), "frame_id", n)
+        from .stateful import Best
 
+        rows = s.withWatermark("ts", late).select("frame_id", "ts", F.unix_micros("ts").alias("us"), "grasp_id", "score")
+        out = rows.groupBy("frame_id").transformWithStateInPandas(Best(n), "frame_id long, us long, grasp_id long, score double, place int", "append", "EventTime")
+        return out.select("frame_id", F.timestamp_micros("us").alias("ts"), "grasp_id", "score", "place")
+    each = s.groupBy("frame_id", "grasp_id").agg(F.max("ts").alias("ts"), F.max("score").alias("score"))
+    best = rank_grasps(each, "frame_id", n).withColumn("place", F.row_number().over(Window.partitionBy("frame_id").orderBy(F.desc("score"), "grasp_id")))
+    return best.select("frame_id", "ts", "grasp_id", "score", "place")
 
-def stream_posterior(rewards: DataFrame, most: int, a0: float = 1.0, b0: float = 1.0) -> DataFrame:
-    """Running Beta posterior of each arm of a stream (arm, seq, v): one row for each arm and trigger, until the arm has
-    had ``most`` rewards; alpha, beta and n are the state."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        a, b, n = state.get if state.exists else (a0, b0, 0)
-        rows = pd.concat(list(parts)).sort_values("seq")["v"].to_numpy()[: max(0, most - n)]
-        a, b, n = a + float(rows.sum()), b + float((1 - rows).sum()), n + len(rows)
-        state.update((a, b, n))
-        yield pd.DataFrame([(key[0], a, b, n)], columns=["arm", "alpha", "beta", "n"])
+def stream_posterior(rewards: DataFrame, stop: Stop, a0: float = 1.0, b0: float = 1.0) -> DataFrame:
+    """Running Beta posterior of each arm of a stream (arm, seq, v): (arm, alpha, beta, n, stopped) for each arm and trigger.
 
-    return rewards.groupBy("arm").applyInPandasWithState(step, "arm long, alpha double, beta double, n long", "alpha double, beta double, n long", "update", "NoTimeout")
+    Rewards count in the order in which triggers bring them, within a trigger by seq. An arm that ``stop`` holds for takes
+    no more, and gives no more rows.
+    """
+    from .stateful import Arm
 
+    rows = rewards.select("arm", "seq", "v")
+    return rows.groupBy("arm").transformWithStateInPandas(Arm(stop, a0, b0), "arm long, alpha double, beta double, n long, stopped boolean", "update", "None")
 
-def posterior_batch(rewards: DataFrame, most: int, a0: float = 1.0, b0: float = 1.0) -> DataFrame:
-    """What stream_posterior holds after all rewards."""
-    from ..operators.points import cap_per_group
 
-    r = cap_per_group(rewards, ["arm"], ["seq"], most).groupBy("arm").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
-    return r.select("arm", (a0 + F.col("s")).alias("alpha"), (b0 + F.col("n") - F.col("s")).alias("beta"), "n")
+def posterior_batch(rewards: DataFrame, most: int, a0: float = 1.0, b0: float = 1.0) -> DataFrame:
+    """What stream_posterior holds after all rewards, with ``Stop.count(most)``."""
+    return posterior_until(rewards, Stop.count(most), a0, b0).drop("stopped")
 
 
 def window_counts(scored: DataFrame, width: str, slide: str | None = None, late: str = "1 minute") -> DataFrame:
