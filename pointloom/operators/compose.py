@@ -11,6 +11,7 @@ from . import mesh as M
 from . import random_views as R
 from . import sdf as S
 from .quality import contact_frame
+from .rays import closest_hits
 
 
 def gripper_pose(grasps: DataFrame, rotation: list[float], shift: list[float]) -> DataFrame:
@@ -69,7 +70,7 @@ def projection_window(contacts: DataFrame, corners: DataFrame, width: float, n:
     a, b = (F.col("wi") + 0.5) * res - width / 2, (F.col("wj") + 0.5) * res - width / 2
     ray = ((F.col("grasp_id") * 2 + F.col("side")) * n * n + F.col("wi") * n + F.col("wj")).alias("ray_id")
     rays = c.select("grasp_id", "side", "mesh_id", "wi", "wj", ray, *[(F.col(f"p{x}") + F.col(f"t1{x}") * a + F.col(f"t2{x}") * b - back_up * F.col(f"d{x}")).alias(f"o{x}") for x in "xyz"], "dx", "dy", "dz")
-    hit = M.closest_hit(M.ray_hits(rays.select("mesh_id", "ray_id", *[f"{k}{x}" for k in "od" for x in "xyz"]), corners, max_projection + back_up))
+    hit = closest_hits(rays, corners, max_projection + back_up)
     out = rays.join(hit, ["mesh_id", "ray_id"], "left")
     return out.select("grasp_id", "side", "wi", "wj", F.when(F.col("t").isNull(), NO_CONTACT).otherwise(F.least(F.col("t") - back_up, F.lit(max_projection))).alias("val"))
 

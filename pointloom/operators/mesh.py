@@ -228,21 +228,3 @@ def sample_surface(corners: DataFrame, n: int, seed: int = 0) -> DataFrame:
     hit = once(hit, r.alias("_r"), t.alias("_t"))
     place = lambda c: (1 - F.col("_r")) * F.col(f"{c}1") + F.col("_r") * (1 - F.col("_t")) * F.col(f"{c}2") + F.col("_r") * F.col("_t") * F.col(f"{c}3")
     return hit.select("mesh_id", "slot", "fid", *[place(c).alias(c) for c in "xyz"])
-
-
-def ray_hits(rays: DataFrame, corners: DataFrame, max_dist: float) -> DataFrame:
-    """Hits of rays (mesh_id, ray_id, ox.., dx..) with the faces of their mesh, at distances in (0, max_dist].
-
-    Equi-join on the mesh; parallel faces are skipped.
-    """
-    e1, e2 = sub(corner(2), corner(1)), sub(corner(3), corner(1))
-    both = rays.join(corners, "mesh_id")
-    both = once(both, *named(cross(vec("d"), e2), "_p"))
-    both = once(both, dot(e1, vec("_p")).alias("_det"), *named(sub(vec("o"), corner(1)), "_t")).where(F.abs("_det") > 1e-12)
-    both = once(both, *named(cross(vec("_t"), e1), "_q"))
-    both = once(both, (dot(vec("_t"), vec("_p")) / F.col("_det")).alias("bu"), (dot(vec("d"), vec("_q")) / F.col("_det")).alias("bv"), (dot(e2, vec("_q")) / F.col("_det")).alias("t"))
-    return both.where((F.col("bu") >= 0) & (F.col("bv") >= 0) & (F.col("bu") + F.col("bv") <= 1) & (F.col("t") > 0) & (F.col("t") <= max_dist)).select("mesh_id", "ray_id", "fid", "t")
-
-
-def closest_hit(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("mesh_id", "ray_id").agg(F.min(F.struct("t", "fid")).alias("h")).select("mesh_id", "ray_id", "h.t", "h.fid")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import add, cross, dot, named, norm, once, scale, sub, unit, vec
+from ..functions.eigen import eigenvalues
 
 
 def contact_frame(contacts: DataFrame) -> DataFrame:
@@ -63,23 +64,16 @@ def grasp_gram(w: DataFrame) -> DataFrame:
 
 
 def grasp_spectrum(gram: DataFrame) -> DataFrame:
-    """Smallest singular value, volume and isotropy of the grasp map, from its Gram matrix; one small matrix a row."""
-    import numpy as np
-    import pandas as pd
-
-    names = [f"{a}_{b}" for i, a in enumerate(W6) for b in W6[i:]]
-
-    def solve(parts):
-        rows, cols = np.triu_indices(6)
-        for p in parts:
-            m = np.zeros((len(p), 6, 6))
-            m[:, rows, cols] = m[:, cols, rows] = p[names].to_numpy()
-            s = np.sqrt(np.maximum(np.linalg.eigvalsh(m), 0)) if len(p) else np.zeros((0, 6))
-            with np.errstate(all="ignore"):
-                iso = np.nan_to_num(s[:, 0] / s[:, -1], nan=0.0, posinf=0.0)
-            yield pd.DataFrame({"grasp_id": p["grasp_id"], "min_singular": s[:, 0], "volume": np.sqrt(np.prod(s, 1)), "isotropy": iso})
-
-    return gram.select("grasp_id", *names).mapInPandas(solve, "grasp_id long, min_singular double, volume double, isotropy double")
+    """Smallest singular value, volume and isotropy of the grasp map, from its Gram matrix.
+
+    Eigenvalues below 1e-12 of the largest are 0 (two contacts never have full rank); isotropy is 0 where all are.
+    """
+    m = F.array(*[F.col(f"{min(a, b, key=W6.index)}_{max(a, b, key=W6.index)}") for a in W6 for b in W6])
+    e = once(gram.select("grasp_id", m.alias("m")), eigenvalues(F.col("m"), 6).alias("l"))
+    e = once(e, F.transform("l", lambda x: F.when(x > 1e-12 * F.element_at("l", 6), F.sqrt(x)).otherwise(0.0)).alias("s"))
+    least, most = F.element_at("s", 1), F.element_at("s", 6)
+    volume = F.sqrt(F.aggregate("s", F.lit(1.0), lambda a, x: a * x))
+    return e.select("grasp_id", least.alias("min_singular"), volume.alias("volume"), F.coalesce(least / F.nullif(most, F.lit(0.0)), F.lit(0.0)).alias("isotropy"))
 
 
 def epsilon_directions(w: DataFrame, directions: DataFrame) -> DataFrame:

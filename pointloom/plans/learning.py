@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import learn as L
 from ..operators import quality as Q
+from ..functions.eigen import SWEEPS_6, jacobi_sql
 from . import query
 from . import views as V
 from .clouds import U
@@ -56,7 +57,10 @@ def a25(s, d):
     return Q.grasp_gram(_wrenches(s, d))
 
 
-@query("a26_grasp_spectrum")
+_M36 = "[" + ", ".join(f"{min(a, b, key=Q.W6.index)}_{max(a, b, key=Q.W6.index)}" for a in Q.W6 for b in Q.W6) + "]::double[]"
+
+
+@query("a26_grasp_spectrum", f"with recursive {jacobi_sql(f'select grasp_id, {_M36} m from (select grasp_id, {_GRAM} from ({_WRENCH}) group by 1)', 'grasp_id', 6, SWEEPS_6)} select grasp_id, s[1] min_singular, sqrt(list_product(s)) volume, coalesce(s[1] / nullif(s[6], 0), 0) isotropy from (select grasp_id, list_transform(l, lambda x: case when x > 1e-12 * l[6] then sqrt(x) else 0 end) s from (select grasp_id, list_sort([m[1], m[8], m[15], m[22], m[29], m[36]]) l from turned))", "min_singular volume isotropy")
 def a26(s, d):
     return Q.grasp_spectrum(Q.grasp_gram(_wrenches(s, d)))
 

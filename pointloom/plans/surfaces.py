@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import depth as D
 from ..operators import mesh as M
+from ..operators import rays
 from ..operators import sdf as S
 from . import query
 from . import views as V
@@ -175,7 +176,7 @@ def j12(s, d):
 def j15(s, d):
     r = V.vertices(s, d).select("mesh_id").distinct().withColumn("ray_id", F.explode(F.sequence(F.lit(0), F.lit(7))))
     r = r.selectExpr("mesh_id", "cast(ray_id as long) ray_id", "5.3171D + ray_id * 6.1093D ox", "3.2293D + ray_id * 4.0517D oy", "50D oz", "0D dx", "0D dy", "-1D dz")
-    return M.closest_hit(M.ray_hits(r, _corners(s, d), 100.0))
+    return rays.closest_hits(r, _corners(s, d), 100.0)
 
 
 @query("u01_merge_meshes", "with v as (select mesh_id, max(vid) + 1 n from vertices group by 1), m as (select mesh_id, max(fid) + 1 m from faces group by 1) select mesh_id, fid, a, b, c from faces union all select f.mesh_id, fid + m, a + n, b + n, c + n from faces f join v using (mesh_id) join m using (mesh_id)")
