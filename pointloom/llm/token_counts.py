@@ -4,8 +4,8 @@ A sequence of tokens is what merging gives if, and only if, each two neighbours
 themselves. So the last token of each prefix is the one piece ending there that may follow the last token of what is
 before it, and the prefix has one token more: every prefix gets its exact count from shorter ones, in one pass.
 
-No merge reaches over a space that follows another character, or over a character that stands in no longer piece. Texts
-are cut at such places into units, counts of units are remembered, and a text's counts are its units' counts, added up.
+No merge reaches over a space that follows another character, over a character that stands in no longer piece, or from a
+letter to a sign that no piece has after a letter. Texts are cut at such places into units, counts of units are remembered, and a text's counts are its units' counts, added up.
 
 Counts are kept as rows of up to ``WIDTH`` prefixes, so a row stays small however long its text is. Questions about
 truncation and budgets are answered from them with Spark functions, without the model.
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +26,17 @@ from .common import column
 
 SPACE = "▁"
 #: Prefixes in one row; units and pairs that a worker remembers, after which it starts over.
-WIDTH, REMEMBERED, PAIRS = 1 << 16, 200_000, 1 << 20
+WIDTH, REMEMBERED, PAIRS = 1 << 16, 400_000, 1 << 20
 #: Longer units aren't remembered.
 LONG_UNIT = 64
+LETTER = r"[^\W\d_]"
 
 
 class Counter:
     """The pieces of a model, and counts at every prefix of the units met so far."""
 
     def __init__(self, model: bytes):
+        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -44,15 +46,24 @@ class Counter:
         if any(sp.is_unused(i) for i in kinds):
             raise ValueError("models with unused pieces aren't supported")
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in kinds}
-        self.widest = max(map(len, self.score))
+        self.names = list(self.score)
+        self.found = ahocorasick.Automaton()
+        for n, piece in enumerate(self.names):
+            self.found.add_word(piece, (len(piece), n))
+        self.found.make_automaton()
         inner = {c for p in self.score if len(p) > 1 for c in p}
         bars = re.escape("".join(c for c in map(chr, range(128)) if c not in inner))
+        # signs that no piece has after a letter
+        signs = [c for c in map(chr, range(33, 127)) if c in inner and not c.isalnum() and not any(re.search(f"{LETTER}{re.escape(c)}", p) for p in self.score)]
         if any(SPACE in p.lstrip(SPACE) for p in self.score):  # pieces over several words: cut at bars alone
             self.cut = re.compile(f"[{bars}]?[^{bars}]+|[{bars}]")
         else:
-            self.cut = re.compile(f"(?:{SPACE}+|[{bars}])[^{SPACE}{bars}]*|[^{SPACE}{bars}]+")
-        self.units: dict[str, np.ndarray] = {}
-        self.pairs: dict[tuple[str | None, str], bool] = {}
+            signs = re.escape("".join(signs)) or bars
+            rest = f"[^{SPACE}{bars}{signs}]*(?:(?<!{LETTER})[{signs}][^{SPACE}{bars}{signs}]*)*"
+            self.cut = re.compile(f"(?:{SPACE}+|[{bars}]|(?<={LETTER})[{signs}]){rest}|[^{SPACE}{bars}{signs}]{rest}")
+        self.units = Units(self.unit)
+        self.after: dict[int, dict[int, bool]] = {}
+        self.asked = 0
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text: the two neighbours with the best joint score are merged, the leftmost of equals, until none is left."""
@@ -67,57 +78,78 @@ class Counter:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def follows(self, before: str | None, piece: str) -> bool:
-        """Whether a piece may follow another (or begin a unit)."""
-        key = before, piece
-        got = self.pairs.get(key)
+    def followers(self, piece: int) -> dict[int, bool]:
+        """Which pieces may follow a piece (or begin a unit, for -1), as far as it has been asked; the piece itself is under -2."""
+        got = self.after.get(piece)
         if got is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            got = self.pairs[key] = self.merged(piece) == [piece] if before is None else self.merged(before + piece) == [before, piece]
+            got = self.after[piece] = {-2: piece}
+        return got
+
+    def follows(self, before: dict[int, bool], piece: int) -> bool:
+        """Finds out whether a piece may follow. Numbers beyond the pieces' are characters that are no piece."""
+        text = [self.names[n] if n < len(self.names) else chr(n - len(self.names)) for n in (before[-2], piece) if n >= 0]
+        got = before[piece] = self.merged("".join(text)) == text
+        self.asked += 1
         return got
 
     def unit(self, text: str) -> np.ndarray:
         """Token counts of all prefixes of a unit but the empty one."""
-        last: list[str | None] = [None]
-        count = [0]
-        score, widest, pairs = self.score, self.widest, self.pairs
-        for end in range(1, len(text) + 1):
-            for at in range(max(0, end - widest), end):
-                piece = text[at:end]
-                known = piece in score
-                if known or end - at == 1:
-                    before = last[at]
-                    ok = pairs.get((before, piece))
-                    if self.follows(before, piece) if ok is None else ok:
-                        last.append(piece)
-                        count.append(count[at] + (1 if known else len(piece.encode("utf-8", "surrogatepass"))))  # a token for each byte of an unknown character
-                        break
+        if self.asked > PAIRS:
+            self.after, self.asked = {}, 0
+        size = len(text)
+        last, count = [self.followers(-1)] * (size + 1), [0] * (size + 1)  # followers of the last token of each prefix
+        followers, follows, others = self.followers, self.follows, len(self.names)
+        done = 0
+        for at, (length, piece) in self.found.iter(text):  # all pieces, by where they end
+            if done > at:
+                continue  # this end has its last token
+            while done < at:  # no piece may end there: a token for each byte of the character
+                count[done + 1] = count[done] + len(text[done].encode("utf-8", "surrogatepass"))
+                last[done + 1] = followers(others + ord(text[done]))
+                done += 1
+            start = at + 1 - length
+            before = last[start]
+            ok = before.get(piece)
+            if follows(before, piece) if ok is None else ok:
+                done = at + 1
+                last[done] = followers(piece)
+                count[done] = count[start] + 1
+        while done < size:
+            count[done + 1] = count[done] + len(text[done].encode("utf-8", "surrogatepass"))
+            last[done + 1] = followers(others + ord(text[done]))
+            done += 1
         return np.array(count[1:], np.int32)
 
     def counts(self, text: str) -> np.ndarray:
         """Token counts of the first 1, 2, ... characters of a text."""
         if not text:
             return np.zeros(0, np.int32)
-        found = []
-        known, make = self.units, self.unit
-        for u in self.cut.findall(SPACE + text.replace(" ", SPACE)):
-            got = known.get(u)
-            if got is None:
-                got = make(u)
-                if len(u) <= LONG_UNIT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[u] = got
-            found.append(got)
+        found = list(map(self.units.__getitem__, self.cut.findall(SPACE + text.replace(" ", SPACE))))
         out = np.concatenate(found)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.cumsum(sizes)
-        before = np.cumsum(out[ends - 1])
+        sizes = np.array(list(map(len, found)))
+        before = np.cumsum(out[np.cumsum(sizes) - 1])
         out[sizes[0] :] += np.repeat(before[:-1], sizes[1:]).astype(np.int32)
         return out[1:]  # the mark before the text is no character of it
 
 
+class Units(dict):
+    """Counts of the units met so far; of those not met lately, the older half is forgotten."""
+
+    def __init__(self, make: Callable[[str], np.ndarray]):
+        self.make, self.older = make, {}
+
+    def __missing__(self, unit: str) -> np.ndarray:
+        got = self.older.get(unit)
+        if got is None:
+            got = self.make(unit)
+        if len(unit) <= LONG_UNIT:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[unit] = got
+        return got
+
+
 _counters: dict[bytes, Counter] = {}
 
 
