@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import uniform
 from . import grasps as G
+from . import learn as L
 from . import mesh as M
 from . import random_views as R
 from . import sdf as S
@@ -167,19 +168,16 @@ def piece_inertia(pieces: DataFrame, whole: DataFrame, density: float) -> DataFr
 
 
 def choose(state: DataFrame, policy: str, seed: int) -> DataFrame:
-    """The next arm of (arm, alpha, beta, mean): by chance, the largest mean, or the largest draw from each Beta."""
+    """The next arm of (arm, alpha, beta, mean): by chance, the largest mean, or the largest draw from each Beta.
+
+    A draw is the quantile of a number that depends on seed and arm alone.
+    """
     if policy == "uniform":
         return state.withColumn("draw", uniform(seed, F.col("arm"))).orderBy(F.desc("draw"), "arm").limit(1).select("arm")
     if policy == "greedy":
         return state.orderBy(F.desc("mean"), "arm").limit(1).select("arm")
-    import numpy as np
-    import pandas as pd
-
-    def draw(parts):
-        for p in parts:
-            yield pd.DataFrame({"arm": p["arm"], "draw": [np.random.default_rng([seed, int(a)]).beta(x, y) for a, x, y in zip(p["arm"], p["alpha"], p["beta"], strict=True)]})
-
-    return state.select("arm", "alpha", "beta").mapInPandas(draw, "arm long, draw double").orderBy(F.desc("draw"), "arm").limit(1).select("arm")
+    drawn = L.with_quantile(state, uniform(seed, F.col("arm")), "draw")
+    return drawn.orderBy(F.desc("draw"), "arm").limit(1).select("arm")
 
 
 def generate(method: str, **config) -> DataFrame:

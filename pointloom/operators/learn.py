@@ -140,6 +140,20 @@ def best_arm_lcb(state: DataFrame, z: float) -> DataFrame:
     return state.withColumn("lcb", F.col("mean") - z * F.sqrt("variance")).orderBy(F.desc("lcb"), "arm").limit(1)
 
 
+def with_quantile(state: DataFrame, p: Column, name: str) -> DataFrame:
+    """Adds the exact Beta quantile of each arm (alpha, beta) at p."""
+    from ..functions import once
+    from ..functions.beta import beta_quantile, log_beta
+
+    s = once(state, p.alias("_p"), log_beta(F.col("alpha"), F.col("beta")).alias("_lb"))
+    return s.withColumn(name, beta_quantile(F.col("_p"), F.col("alpha"), F.col("beta"), F.col("_lb"))).drop("_p", "_lb")
+
+
+def best_arm_quantile(state: DataFrame, p: float) -> DataFrame:
+    """The arm with the largest lower confidence bound, the exact Beta quantile at p; the least arm of equals."""
+    return with_quantile(state, F.lit(float(p)), "lcb").orderBy(F.desc("lcb"), "arm").limit(1)
+
+
 def ucb_arm(state: DataFrame, b: float) -> DataFrame:
     return state.withColumn("ucb", F.col("mean") + b * F.sqrt("variance")).orderBy(F.desc("ucb"), "arm").limit(1)
 

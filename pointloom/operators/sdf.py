@@ -72,12 +72,11 @@ def grids(sizes: DataFrame) -> DataFrame:
 
 
 def grid_gradient(sdf: DataFrame) -> DataFrame:
-    """Central differences inside and one-sided ones at the edges, by equi-joins with the neighbours."""
+    """Central differences inside and one-sided ones at the edges (and beside missing cells); a window along each axis."""
     out = sdf
     for c in "ijk":
-        rest = [x for x in ("mesh_id", "i", "j", "k") if x != c]
-        side = lambda step, name, c=c, rest=rest: sdf.select(*rest, (F.col(c) - step).alias(c), F.col("val").alias(name))
-        out = out.join(side(1, "_n"), ["mesh_id", "i", "j", "k"], "left").join(side(-1, "_p"), ["mesh_id", "i", "j", "k"], "left")
-        both = F.when(F.col("_n").isNull() | F.col("_p").isNull(), 1).otherwise(2)
-        out = out.withColumn(f"g{c}", (F.coalesce("_n", "val") - F.coalesce("_p", "val")) / both).drop("_n", "_p")
+        w = Window.partitionBy("mesh_id", *[x for x in "ijk" if x != c]).orderBy(c)
+        after, before = (F.when(f(c).over(w) == F.col(c) + step, f("val").over(w)) for f, step in ((F.lead, 1), (F.lag, -1)))
+        both = F.when(after.isNull() | before.isNull(), 1).otherwise(2)
+        out = out.withColumn(f"g{c}", (F.coalesce(after, "val") - F.coalesce(before, "val")) / both)
     return out

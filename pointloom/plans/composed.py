@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.beta import beta_quantile_sql
 from ..operators import compose as C
 from ..operators import learn as L
 from ..operators import mesh as M
@@ -37,7 +38,7 @@ def p41(s, d):
     return f.select("id", F.size("features").cast("long").alias("n"), F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query("g10_resample_sdf", "select q.mesh_id, q.i, q.j, q.k, s.val from (select mesh_id, i, j, k, cast(least(greatest(floor(-(j-5.5)+5.5+1+0.5), 0), 11) as int) a, cast(least(greatest(floor((i-5.5)+5.5+0.5), 0), 11) as int) b, cast(least(greatest(floor((k-5.5)+5.5-2+0.5), 0), 11) as int) c from sdf) q join sdf s on s.mesh_id = q.mesh_id and s.i = a and s.j = b and s.k = c", "val")
+@query("g10_resample_sdf", "with s as materialized (select ((cast(mesh_id as bigint)*12+i)*12+j)*12+k cell, mesh_id, i, j, k, val from sdf), q as materialized (select mesh_id, i, j, k, ((cast(mesh_id as bigint)*12+cast(least(greatest(floor(-(j-5.5)+5.5+1+0.5), 0), 11) as bigint))*12+cast(least(greatest(floor((i-5.5)+5.5+0.5), 0), 11) as bigint))*12+cast(least(greatest(floor((k-5.5)+5.5-2+0.5), 0), 11) as bigint) cell from s) select q.mesh_id, q.i, q.j, q.k, s.val from q join s using (cell)", "val")
 def g10(s, d):
     return C.resample_sdf(V.sdf(s, d), _ROT, [1.0, 0.0, -2.0], 12)
 
@@ -67,7 +68,7 @@ def t08(s, d):
     return C.choose(b, "uniform", 4).union(C.choose(b, "greedy", 4))
 
 
-@query("t08_thompson")
+@query("t08_thompson", f"with recursive {beta_quantile_sql('select arm, ' + U.format("'4:' || arm") + ' p, 1+sum(v) a, 1+count(*)-sum(v) b from rewards group by arm', 'arm')} select arm from quantiles order by q desc, arm limit 1")
 def t08b(s, d):
     return C.choose(L.beta_posterior(V.rewards(s, d)), "thompson", 4)
 

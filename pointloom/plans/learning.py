@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.beta import beta_quantile_sql
+from ..functions.eigen import SWEEPS_6, jacobi_sql
 from ..operators import learn as L
 from ..operators import quality as Q
-from ..functions.eigen import SWEEPS_6, jacobi_sql
 from . import query
 from . import views as V
 from .clouds import U
@@ -195,6 +196,11 @@ def a44(s, d):
     return L.best_arm_lcb(L.beta_posterior(V.rewards(s, d)), 1.645).select("arm", "lcb")
 
 
+@query("a44_best_arm_quantile", f"with recursive {beta_quantile_sql('select arm, 0.05::double p, 1+sum(v) a, 1+count(*)-sum(v) b from rewards group by arm', 'arm')} select arm, q lcb from quantiles order by q desc, arm limit 1", "lcb")
+def a44b(s, d):
+    return L.best_arm_quantile(L.beta_posterior(V.rewards(s, d)), 0.05).select("arm", "lcb")
+
+
 @query("t07_ucb_arm", f"select arm, mean+2*sqrt(variance) ucb from ({_BETA}) order by ucb desc, arm limit 1", "ucb")
 def t07(s, d):
     return L.ucb_arm(L.beta_posterior(V.rewards(s, d)), 2.0).select("arm", "ucb")

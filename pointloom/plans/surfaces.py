@@ -207,11 +207,6 @@ def p31(s, d):
     return S.surface_points(V.sdf(s, d)).select("mesh_id", "i", "j", "k")
 
 
-@query("w08_grid_gradient", "select s.mesh_id, s.i, s.j, s.k, " + ", ".join(f"(coalesce(s{c}n.val, s.val) - coalesce(s{c}p.val, s.val)) / (case when s{c}n.val is null or s{c}p.val is null then 1 else 2 end) g{c}" for c in "ijk") + " from sdf s " + " ".join(f"left join sdf s{c}{t} on s{c}{t}.mesh_id = s.mesh_id and " + " and ".join(f"s{c}{t}.{e} = s.{e}" + (f"{o}1" if e == c else "") for e in "ijk") for c in "ijk" for t, o in (("n", "+"), ("p", "-"))), "gi gj gk")
-def w08(s, d):
-    return S.grid_gradient(V.sdf(s, d)).select("mesh_id", "i", "j", "k", "gi", "gj", "gk")
-
-
 @query("j11_sdf_lookup", "with q as (select distinct mesh_id, q query_id, 1.3 + q*0.7 x, 2.1 + q*0.55 y, 3.7 + q*0.4 z from sdf, range(10) t(q)) select q.mesh_id, query_id, sum(val*(1-abs(x-i))*(1-abs(y-j))*(1-abs(z-k))) val from q join sdf s on s.mesh_id = q.mesh_id and i between floor(x) and floor(x)+1 and j between floor(y) and floor(y)+1 and k between floor(z) and floor(z)+1 group by 1, 2", "val")
 def j11(s, d):
     q = V.sdf(s, d).select("mesh_id").distinct().withColumn("query_id", F.explode(F.sequence(F.lit(0), F.lit(9))))
@@ -246,6 +241,11 @@ _GRAD = ", ".join(f"(coalesce(lead(val) over w{c}, val) - coalesce(lag(val) over
 _WINDOWS = "window " + ", ".join(f"w{c} as (partition by mesh_id, {', '.join(x for x in 'ijk' if x != c)} order by {c})" for c in "ijk")
 
 
+@query("w08_grid_gradient", f"select mesh_id, i, j, k, {_GRAD} from sdf {_WINDOWS}", "gi gj gk")
+def w08(s, d):
+    return S.grid_gradient(V.sdf(s, d)).select("mesh_id", "i", "j", "k", "gi", "gj", "gk")
+
+
 @query("w08_grid_curvature", f"with g as materialized (select mesh_id, i, j, k, {_GRAD} from sdf {_WINDOWS}), c as (select mesh_id, i, j, k, " + ", ".join(f"(lead(g{b}) over w{a} - lag(g{b}) over w{a})/4 c{a}{b}" for a in "ijk" for b in "ijk") + f" from g {_WINDOWS}), h as (select mesh_id, i, j, k, 2*cii hxx, 2*cjj hyy, 2*ckk hzz, cij+cji hxy, cik+cki hxz, cjk+ckj hyz from c where cii is not null and cjj is not null and ckk is not null) select *, hxx*(hyy*hzz-hyz*hyz) - hxy*(hxy*hzz-hyz*hxz) + hxz*(hxy*hyz-hyy*hxz) det from h", "hxx hyy hzz hxy hxz hyz det")
 def w08b(s, d):
     return S.grid_curvature(V.sdf(s, d))
