@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import add, cross, dot, named, norm, once, scale, sub, uniform, vec
+from .rounds import small
 
 
 def face_corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def compact_vertices(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame,
 
 def support(vertices: DataFrame, directions: DataFrame) -> DataFrame:
     """For each mesh and direction (dir_id, dx, dy, dz; a small table): the farthest vertex, the first of equals."""
-    pairs = vertices.crossJoin(F.broadcast(directions)).withColumn("_h", F.round(dot(vec(), vec("d")), 9))
+    pairs = vertices.crossJoin(small(directions)).withColumn("_h", F.round(dot(vec(), vec("d")), 9))
     best = pairs.groupBy("mesh_id", "dir_id").agg(F.max(F.struct("_h", (-F.col("vid")).alias("n"))).alias("m"))
     return best.select("mesh_id", "dir_id", (-F.col("m.n")).alias("vid"), F.col("m._h").alias("h"))
 

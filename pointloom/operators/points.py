@@ -145,6 +145,8 @@ def knn(points: DataFrame, queries: DataFrame, k: int, radius: float) -> DataFra
     """
     from .rounds import save
 
+    if radius <= 0:
+        raise ValueError("the first radius must be positive")
     finite = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < 1e300" for c in XYZ)
     points = points.where(finite)
     size = points.groupBy("cloud_id").agg(F.count("*").alias("_size"))

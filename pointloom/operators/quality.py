@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import add, cross, dot, named, norm, once, scale, sub, unit, vec
 from ..functions.eigen import eigenvalues
+from .rounds import small
 
 
 def contact_frame(contacts: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def epsilon_directions(w: DataFrame, directions: DataFrame) -> DataFrame:
     """Upper bound of the epsilon quality: least over the directions (dir_id, u0..u5; a small table) of the farthest
     wrench along them, at least 0."""
     reach = sum((F.col(a) * F.col(f"u{i}") for i, a in enumerate(W6) if i), F.col("fx") * F.col("u0"))
-    far = w.crossJoin(F.broadcast(directions)).groupBy("grasp_id", "dir_id").agg(F.max(reach).alias("h"))
+    far = w.crossJoin(small(directions)).groupBy("grasp_id", "dir_id").agg(F.max(reach).alias("h"))
     return far.groupBy("grasp_id").agg(F.greatest(F.min("h"), F.lit(0.0)).alias("epsilon"))
 
 

@@ -19,6 +19,14 @@ def save(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table to broadcast, once it is known to have at most ``most`` rows."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"a table of more than {most} rows can't be paired with all rows")
+    return F.broadcast(df)
+
+
 def _stars(batches):
     """Of one task's edges (group, a, b): each node with the least node of its component among these edges."""
     import numpy as np

@@ -16,10 +16,16 @@ class Catalog:
         return f"{self.root}/{entity}/dataset={self.dataset}"
 
     def exists(self, entity: str) -> bool:
+        """Whether the table is there. One that a broken-off replacement left aside is put back first."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(entity))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            return True
+        aside = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_{entity}-{self.dataset}-old")
+        return fs.exists(aside) and fs.rename(aside, path)
 
     def read(self, entity: str) -> DataFrame:
+        self.exists(entity)
         return self.spark.read.parquet(self._path(entity))
 
     def store(self, entity: str, new: DataFrame, force_overwrite: bool = False) -> None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,12 +64,21 @@ def read_off(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
 
 
 def read_sdf(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
-    """(grid, header) of SDF text files: dimensions, origin, resolution, then values with i fastest, then j, then k."""
-    t = spark.read.text(paths, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("mesh_id"), F.split(F.trim("value"), r"\s+").alias("w"))
-    head = t.select("mesh_id", *[F.col("w")[i].cast("int").alias(n) for i, n in enumerate(("nx", "ny", "nz"))], *[F.col("w")[3 + i].cast("double").alias(n) for i, n in enumerate(("ox", "oy", "oz", "res"))])
-    vals = t.select("mesh_id", *[F.col("w")[i].cast("int").alias(n) for i, n in enumerate(("nx", "ny", "nz"))], F.posexplode(F.slice("w", F.lit(8), F.size("w"))).alias("p", "v"))
-    g = vals.select("mesh_id", (F.col("p") % F.col("nx")).alias("i"), (F.floor(F.col("p") / F.col("nx")) % F.col("ny")).cast("int").alias("j"), F.floor(F.col("p") / (F.col("nx") * F.col("ny"))).cast("int").alias("k"), F.col("v").cast("double").alias("val"))
-    return g, head
+    """(grid, header) of SDF text files: dimensions, origin, resolution, then values with i fastest, then j, then k.
+
+    Files are read in splits; a value's place is the running number of values before it in its file.
+    """
+    from ..operators.rounds import running_within
+
+    t = spark.read.text(paths).select("_metadata.file_path", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"), F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "").alias("w"))
+    t = running_within(t.where(F.size("w") > 0), ["file_path"], [F.col("at"), F.col("line")], {"upto": F.size("w").cast("long")})
+    t = t.select(F.col("file_path"), F.regexp_extract("file_path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("mesh_id"), (F.col("upto") - F.size("w")).alias("before"), F.posexplode("w").alias("p", "v"))
+    t = t.select("file_path", "mesh_id", (F.col("before") + F.col("p") - 7).alias("p"), F.col("v").cast("double").alias("val"))
+    names = {-7: "nx", -6: "ny", -5: "nz", -4: "ox", -3: "oy", -2: "oz", -1: "res"}
+    head = t.where("p < 0").groupBy("file_path", "mesh_id").agg(*[F.max(F.when(F.col("p") == k, F.col("val"))).cast("int" if n[0] == "n" else "double").alias(n) for k, n in names.items()])
+    vals = t.where("p >= 0").join(head.select("file_path", "nx", "ny"), "file_path")
+    g = vals.select("mesh_id", (F.col("p") % F.col("nx")).cast("int").alias("i"), (F.floor(F.col("p") / F.col("nx")) % F.col("ny")).cast("int").alias("j"), F.floor(F.col("p") / (F.col("nx") * F.col("ny"))).cast("int").alias("k"), "val")
+    return g, head.drop("file_path")
 
 
 def read_sdf2d(spark: SparkSession, path: str) -> DataFrame:
@@ -130,20 +137,34 @@ def write_ply(points: DataFrame, path: str, colour: bool = False) -> None:
     _cloud(points, path, lambda n: [F.lit("ply"), F.lit("format ascii 1.0"), F.concat(F.lit("element vertex "), n), *props, F.lit("end_header")], colour)
 
 
-def read_npy(spark: SparkSession, glob: str, columns: list[str]) -> DataFrame:
-    """(path, row, columns...) of two-dimensional NPY arrays; object arrays are refused. One file is one task's."""
-    import numpy as np
-    import pandas as pd
+def write_ply_mesh(vertices: DataFrame, faces: DataFrame, path: str) -> None:
+    """ASCII PLY of each mesh, with its triangles; vertices are written in order of vid, which faces count from 0."""
+    n = vertices.groupBy("mesh_id").agg(F.count("*").cast("string").alias("n"))
+    m = faces.groupBy("mesh_id").agg(F.count("*").cast("string").alias("m"))
+    n = n.join(m, "mesh_id", "left").withColumn("m", F.coalesce("m", F.lit("0")))
+    head = [F.lit("ply"), F.lit("format ascii 1.0"), F.concat(F.lit("element vertex "), "n"), *[F.lit(f"property float {c}") for c in "xyz"], F.concat(F.lit("element face "), "m"), F.lit("property list uchar int vertex_indices"), F.lit("end_header")]
+    top = n.select("mesh_id", F.lit(0).alias("part"), F.posexplode(F.array(*head)).alias("n", "line")).select("mesh_id", "part", F.col("n").cast("long").alias("n"), "line")
+    rows = vertices.select("mesh_id", F.lit(1), F.col("vid"), F.format_string("%f %f %f", "x", "y", "z")).union(faces.select("mesh_id", F.lit(2), F.col("fid"), F.format_string("3 %d %d %d", "a", "b", "c")))
+    _write_lines(top.union(rows), path)
+
+
+def read_ply(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of ASCII PLY files: x, y, z from the first three properties; a face that isn't a triangle is an error."""
+    lines = _numbered(_lines(spark, paths).where("line <> ''"), "n").withColumn("w", F.split("line", r"\s+"))
+    count = lambda name: F.max(F.when((F.get("w", F.lit(0)) == "element") & (F.get("w", F.lit(1)) == name), F.get("w", F.lit(2)).cast("long")))
+    head = lines.groupBy("path").agg(F.coalesce(count("vertex"), F.lit(0)).alias("nv"), F.coalesce(count("face"), F.lit(0)).alias("nf"), F.min(F.when(F.col("line") == "end_header", F.col("n"))).alias("top"))
+    rows = lines.join(head, "path").withColumn("at", F.col("n") - F.col("top") - 1).where("at >= 0")
+    v = rows.where("at < nv").select("mesh_id", F.col("at").cast("long").alias("vid"), *_xyz(F.col("w"), 0))
+    tri = F.when(F.get("w", F.lit(0)) == "3", F.get("w", F.lit(1)).cast("long")).otherwise(F.raise_error(F.lit("not a triangle")).cast("long"))
+    f = rows.where("at >= nv and at < nv + nf").select("mesh_id", (F.col("at") - F.col("nv")).cast("long").alias("fid"), tri.alias("a"), F.get("w", F.lit(2)).cast("long").alias("b"), F.get("w", F.lit(3)).cast("long").alias("c"))
+    return v, f
+
 
-    def load(parts):
-        for p in parts:
-            for path, content in zip(p["path"], p["content"], strict=True):
-                a = np.load(io.BytesIO(content), allow_pickle=False)
-                if a.ndim != 2 or a.shape[1] < len(columns):
-                    raise ValueError(f"{path}: not a matrix of {len(columns)} columns")
-                yield pd.DataFrame({"path": path, "row": np.arange(len(a)), **{c: a[:, i].astype("float64") for i, c in enumerate(columns)}})
+def read_npy(spark: SparkSession, glob: str, columns: list[str]) -> DataFrame:
+    """(path, row, columns...) of NPY arrays, by ranges of rows; see ``arrays.read_arrays``, which reads NPZ as well."""
+    from .arrays import read_arrays
 
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(load, ", ".join(["path string", "row long", *[f"`{c}` double" for c in columns]]))
+    return read_arrays(spark, glob, columns).drop("member")
 
 
 def list_views(spark: SparkSession, path: str, pattern: str = r"([^/]+)/(NP\d)_(\d+)[^/]*$", suffix: str = "*") -> DataFrame:
@@ -152,14 +173,46 @@ def list_views(spark: SparkSession, path: str, pattern: str = r"([^/]+)/(NP\d)_(
     return f.select("path", *[F.regexp_extract("path", pattern, i).alias(n) for i, n in enumerate(("object", "camera", "angle"), 1)]).where("object <> ''")
 
 
-def read_frames(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Frames (frame_id, ts, source, points) with ``is_dense``: no coordinate is missing, NaN or infinite."""
-    schema = "frame_id long, ts timestamp, source long, points array<struct<x:double,y:double,z:double>>"
-    t = (spark.readStream if stream else spark.read).schema(schema).parquet(path)
+def read_frames(spark: SparkSession, path: str, stream: bool = False, organised: bool = False) -> DataFrame:
+    """Frames (frame_id, ts, source, and if organised height and width, points) with ``is_dense``: no coordinate is missing, NaN or infinite."""
+    schema = "frame_id long, ts timestamp, source long, " + "height int, width int, " * organised + "points array<struct<x:double,y:double,z:double>>"
+    reader = (spark.readStream if stream else spark.read).schema(schema).option("recursiveFileLookup", True)  # whatever folders a sink made
+    t = reader.parquet(path)
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return t.withColumn("is_dense", F.forall("points", lambda p: fine(p["x"]) & fine(p["y"]) & fine(p["z"])))
 
 
+def organised(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """Frames with ``height``, ``width`` and all their places, row by row, from pixels (frame_id, ts, source, v, u, x, y, z); holes are null.
+
+    Pixels out of bounds are left out; of several at a place, the least stays. Places are joined by frame and number, so a
+    frame's array is put together from its own places alone.
+    """
+    frame = ["frame_id", "ts", "source"]
+    p = pixels.where(f"v >= 0 and u >= 0 and v < {height} and u < {width}").groupBy(*frame, (F.col("v") * width + F.col("u")).cast("long").alias("at")).agg(F.min(F.struct("x", "y", "z")).alias("p"))
+    places = pixels.select(*frame).distinct().withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height * width - 1).cast("long"))))
+    same = [places[c].eqNullSafe(p[c]) for c in (*frame, "at")]
+    whole = places.join(p, same, "left").select(*[places[c] for c in (*frame, "at")], p["p"])
+    whole = whole.groupBy(*frame).agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("c"))
+    return whole.select(*frame, F.lit(height).alias("height"), F.lit(width).alias("width"), F.transform("c", lambda x: x["p"]).alias("points"))
+
+
+def pixels_of(frames: DataFrame) -> DataFrame:
+    """The pixels (v, u, x, y, z) of organised frames; holes have none."""
+    p = frames.select("frame_id", "ts", "source", "width", F.posexplode("points").alias("at", "p")).where("p is not null")
+    return p.select("frame_id", "ts", "source", F.floor(F.col("at") / F.col("width")).cast("int").alias("v"), (F.col("at") % F.col("width")).cast("int").alias("u"), "p.*")
+
+
+def write_frames_batch(frames: DataFrame, path: str, run: str, batch_id: int) -> None:
+    """Write a micro-batch into a folder of its own; a batch that comes again takes the place of what it wrote before."""
+    frames.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
+
+
+def write_frames(frames: DataFrame, path: str, checkpoint: str, run: str = "0"):
+    """A stream writer of frames, organised or not. ``run`` names the stream: one with a new checkpoint needs a new name."""
+    return frames.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: write_frames_batch(batch, path, run, n))
+
+
 def split_pieces(lines: DataFrame) -> DataFrame:
     """Lines (mesh_id, k, line) of an OBJ of several ``o`` pieces: each with its piece, and vertex numbers of the piece.
 
