@@ -119,16 +119,46 @@ def _cells(df: DataFrame, side: float, spread: int = 0) -> DataFrame:
     return df
 
 
-def neighbors(points: DataFrame, queries: DataFrame, radius: float, max_nn: int | None, exclude_self: bool = False) -> DataFrame:
+#: Points that a cell may hold before it is split, and times that it is split at most.
+CROWD, DEEPEST = 512, 40
+
+
+def neighbors(points: DataFrame, queries: DataFrame, radius: float, max_nn: int | None, exclude_self: bool = False, crowd: int = CROWD) -> DataFrame:
     """At most max_nn (None: all) nearest points within the radius of each query, nearest first; ties go by point_id.
 
-    Points stay in their cell (as wide as the radius); each query visits 27 cells.
+    Points stay in their cell (as wide as the radius); each query visits 27 cells. Where one of them holds more than
+    ``crowd`` points and only the nearest are wanted, cells are split first; see ``crowded_cells``.
     """
-    cells = [f"_c{c}" for c in XYZ]
-    q = _cells(queries.select("cloud_id", F.col("point_id").alias("query_id"), *XYZ), radius, 1)
-    q = q.select("cloud_id", "query_id", *[F.col(c).alias(f"q{c}") for c in XYZ], *cells)
+    p, q = _cells(points.select("cloud_id", "point_id", *XYZ), radius), queries.select("cloud_id", F.col("point_id").alias("query_id"), *[F.col(c).alias(f"q{c}") for c in XYZ])
+    around = _around(q, radius)
+    if max_nn is not None:
+        full = p.groupBy("cloud_id", *CELL).count().where(F.col("count") > crowd).select("cloud_id", *CELL)
+        if full.head(1):
+            from .rounds import save
+
+            full = save(full)
+            hot = around.join(full, ["cloud_id", *CELL], "left_semi").select("cloud_id", "query_id").distinct()
+            hot = save(hot)
+            apart = around.join(hot, ["cloud_id", "query_id"], "left_anti").join(p, ["cloud_id", *CELL])
+            close = crowded_cells(p, q.join(hot, ["cloud_id", "query_id"], "left_semi"), radius, max_nn + exclude_self, crowd)
+            return _nearest(apart.select(*close.columns).union(close), radius, max_nn, exclude_self)
+    return _nearest(around.join(p, ["cloud_id", *CELL]), radius, max_nn, exclude_self)
+
+
+CELL = [f"_c{c}" for c in XYZ]
+
+
+def _around(queries: DataFrame, side: float) -> DataFrame:
+    """A row for each of the 27 cells around a query."""
+    for c in XYZ:
+        cell = F.floor(F.col(f"q{c}") / side).cast("long")
+        queries = queries.withColumn(f"_c{c}", F.explode(F.sequence(cell - 1, cell + 1)))
+    return queries
+
+
+def _nearest(pairs: DataFrame, radius: float, max_nn: int | None, exclude_self: bool) -> DataFrame:
     d2 = sum(((F.col(c) - F.col(f"q{c}")) ** 2 for c in XYZ[1:]), (F.col("x") - F.col("qx")) ** 2)
-    pairs = q.join(_cells(points.select("cloud_id", "point_id", *XYZ), radius), ["cloud_id", *cells]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+    pairs = pairs.withColumn("d2", d2).where(F.col("d2") <= radius * radius)
     if exclude_self:
         pairs = pairs.where("point_id <> query_id")
     if max_nn is None:
@@ -137,6 +167,58 @@ def neighbors(points: DataFrame, queries: DataFrame, radius: float, max_nn: int
     return pairs.select("cloud_id", "query_id", "point_id", "d2", rank.alias("rank")).where(F.col("rank") <= max_nn)
 
 
+def crowded_cells(points: DataFrame, queries: DataFrame, radius: float, k: int, crowd: int) -> DataFrame:
+    """Pairs of queries with the points that may be among their k nearest, where cells hold many points.
+
+    Cells of more than ``crowd`` points are halved along each axis, again and again. A query starts with the cells around
+    it and keeps, level by level, those that come closer than the k-th nearest point can be: the distance within which
+    whole boxes of the cells it has hold k points. So it meets the points of a few cells of at most ``crowd`` points, how
+    ever many lie in one spot. Of points all at one place, the k with the least ids stand for all.
+    """
+    from .rounds import save
+
+    box = [f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in XYZ]
+    key = ["cloud_id", "_level", *CELL]
+    level, side = 0, radius
+    here = points.select("cloud_id", "point_id", *XYZ, F.lit(0).alias("_level"), *CELL)
+    size = lambda c: F.col(f"hi{c}") - F.col(f"lo{c}")
+    open_ = (F.col("n") > crowd) & (F.greatest(*[size(c) for c in XYZ]) > 0)
+    settled, held = [], None
+    left = _around(queries, radius)
+    far2 = [F.greatest(F.abs(F.col(f"q{c}") - F.col(f"lo{c}")), F.abs(F.col(f"q{c}") - F.col(f"hi{c}"))) for c in XYZ]
+    near2 = [F.greatest(F.col(f"lo{c}") - F.col(f"q{c}"), F.col(f"q{c}") - F.col(f"hi{c}"), F.lit(0.0)) for c in XYZ]
+    square = lambda parts: parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2]
+    query = ["cloud_id", "query_id", *[f"q{c}" for c in XYZ]]
+    while True:
+        cells = save(here.groupBy(*key).agg(F.count("*").alias("n"), *box).withColumn("_open", open_ & F.lit(level < DEEPEST)))
+        rows = left.withColumn("_level", F.lit(level)).join(cells, key).select(*query, "_level", *CELL, "n", "_open", square(far2).alias("_far"), square(near2).alias("_near"))
+        rows = rows if held is None else held.unionByName(rows)
+        upto = Window.partitionBy("cloud_id", "query_id").orderBy("_far", "_level", *CELL).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_sum", F.sum("n").over(upto))
+        bound = F.min(F.when(F.col("_sum") >= k, F.col("_far"))).over(Window.partitionBy("cloud_id", "query_id"))
+        rows = rows.withColumn("_bound", F.least(F.coalesce(bound, F.lit(radius * radius)), F.lit(radius * radius)))
+        rows = save(rows.where(F.col("_near") <= F.col("_bound") * (1 + 1e-9)).drop("_sum", "_bound"))
+        shut = cells.where("not _open").select(*key, (F.greatest(*[size(c) for c in XYZ]) == 0).alias("_spot"))
+        settled.append(here.join(shut, key))
+        held = rows.where("not _open")
+        if not rows.where("_open").head(1):
+            break
+        parents = rows.where("_open").select(*query, *CELL)
+        here = save(here.join(cells.where("_open").select(*key), key, "left_semi"))
+        level, side = level + 1, side / 2
+        for c in XYZ:
+            here = here.withColumn(f"_c{c}", F.floor(F.col(c) / side).cast("long"))
+            # rounding may put a point into the next cell but one half: both halves of its parent are asked, and no others
+            parents = parents.withColumn(f"_c{c}", F.explode(F.array(F.col(f"_c{c}") * 2, F.col(f"_c{c}") * 2 + 1)))
+        here, left = here.withColumn("_level", F.lit(level)), parents
+    members = reduce(DataFrame.unionByName, settled)
+    least = Window.partitionBy(*key).orderBy("point_id")
+    spots = members.where("_spot").withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k).drop("_n")
+    members = members.where("not _spot").unionByName(spots)
+    pairs = held.select(*query, "_level", *CELL).join(members, key)
+    return pairs.select(*query, "point_id", *XYZ)
+
+
 def knn(points: DataFrame, queries: DataFrame, k: int, radius: float) -> DataFrame:
     """The k nearest points of each query: neighbours within a radius that doubles for queries that have too few.
 
