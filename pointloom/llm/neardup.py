@@ -33,11 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .align import distance_within
-from .common import U64, Tables, byte_table, column, fresh, map_arrow, mix, utf8, word_hashes
+from .common import U64, Tables, byte_table, column, fresh, map_arrow, mix, spans, utf8, word_hashes
 
-SHINGLE, SKETCHES, SIMILARITY = 5, 96, 0.8
+SHINGLE, SKETCHES, SIMILARITY = 5, 128, 0.8
 #: Texts of fewer words have keys that no two edits can all break.
 SHORT = 15
+#: Texts of 12 to so many words have keys of two rare words.
+FEW = 75
 #: Bins that words are counted in, to tell texts apart that can't be alike before they are aligned.
 BINS = 64
 #: Buckets of at most ``WHOLE`` members are joined with themselves; larger ones are cut into blocks of about so many members and words.
@@ -75,14 +77,7 @@ def sketch(words: np.ndarray, k: int = SHINGLE, sketches: int = SKETCHES) -> np.
     h = np.zeros(n, U64)
     for i in range(k):
         h = mix(h + words[i : i + n])
-    # occurrence numbers: place among equal shingles
-    order = np.argsort(h, kind="stable")
-    run = h[order]
-    new = np.concatenate(([True], run[1:] != run[:-1]))
-    first = np.flatnonzero(new)
-    number = np.empty(n, U64)
-    number[order] = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-    h = mix(h ^ (number * U64(0x9E3779B97F4A7C15)))
+    h = labelled(h)
     a, b = two_least(h, sketches)
     return mix(h[np.minimum(a, b)] * U64(3) + h[np.maximum(a, b)] + _SEEDS[:sketches])
 
@@ -96,16 +91,44 @@ def shortened(words: np.ndarray) -> np.ndarray:
     return mix(np.array(sorted(out), np.int64).view(U64) ^ U64(0x5851F42D4C957F2D))
 
 
-def keys_of(words: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
-    """All keys of a text with at least one word, those of the sketches first and in their order."""
-    found = sketch(words, SHINGLE, sketches)
-    return np.concatenate((found, shortened(words))) if len(words) < SHORT else found
+def labelled(h: np.ndarray) -> np.ndarray:
+    """Hashes told apart by their occurrence number."""
+    order = np.argsort(h, kind="stable")
+    run = h[order]
+    first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    number = np.empty(len(h), U64)
+    number[order] = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    return mix(h ^ (number * U64(0x9E3779B97F4A7C15)))
+
+
+def rare_pairs(words: np.ndarray, sizes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Keys of two words each: all pairs of the rarest, a fifth of them (what the edits may touch) and two more."""
+    tokens = labelled(words)
+    take = np.lexsort((tokens, -sizes))[: int((1 - similarity) * len(words) + 1e-9) + 2]
+    i, j = np.triu_indices(len(take), 1)
+    return mix(tokens[take[i]] * U64(3) + tokens[take[j]] + U64(0x2545F4914F6CDD1D))
+
+
+def keys_of(words: np.ndarray, sketches: int = SKETCHES, sizes: np.ndarray | None = None) -> np.ndarray:
+    """All keys of a text with at least one word, those of the sketches first and in their order; sizes: lengths of the words."""
+    found = [sketch(words, SHINGLE, sketches)]
+    if len(words) < SHORT:
+        found.append(shortened(words))
+    if 12 <= len(words) <= FEW:
+        found.append(rare_pairs(words, np.zeros(len(words), np.int64) if sizes is None else sizes))
+    return np.concatenate(found)
 
 
 def words_of(text: str | None, table: np.ndarray) -> np.ndarray:
     return word_hashes(utf8(text.lower()), table) if text else np.zeros(0, U64)
 
 
+def word_sizes(text: str, table: np.ndarray) -> np.ndarray:
+    """Bytes of each word of a text."""
+    start, end = spans(table[utf8(text.lower())])
+    return end - start
+
+
 def sequence_hash(words: np.ndarray) -> int | None:
     """One number for a whole word sequence; None without words."""
     if not len(words):
@@ -135,7 +158,7 @@ def _sketches(docs: DataFrame, sketches: int) -> DataFrame:
                 ns.append(len(w))
                 us.append(sequence_hash(w))
                 bags.append(np.minimum(np.bincount((w >> U64(58)).astype(np.int64), minlength=BINS), 32767).astype(np.int16))
-                keys.append(keys_of(w, sketches).view(np.int64) if len(w) else None)
+                keys.append(keys_of(w, sketches, word_sizes(text, table) if 12 <= len(w) <= FEW else None).view(np.int64) if len(w) else None)
                 words.append((w >> U64(32)).astype(np.uint32).view(np.int32))
             return [us, ns, bags, keys, words]
 
@@ -310,7 +333,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, sketches: int, similar
     rows = docs.select(column(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(column(text_col)).alias("hash"), column(text_col).alias("text"))
     found = tables.keep(_sketches(rows, sketches), "sketches")
     texts = tables.keep(found.where("u is not null").groupBy("u").agg(F.first("n").alias("n"), F.first("bag").alias("bag"), F.first("keys").alias("keys")), "texts")
-    keys = texts.select("u", "n", F.explode("keys").alias("key"))
+    keys = texts.select("u", F.explode("keys").alias("key"))
     named = keys.groupBy("key").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high")
     members = tables.keep(keys.join(named, "key"), "members")
     sides = texts.select("u", "n", "bag")
@@ -326,8 +349,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, sketches: int, similar
     tried = tables.keep(pairs, "pairs")
     links = tables.keep(verified(tried, words, similarity), "links")
     labels = components(links, tables=tables)
-    label = labels.select(F.col("node").alias("u"), "label")
-    new = all_pairs(members.select("key", "u", "n").join(label, "u", "left").select("key", "u", "n", F.coalesce("label", "u").alias("label")), sides, words, tried, similarity, tables)
+    label = texts.select("u", "n").join(labels.select(F.col("node").alias("u"), "label"), "u", "left").select("u", "n", F.coalesce("label", "u").alias("label"))
+    new = all_pairs(members.select("key", "u").join(label, "u"), sides, words, tried, similarity, tables)
     if new.head(1):
         labels = relabelled(labels, new, tables)
     own = rows.join(labels, rows["u"] == labels["node"], "left")
