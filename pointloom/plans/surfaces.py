@@ -10,6 +10,7 @@ from ..operators import rays
 from ..operators import sdf as S
 from . import query
 from . import views as V
+from .clouds import U
 
 _H = "[0.8,-0.6,0.0,0.1,0.6,0.8,0.0,-0.2,0.0,0.0,1.0,0.3]"
 _BACK = "select frame_id, v, u, 0.8*x-0.6*y+0.1 x, 0.6*x+0.8*y-0.2 y, z+0.3 z from (select frame_id, v, u, (u-32.0::double)*z/70.0::double x, (v-25.0::double)*z/70.0::double y, z from (select *, d*10.0::double*1e-4::double z from depth where d > 0))"
@@ -197,7 +198,10 @@ def g09(s, d):
     return M.mesh_volume(M.face_corners(v, f)).select("mesh_id", "volume").join(M.is_watertight(f), "mesh_id")
 
 
-@query("w12_sample_surface")
+@query("w12_sample_surface", f"""with a as (select *, sqrt(nx*nx+ny*ny+nz*nz)/2 area from (select *, {_NORMAL} from corners)), h as (select *, area/sum(area) over (partition by mesh_id) share from a),
+ c as materialized (select *, lag(top, 1, 0) over (partition by mesh_id order by fid) low from (select *, sum(share) over (partition by mesh_id order by fid) top from h)),
+ d as (select mesh_id, cast(slot as int) slot, {U.format("'4:' || mesh_id || ':' || slot")} u, sqrt({U.format("'4:' || mesh_id || ':' || slot || ':r'")}) r, {U.format("'4:' || mesh_id || ':' || slot || ':t'")} t from (select distinct mesh_id from corners), range(50) s(slot))
+ select d.mesh_id, slot, fid, {", ".join(f"(1-r)*{c}1+r*(1-t)*{c}2+r*t*{c}3 {c}" for c in "xyz")} from d join c on c.mesh_id = d.mesh_id and u >= low and u < top""", "x y z")
 def w12(s, d):
     return M.sample_surface(_corners(s, d), 50, 4)
 
