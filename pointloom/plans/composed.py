@@ -84,15 +84,26 @@ def x03(s, d):
     return C.generate("uniform", surface=V.points(s, d), n=30, seed=8, least=0.05, most=0.3).groupBy("cloud_id").agg(F.count("*").alias("n"))
 
 
-@query("a20_face_basis", "select mesh_id, fid, 1.0::double lx, 1.0::double ly, 0.0::double across, 1.0::double hand from corners", "lx ly across hand")
+def _basis() -> str:
+    """SQL of the rotation of each face's pose, by the closed form of the axis of a 2 x 2 covariance."""
+    form = lambda p, q: "+".join(f"{p}{a}*s{min(a, b)}{max(a, b)}*{q}{b}" for a in "xyz" for b in "xyz")
+    cross = lambda p, q, out: ", ".join(f"{p}{a}*{q}{b}-{p}{b}*{q}{a} {out}{c}" for a, b, c in ("yzx", "zxy", "xyz"))
+    cov = ", ".join(f"covar_pop({a}, {b}) s{a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz"))
+    return f"""with mid as (select mesh_id, avg(x) mx, avg(y) my, avg(z) mz, {cov} from vertices group by 1),
+n as (select *, sqrt(nx*nx+ny*ny+nz*nz) nl from (select c.*, (y2-y1)*(z3-z1)-(z2-z1)*(y3-y1) nx, (z2-z1)*(x3-x1)-(x2-x1)*(z3-z1) ny, (x2-x1)*(y3-y1)-(y2-y1)*(x3-x1) nz from corners c) where nx <> 0 or ny <> 0 or nz <> 0),
+z as (select n.mesh_id, fid, mid.* exclude (mesh_id), {", ".join(f"n{c}/nl*(case when nx*(mx-x1)+ny*(my-y1)+nz*(mz-z1) < 0 then -1 else 1 end) r2{c}" for c in "xyz")} from n join mid on mid.mesh_id = n.mesh_id),
+e as (select *, case when abs(r2x) > 0.9 then r2y else r2x end d, case when abs(r2x) > 0.9 then 0 else 1 end ex, case when abs(r2x) > 0.9 then 1 else 0 end ey from z),
+u as (select * exclude (ux, uy, uz), ux/l ux, uy/l uy, uz/l uz from (select *, sqrt(ux*ux+uy*uy+uz*uz) l from (select *, ex-d*r2x ux, ey-d*r2y uy, -d*r2z uz from e))),
+v as (select *, {cross("r2", "u", "v")} from u),
+t as (select *, atan2(2*b, a-c)/2 t from (select *, {form("u", "u")} a, {form("u", "v")} b, {form("v", "v")} c from v)),
+x as (select *, {", ".join(f"cos(t)*u{c}+sin(t)*v{c} r0{c}" for c in "xyz")} from t)
+select mesh_id, fid, {", ".join(f"r0{c}" for c in "xyz")}, {cross("r2", "r0", "r1")}, {", ".join(f"r2{c}" for c in "xyz")} from x"""
+
+
+@query("a20_face_basis", _basis(), " ".join(f"r{k}{c}" for k in range(3) for c in "xyz"))
 def a20(s, d):
-    """What every basis must be: unit axes at right angles, right-handed."""
     v = V.vertices(s, d)
-    c = M.face_corners(v, V.faces(s, d))
-    b = C.face_basis(c, v)
-    dots = lambda p, q: sum((F.col(f"{p}{a}") * F.col(f"{q}{a}") for a in "yz"), F.col(f"{p}x") * F.col(f"{q}x"))
-    third = F.expr("r0x*(r1y*r2z-r1z*r2y)+r0y*(r1z*r2x-r1x*r2z)+r0z*(r1x*r2y-r1y*r2x)")
-    return b.select("mesh_id", "fid", F.sqrt(dots("r0", "r0")).alias("lx"), F.sqrt(dots("r1", "r1")).alias("ly"), F.abs(F.round(dots("r0", "r2"), 9)).alias("across"), third.alias("hand"))
+    return C.face_basis(M.face_corners(v, V.faces(s, d)), v)
 
 
 @query("g06_perturb_objects", "select mesh_id, copy_, greatest(1+0.1*(sqrt(-2*ln(1-" + U.format("'7:' || mesh_id || ':' || copy_ || ':s:u'") + "))*cos(2*pi()*" + U.format("'7:' || mesh_id || ':' || copy_ || ':s:v'") + ")), 0.01) scale from (select distinct mesh_id from vertices), range(10) t(copy_)", "scale")

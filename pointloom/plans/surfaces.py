@@ -133,7 +133,12 @@ def a17(s, d):
 _SPLIT = "select * from faces where fid // 2 % 64 not in (9, 30, 31)"
 
 
-@query("a18_components", "select mesh_id, fid, min(fid) over (partition by mesh_id, case when col < 9 then 0 when col < 30 then 1 else 2 end) label from (select mesh_id, fid, fid // 2 % 64 col from faces) where col not in (9, 30, 31)")
+@query("a18_components", """with recursive f as materialized (select mesh_id, fid, a, b, c from faces where fid // 2 % 64 not in (9, 30, 31)),
+ s as materialized (select mesh_id, fid, least(p, q) p, greatest(p, q) q from (select mesh_id, fid, unnest([a, b, c]) p, unnest([b, c, a]) q from f)),
+ e as materialized (select distinct s.mesh_id, s.fid x, t.fid y from s join s t using (mesh_id, p, q) where s.fid <> t.fid),
+ l(mesh_id, fid, label) using key (mesh_id, fid) as (select mesh_id, fid, fid from f union
+  select e.mesh_id, e.y, min(l.label) from l join e on e.mesh_id = l.mesh_id and e.x = l.fid join recurring.l k on k.mesh_id = e.mesh_id and k.fid = e.y where l.label < k.label group by 1, 2)
+ select mesh_id, fid, label from l""")
 def a18(s, d):
     """The height field with two strips cut out, which leaves three pieces."""
     return M.components(V.faces(s, d).where("floor(fid / 2) % 64 not in (9, 30, 31)"))
