@@ -333,9 +333,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, sketches: int, similar
     rows = docs.select(column(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(column(text_col)).alias("hash"), column(text_col).alias("text"))
     found = tables.keep(_sketches(rows, sketches), "sketches")
     texts = tables.keep(found.where("u is not null").groupBy("u").agg(F.first("n").alias("n"), F.first("bag").alias("bag"), F.first("keys").alias("keys")), "texts")
-    keys = texts.select("u", F.explode("keys").alias("key"))
-    named = keys.groupBy("key").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high")
-    members = tables.keep(keys.join(named, "key"), "members")
+    keys = texts.select("u", F.explode(F.array_distinct("keys")).alias("key"))
+    shared = tables.keep(keys.groupBy("key").count().where("count > 1").select("key"), "shared")
+    members = tables.keep(narrowed(keys, shared, "key"), "members")
     sides = texts.select("u", "n", "bag")
     needed = tables.keep(members.select("u").distinct(), "needed")
     words = narrowed(found.select("u", "words", F.slice("keys", 1, sketches).alias("keys")), needed, "u").dropDuplicates(["u"])
@@ -343,7 +343,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, sketches: int, similar
     rows = tables.keep(found.select("id", "row", "hash", "n", "u"), "rows")
     tables.drop("sketches")
     # each text with the least and with the greatest of those named by its buckets that it may be like
-    named = members.select(F.col("u").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
+    named = members.join(members.groupBy("key").agg(F.min("u").alias("low"), F.max("u").alias("high")), "key")
+    named = named.select(F.col("u").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
     pairs = near(named, sides, similarity).groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y"))
     pairs = pairs.select("a", F.explode(F.array("x", "y")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tried = tables.keep(pairs, "pairs")
@@ -361,5 +362,5 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, sketches: int, similar
         F.coalesce("size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("top.row") == F.col("row"), F.lit(True)).alias("is_kept"),
     )
     out = Tables().keep(out, "classes")
-    tables.drop("texts", "rows", "needed", "members", "words", "pairs", "links", "components", "open", "labels")
+    tables.drop("texts", "rows", "needed", "shared", "members", "words", "pairs", "links", "components", "open", "labels")
     return out
