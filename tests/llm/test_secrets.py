@@ -84,6 +84,48 @@ def test_layers_within_layers():
         assert any(k == 1 and 4 <= s < e <= 4 + len(hidden) for s, k, e in got), hidden
 
 
+def test_layers_that_begin_anywhere():
+    import zlib
+    from urllib.parse import quote_from_bytes
+
+    plain = f"my token={KEY}".encode()
+    b64 = lambda b: base64.b64encode(b).decode()
+    for hidden in (
+        b64(b"\x00\x01head\x02\x03" + zlib.compress(plain)), "data=" + quote_from_bytes(zlib.compress(plain)), "path/" + b64(plain), "some/long-path/to_it/" + b64(plain),
+        "a/" + b64(gzip.compress(plain)), "".join(f"\\u{{{c:x}}}" for c in plain), "".join(f"\\{c:03o}" for c in plain), "".join(f"%2525{c:02x}" for c in plain),
+        "".join(f"&#38;#38;#{c};" for c in plain), "".join(f"\\u005cu005cu{c:04x}" for c in plain),
+    ):
+        got = secrets.findings(f"see {hidden} there")[1]
+        assert any(k == 1 and 4 <= s < e <= 4 + len(hidden) for s, k, e in got), hidden
+
+
+def test_escapes_of_escapes_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    base, found, layers = secrets.findings("x %" + "25" * 8000 + "41KIA" + KEY[4:] + " y")
+    assert time.time() - began < 1 and layers < 10 and any(k == 1 for _, k, _ in found)
+
+
+def test_small_windows_find_what_one_window_finds(monkeypatch):
+    """Random nestings around a secret, with windows that cut them everywhere and with one for all."""
+    import bz2
+    import random
+    import zlib
+
+    monkeypatch.setattr(secrets, "LONGEST", 64)  # runs of 256 kB
+    rnd = random.Random(5)
+    noise = lambda n: "".join(rnd.choice("abcdefgh ijkl.\n") for _ in range(n)).encode()
+    wraps = [lambda b: base64.b64encode(b), lambda b: gzip.compress(b), lambda b: bz2.compress(b), lambda b: zlib.compress(b), lambda b: b.hex().encode(), lambda b: noise(rnd.randint(0, 9000)) + b"\n" + b + b"\n" + noise(rnd.randint(0, 9000))]
+    for _ in range(60):
+        data = noise(rnd.randint(0, 3000)) + b" password = hunter2222 " + noise(rnd.randint(0, 3000))
+        for _ in range(rnd.randint(1, 4)):
+            data = rnd.choice(wraps)(data)
+        text = "see " + base64.b64encode(gzip.compress(noise(rnd.randint(0, 5000)) + b"\n" + data + b"\n" + noise(rnd.randint(0, 5000)))).decode()
+        one, many = (secrets.findings(text, w, o)[1] for w, o in ((1 << 23, 1 << 16), (4096, 512)))
+        assert {k for _, k, _ in one} == {k for _, k, _ in many} >= {0}, text[:60]
+
+
 def test_percent_escape_in_a_value():
     text = "say password = %68unter2222 now"
     assert spans(text) == "assign:4:27"
