@@ -230,18 +230,28 @@ def middle_of_group(df: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return df.withColumn("_k", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w)).where("_k = ceil(_n / 2)").drop("_k", "_n")
 
 
-def sweep_grasps(points: DataFrame, grasps: DataFrame, angles: int = 19, shifts: int = 5, step: float = 0.05, gripper: dict = GRIPPER, least: int = 1) -> DataFrame:
-    """Turn and shift each grasp, keep those whose hand is free and holds points, and of each angle the middle shift."""
+def sweep_grasps(points: DataFrame, grasps: DataFrame, angles: int = 19, shifts: int = 5, step: float = 0.05, gripper: dict = GRIPPER, least: int = 1, steep: float | None = None) -> DataFrame:
+    """Turn and shift each grasp, keep those whose hand is free and holds at least ``least`` points, and of each angle the middle shift.
+
+    steep: of the middle ones, keep those whose approach points down by more than this (0.5: 30 degrees below the table's plane).
+    """
     g = grasps.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(angles - 1)))).withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(shifts - 1))))
     g = g.withColumn("sample", F.col("grasp_id")).withColumn("grasp_id", (F.col("sample") * angles + F.col("turn")) * shifts + F.col("shift"))
     g = g.withColumn("angle", F.col("angle") + F.radians(-90.0 + F.col("turn") * (180.0 / max(1, angles - 1))))
     for c in "xyz":
         g = g.withColumn(f"c{c}", F.col(f"c{c}") + F.col(f"a{c}") * (F.col("shift") - (shifts - 1) / 2) * step)
+    names = g.columns
+    g = grasp_frame(g)  # the hand stands back by a bite along its approach
+    g = g.select(*[(F.col(n) - gripper["init_bite"] * F.col(f"ap{n[1]}")).alias(n) if n in ("cx", "cy", "cz") else F.col(n) for n in names])
     free = collisions(points, g, gripper).where("usable").select("grasp_id")
     if least > 1:
-        enough = crop(points, g, "online", gripper).groupBy("grasp_id").count().where(F.col("count") >= least).select("grasp_id")
+        enough = region_counts(points, g, gripper).where((F.col("region") == "open") & (F.col("n") >= least)).select("grasp_id")
         free = free.join(enough, "grasp_id", "left_semi")
-    return middle_of_group(g.join(free, "grasp_id", "left_semi").select("sample", "turn", "shift", "grasp_id"), ["sample", "turn"], ["shift"])
+    middle = middle_of_group(g.join(free, "grasp_id", "left_semi"), ["sample", "turn"], ["shift"])
+    if steep is not None:
+        down = grasp_frame(middle.select("grasp_id", *[f"{k}{c}" for k in "ca" for c in "xyz"], "angle", "width")).where(F.col("apz") < -steep).select("grasp_id")
+        middle = middle.join(down, "grasp_id", "left_semi")
+    return middle.select("sample", "turn", "shift", "grasp_id")
 
 
 def prune_near(grasps: DataFrame, threshold: float, alpha: float = 0.05) -> DataFrame:

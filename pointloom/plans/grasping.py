@@ -149,6 +149,24 @@ def a48(s, d):
     return g.join(G.box_counts(g, G.crop(V.points(s, d), g)), "grasp_id").groupBy("cloud_id", "level").agg(F.count("*").alias("sampled"), F.count_if("enough").alias("kept"))
 
 
-@query("g04_sweep_grasps")
+def _sweep(angles: int, shifts: int, step: float, least: int, steep: float) -> str:
+    """SQL of a sweep: the poses' views over turned and shifted grasps, then the hand's regions counted."""
+    names = (("gframe", "grasps", "turned"), ("gframe2", "gframe", "tframe"), ("gaxes", "gframe2", "tframe2"), ("gpose", "gaxes", "taxes"))
+    views = ", ".join(f"t{v[1:]} as ({V.SQL[v].replace(f'from {source})', f'from {new})').replace(f'from {source}', f'from {new}')})" for v, source, new in names)
+    wide = "bx > 0 and bx < 0.125 and bz < 0.01125"
+    return f"""with turned as (select (grasp_id*{angles}+turn)*{shifts}+shift grasp_id, grasp_id sample, cast(turn as int) turn, cast(shift as int) shift, cloud_id, {", ".join(f"c{c}+a{c}*(shift-{(shifts - 1) / 2})*{step} c{c}, a{c}" for c in "xyz")}, width, angle+radians(-90.0+turn*{180.0 / (angles - 1)}) angle from grasps, range({angles}) t(turn), range({shifts}) u(shift)), {views},
+ back as (select * replace ({", ".join(f"c{c}-0.01*ap{c} as c{c}" for c in "xyz")}) from tpose),
+ f as (select grasp_id, count_if({wide} and abs(b_y) < 0.0835) n, bool_or({wide} and b_y > 0.0835 and b_y < 0.109) l, bool_or({wide} and b_y < -0.0835 and b_y > -0.109) r, bool_or(bx > -0.0225 and bx < 0 and abs(b_y) < 0.109 and bz < 0.01125) b from ({_HAND.replace("from gpose", "from back")}) group by 1),
+ m as (select sample, turn, shift, grasp_id, apz, row_number() over (partition by sample, turn order by shift) k, count(*) over (partition by sample, turn) c from tpose join f using (grasp_id) where n >= {least} and not l and not r and not b)
+ select sample, turn, shift, grasp_id from m where k = ceil(c / 2) and apz < {-steep}"""
+
+
+@query("g04_sweep_grasps", _sweep(5, 5, 0.08, 1, -2.0))
 def g04(s, d):
     return G.sweep_grasps(V.points(s, d), V.grasps(s, d), 5, 5, 0.08)
+
+
+@query("g04_sweep_steep", _sweep(7, 5, 0.05, 11, 0.5))
+def g04b(s, d):
+    """Hands that hold eleven points or more, and come down on the table."""
+    return G.sweep_grasps(V.points(s, d), V.grasps(s, d), 7, 5, 0.05, least=11, steep=0.5)
