@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashIndex, column, map_arrow, mix
+from .common import HashIndex, column, map_arrow, mix, worker_tool
 
 CHUNK, OVERLAP, LONG = 1 << 16, 1 << 10, 1 << 20
 #: Characters before a chunk's end in which its boundaries are not trusted; a match looks at most this far ahead.
@@ -170,16 +170,11 @@ class Encoder:
 
 NONE = 1 << 30
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_encoders: dict[tuple, Encoder] = {}
 
 
 def encoder(ranks: bytes, pattern: str) -> Encoder:
     """The encoder of a worker process; made once."""
-    key = hashlib.sha256(ranks).digest(), pattern
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(load_ranks(ranks), pattern)
-    return _encoders[key]
+    return worker_tool("bpe", (hashlib.sha256(ranks).digest(), pattern), lambda: Encoder(load_ranks(ranks), pattern))
 
 
 def cut(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str]]:
@@ -243,7 +238,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, out: str = "ids", id_col
 
         return run
 
-    short = map_arrow(texts.where(F.length("t") <= long), ["id"], ["t"], make, fields)
+    short = map_arrow(texts.where(F.length("t") <= long), ["id"], ["t"], make, fields, "bpe")
 
     # long texts: a row for each chunk, dealt out to pre-tokenise, then brought together by document
     step = chunk - overlap
@@ -255,7 +250,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, out: str = "ids", id_col
         tool = encoder(held.value, pattern)
         return lambda columns: [[[len(p) for p in tool.units(t)] for t in columns[0]]]
 
-    parts = map_arrow(rows, ["id", "h", "n", "at", "t"], ["t"], make_ends, [("lens", pa.list_(pa.int32()), "array<int>")])
+    parts = map_arrow(rows, ["id", "h", "n", "at", "t"], ["t"], make_ends, [("lens", pa.list_(pa.int32()), "array<int>")], "bpe")
     parts = parts.repartition("id", "h", "n").sortWithinPartitions("id", "h", "n", "at")
 
     def gather(batches):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,12 +35,35 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def map_arrow(df: DataFrame, keep: list[str], columns: list[str], make: Callable[[], Callable[[list[list]], list[list]]], new: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+_tools: dict[str, tuple] = {}
+
+
+def worker_tool(kind: str, key, make: Callable):
+    """What a worker process makes once and keeps from task to task: one tool at a time, made anew for another key."""
+    if kind not in _tools or _tools[kind][0] != key:
+        _tools.clear()
+        _tools[kind] = key, make()
+    return _tools[kind][1]
+
+
+def release(kind: str | None = None) -> None:
+    """Drop the tool of another kind, which an earlier stage left in this worker."""
+    others = [k for k in _tools if k != kind]
+    for k in others:
+        del _tools[k]
+    if others:
+        gc.collect()
+
+
+def map_arrow(
+    df: DataFrame, keep: list[str], columns: list[str], make: Callable[[], Callable[[list[list]], list[list]]], new: list[tuple[str, pa.DataType, str]], tool: str | None = None
+) -> DataFrame:
     """A narrow map: ``make()`` runs once per task and returns a function from a batch's column lists to result lists.
 
     The columns ``keep`` go through as they are, of whatever type; ``new`` names what is added (name, Arrow type, Spark
     type). Only ``keep`` and ``columns`` are read, so other columns (also ones with clashing names) never reach Python.
-    Names may repeat between ``keep`` and ``columns``, and within the result if the caller wants them to.
+    Names may repeat between ``keep`` and ``columns``, and within the result if the caller wants them to. ``tool``: the
+    kind of ``worker_tool`` that ``make`` uses; workers let others go.
     """
     kinds = dict(df.dtypes)
     width = len(keep)
@@ -48,6 +72,7 @@ def map_arrow(df: DataFrame, keep: list[str], columns: list[str], make: Callable
     types = [t for _, t, _ in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(tool)
         f = make()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # bounds what Python objects take

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow
+from .common import column, map_arrow, release
 
 KINDS = ("assign", "access", "hex")
 #: Bytes of an unpacked stream that are scanned at once, by how many windows overlap, and how many windows a run may fill.
@@ -357,6 +357,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     @F.pandas_udf("string")
     def clean(texts):
+        release()
+
         def one(text):
             if text is None:
                 return None

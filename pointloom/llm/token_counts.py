@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, worker_tool
 
 SPACE = "▁"
 #: Prefixes in one row; units and pairs that a worker remembers, after which it starts over.
@@ -150,16 +150,9 @@ class Units(dict):
         return got
 
 
-_counters: dict[bytes, Counter] = {}
-
-
 def counter(model: bytes) -> Counter:
     """The counter of a worker process; made once."""
-    key = hashlib.sha256(model).digest()
-    if key not in _counters:
-        _counters.clear()
-        _counters[key] = Counter(model)
-    return _counters[key]
+    return worker_tool("pieces", hashlib.sha256(model).digest(), lambda: Counter(model))
 
 
 def prefix_counts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
