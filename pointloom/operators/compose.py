@@ -238,5 +238,5 @@ def candidates(grasps: DataFrame, poses: DataFrame, min_p: float, max_deg: float
     """Grasps with their object's stable poses (cloud_id, pose_id, p) of p above the minimum whose approach is within the
     angle of the pose's normal (here the table's z), flagged free if their hand meets no point; colliding ones stay."""
     near = G.table_angles(grasps).where(F.least("approach_angle", F.pi() - F.col("approach_angle")) <= F.radians(F.lit(max_deg))).select("grasp_id")
-    free = G.collisions(points, grasps).select("grasp_id", F.expr("not left and not right and not bottom").alias("free"))
+    free = G.free_hands(points, grasps).select("grasp_id", "free")
     return grasps.join(near, "grasp_id", "left_semi").join(poses.where(F.col("p") > min_p), "cloud_id").join(free, "grasp_id").select("grasp_id", "pose_id", "p", "free")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import add, cross, dot, named, norm, once, scale, sub, unit, vec
+from .boxes import count_inside
 
 #: Lengths of a gripper, as in a parameter row.
 GRIPPER = {"hand_depth": 0.125, "hand_outer_diameter": 0.218, "finger_width": 0.0255, "hand_height": 0.0225, "init_bite": 0.01}
@@ -86,47 +87,62 @@ def crop(points: DataFrame, grasps: DataFrame, mode: str = "train", gripper: dic
     return cand.where((F.col("bx") > 0) & (F.col("bx") < deep) & (F.abs("by_") < w / 2) & (F.abs("bz") < w / 4))
 
 
+def crop_counts(points: DataFrame, grasps: DataFrame, mode: str = "train", gripper: dict = GRIPPER) -> DataFrame:
+    """(grasp_id, n): how many points ``crop`` gives to each grasp that gets any, without a row for each of them."""
+    w = F.col("width") if mode == "train" else F.lit(gripper["hand_outer_diameter"] - 2 * gripper["finger_width"])
+    box = (((-w / 4, w / 4) if mode == "train" else (0.0, gripper["hand_depth"])), (-w / 2, w / 2), (-w / 4, w / 4))
+    return count_inside(points, grasp_frame(grasps), {"n": box}).where("n > 0")
+
+
+def enough_inside(points: DataFrame, grasps: DataFrame, least: int = 50) -> DataFrame:
+    """Whether each grasp's box holds at least ``least`` points; counting a box ends there."""
+    w = F.col("width")
+    box = {"n": ((-w / 4, w / 4), (-w / 2, w / 2), (-w / 4, w / 4))}
+    n = count_inside(points, grasp_frame(grasps), box, lambda counts: counts[0] >= least).where(F.col("n") >= least)
+    return grasps.select("grasp_id").join(n, "grasp_id", "left").select("grasp_id", F.col("n").isNotNull().alias("enough"))
+
+
 def box_counts(grasps: DataFrame, cropped: DataFrame, least: int = 50) -> DataFrame:
-    """Points in each grasp's box, zeros included, and whether there are enough."""
-    n = cropped.groupBy("grasp_id").agg(F.count("*").alias("n"))
+    """Points in each grasp's box, zeros included, and whether there are enough; cropped: a row for each point, or for each grasp with its n."""
+    n = cropped.select("grasp_id", "n") if "n" in cropped.columns else cropped.groupBy("grasp_id").agg(F.count("*").alias("n"))
     return grasps.select("grasp_id").join(n, "grasp_id", "left").select("grasp_id", F.coalesce("n", F.lit(0)).alias("n")).withColumn("enough", F.col("n") >= least)
 
 
 REGIONS = ("open", "left", "right", "bottom")
 
 
-def in_region(region: str, gripper: dict = GRIPPER) -> Column:
-    """Whether a point in a hand's frame (bx, by_, bz) is strictly inside one of the hand's regions."""
+def region_boxes(gripper: dict = GRIPPER) -> dict:
+    """Bounds of a hand's regions along its approach, binormal and minor axis; all strict."""
     deep, out, w = gripper["hand_depth"], gripper["hand_outer_diameter"] / 2, gripper["hand_outer_diameter"] / 2 - gripper["finger_width"]
-    x, y, flat = F.col("bx"), F.col("by_"), F.abs(F.col("bz")) < gripper["hand_height"] / 2
-    along = (x > 0) & (x < deep) & flat
-    if region == "open":
-        return along & (F.abs(y) < w)
-    if region == "left":
-        return along & (y > w) & (y < out)
-    if region == "right":
-        return along & (y < -w) & (y > -out)
-    if region == "bottom":
-        return (x > -gripper["hand_height"]) & (x < 0) & (F.abs(y) < out) & flat
-    raise ValueError(region)
+    along, flat = (0.0, deep), (-gripper["hand_height"] / 2, gripper["hand_height"] / 2)
+    return {"open": (along, (-w, w), flat), "left": (along, (w, out), flat), "right": (along, (-out, -w), flat), "bottom": ((-gripper["hand_height"], 0.0), (-out, out), flat)}
+
+
+def blocked(counts):
+    """Whether a hand's fingers or palm have met a point, of counts by region: nothing else matters to it then."""
+    return (counts[1:] > 0).any(0)
+
+
+def hand_counts(points: DataFrame, grasps: DataFrame, gripper: dict = GRIPPER, done=None) -> DataFrame:
+    """Points in each region of each hand, zeros included; ``done`` as in ``boxes.count_inside``."""
+    n = count_inside(points, grasp_frame(grasps), region_boxes(gripper), done)
+    return grasps.select("grasp_id").join(n, "grasp_id", "left").select("grasp_id", *[F.coalesce(r, F.lit(0)).alias(r) for r in REGIONS])
 
 
 def region_counts(points: DataFrame, grasps: DataFrame, gripper: dict = GRIPPER) -> DataFrame:
     """(grasp_id, region, n): points in each region of each hand that has any."""
-    out, high = gripper["hand_outer_diameter"] / 2, gripper["hand_height"] / 2
-    cand = _boxed(points, grasp_frame(grasps), (F.lit(gripper["hand_depth"] + gripper["hand_height"]), F.lit(out), F.lit(high)), ["grasp_id"])
-    which = F.array_compact(F.array(*[F.when(in_region(r, gripper), F.lit(r)) for r in REGIONS]))
-    return cand.select("grasp_id", F.explode(which).alias("region")).groupBy("grasp_id", "region").agg(F.count("*").alias("n"))
+    return hand_counts(points, grasps, gripper).unpivot("grasp_id", list(REGIONS), "region", "n").where("n > 0")
+
+
+def free_hands(points: DataFrame, grasps: DataFrame, gripper: dict = GRIPPER) -> DataFrame:
+    """grasp_id, whether fingers and palm are clear of points (``free``), and the points between the fingers if so (``n``)."""
+    return hand_counts(points, grasps, gripper, blocked).select("grasp_id", F.expr("left = 0 and right = 0 and bottom = 0").alias("free"), F.col("open").alias("n"))
 
 
 def collisions(points: DataFrame, grasps: DataFrame, gripper: dict = GRIPPER) -> DataFrame:
     """Whether any point is in the open, left, right or bottom region of each grasp's hand, in one pass; all strict."""
-    out, high = gripper["hand_outer_diameter"] / 2, gripper["hand_height"] / 2
-    cand = _boxed(points, grasp_frame(grasps), (F.lit(gripper["hand_depth"] + gripper["hand_height"]), F.lit(out), F.lit(high)), ["grasp_id"])
-    regions = {name: in_region(name, gripper) for name in REGIONS}
-    flags = cand.groupBy("grasp_id").agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(k) for k, c in regions.items()])
-    all_ = grasps.select("grasp_id").join(flags, "grasp_id", "left").select("grasp_id", *[F.coalesce(F.col(k), F.lit(False)).alias(k) for k in regions])
-    return all_.withColumn("usable", F.expr("open and not left and not right and not bottom"))
+    n = hand_counts(points, grasps, gripper, lambda counts: (counts > 0).all(0))
+    return n.select("grasp_id", *[(F.col(r) > 0).alias(r) for r in REGIONS]).withColumn("usable", F.expr("open and not left and not right and not bottom"))
 
 
 def hand_points(grasps: DataFrame, gripper: dict = GRIPPER) -> DataFrame:
@@ -243,10 +259,7 @@ def sweep_grasps(points: DataFrame, grasps: DataFrame, angles: int = 19, shifts:
     names = g.columns
     g = grasp_frame(g)  # the hand stands back by a bite along its approach
     g = g.select(*[(F.col(n) - gripper["init_bite"] * F.col(f"ap{n[1]}")).alias(n) if n in ("cx", "cy", "cz") else F.col(n) for n in names])
-    free = collisions(points, g, gripper).where("usable").select("grasp_id")
-    if least > 1:
-        enough = region_counts(points, g, gripper).where((F.col("region") == "open") & (F.col("n") >= least)).select("grasp_id")
-        free = free.join(enough, "grasp_id", "left_semi")
+    free = free_hands(points, g, gripper).where(F.col("free") & (F.col("n") >= max(1, least))).select("grasp_id")
     middle = middle_of_group(g.join(free, "grasp_id", "left_semi"), ["sample", "turn"], ["shift"])
     if steep is not None:
         down = grasp_frame(middle.select("grasp_id", *[f"{k}{c}" for k in "ca" for c in "xyz"], "angle", "width")).where(F.col("apz") < -steep).select("grasp_id")

@@ -123,11 +123,11 @@ def same_pose(a: str, b: str, within: float = 1e-5):
 def approach_until_collision(points: DataFrame, grasps: DataFrame, step: float, n: int, back: int = 1, gripper: dict | None = None) -> DataFrame:
     """Move each hand forward step by step to the first collision, then ``back`` steps: (grasp_id, steps); null if it
     never collides within n steps."""
-    from .grasps import GRIPPER, collisions, grasp_frame
+    from .grasps import GRIPPER, free_hands, grasp_frame
 
     g = grasp_frame(grasps).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     g = g.select((F.col("grasp_id") * n + F.col("step")).alias("grasp_id"), "cloud_id", *[(F.col(f"c{c}") + F.col(f"ap{c}") * F.col("step") * step).alias(f"c{c}") for c in "xyz"], "ax", "ay", "az", "width", "angle")
-    hit = collisions(points, g, gripper or GRIPPER).select(F.floor(F.col("grasp_id") / n).alias("grasp_id"), (F.col("grasp_id") % n).alias("step"), F.expr("left or right or bottom").alias("hit"))
+    hit = free_hands(points, g, gripper or GRIPPER).select(F.floor(F.col("grasp_id") / n).alias("grasp_id"), (F.col("grasp_id") % n).alias("step"), (~F.col("free")).alias("hit"))
     first = hit.groupBy("grasp_id").agg(F.min(F.when(F.col("hit"), F.col("step"))).alias("first"))
     return first.select("grasp_id", (F.col("first") - back).alias("steps"))
 

@@ -138,10 +138,9 @@ def w09(s, d):
 
 @query("u03_drop_empty", "select grasp_id from grasps where exists (select 1 from boxed b where b.grasp_id = grasps.grasp_id)")
 def u03(s, d):
-    from ..operators.grasps import crop
+    from ..operators.grasps import enough_inside
 
-    g = V.grasps(s, d)
-    return g.select("grasp_id").join(crop(V.points(s, d), g).select("grasp_id"), "grasp_id", "left_semi")
+    return enough_inside(V.points(s, d), V.grasps(s, d), 1).where("enough").select("grasp_id")
 
 
 @query("x01_metadata", "select mesh_id, unnest(['n', 'height']) name_, unnest([count(*)::double, max(z)-min(z)]) as value from vertices group by 1", "value")

@@ -15,7 +15,7 @@ _LABELLED = "select *, case when level + 0.01*refine >= 0.6 then 0 when level +
 def entry_box_share(s, d):
     """Share of grasps with at least 50 points inside the gripper box, by object and label."""
     g = V.grasps(s, d)
-    counts = G.box_counts(g, G.crop(V.points(s, d), g))
+    counts = G.enough_inside(V.points(s, d), g)
     return G.label_2(g).join(counts, "grasp_id").groupBy("cloud_id", "label").agg(F.count("*").alias("n"), F.avg(F.col("enough").cast("double")).alias("share"))
 
 
@@ -64,13 +64,13 @@ def j04(s, d):
 
 @query("j04_crop_online", f"select grasp_id, count(*) n from ({_HAND}) where bx > 0 and bx < 0.125 and abs(b_y) < 0.0835 and bz < 0.04175 group by 1")
 def j04b(s, d):
-    return G.crop(V.points(s, d), V.grasps(s, d), "online").groupBy("grasp_id").agg(F.count("*").alias("n"))
+    return G.crop_counts(V.points(s, d), V.grasps(s, d), "online")
 
 
 @query("a08_box_counts", "select grasp_id, count(point_id) n, count(point_id) >= 50 enough from grasps left join boxed using (grasp_id) group by 1")
 def a08(s, d):
     g = V.grasps(s, d)
-    return G.box_counts(g, G.crop(V.points(s, d), g))
+    return G.box_counts(g, G.crop_counts(V.points(s, d), g))
 
 
 @query("p16_label_2", f"select grasp_id, label from ({_LABELLED}) where label is not null")
@@ -146,7 +146,7 @@ def j13(s, d):
 @query("a48_yield", "select cloud_id, level, count(*) sampled, count(case when enough then 1 end) kept from grasps join (select grasp_id, count(point_id) >= 50 enough from grasps left join boxed using (grasp_id) group by 1) using (grasp_id) group by 1, 2", "level")
 def a48(s, d):
     g = V.grasps(s, d)
-    return g.join(G.box_counts(g, G.crop(V.points(s, d), g)), "grasp_id").groupBy("cloud_id", "level").agg(F.count("*").alias("sampled"), F.count_if("enough").alias("kept"))
+    return g.join(G.enough_inside(V.points(s, d), g), "grasp_id").groupBy("cloud_id", "level").agg(F.count("*").alias("sampled"), F.count_if("enough").alias("kept"))
 
 
 def _sweep(angles: int, shifts: int, step: float, least: int, steep: float) -> str:
