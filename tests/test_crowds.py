@@ -57,3 +57,17 @@ def test_points_at_one_place_and_several_clouds(spark, exclude):
     for cloud, points in (("c", xyz), ("d", xyz[::-1])):
         assert found(got.where(F.col("cloud_id") == cloud)) == {a: w for a, w in brute(points, asked, 0.4, 5, exclude).items() if w}
     assert found(P.knn(both, q, 6, 0.05).where("cloud_id = 'c'")) == brute(xyz, asked, 9.0, 6)
+
+
+def test_all_neighbours_of_a_full_cell_are_shared_among_tasks(spark, monkeypatch):
+    monkeypatch.setattr(P, "SLICE", 50)
+    rng = np.random.default_rng(3)
+    xyz = np.concatenate((rng.uniform(0, 1, (300, 3)), 0.5 + rng.normal(0, 1e-3, (2000, 3))))
+    p, asked = frame(spark, xyz), list(range(0, len(xyz), 50))
+    q = p.where(F.col("point_id").isin(asked))
+    got = {}
+    for r in P.neighbors(p, q, 0.2, None).collect():
+        got.setdefault(r.query_id, set()).add(r.point_id)
+    assert got == {a: set(w) for a, w in brute(xyz, asked, 0.2, None).items()}
+    met = P._meet(P._around(q.select("cloud_id", F.col("point_id").alias("query_id"), *[F.col(c).alias(f"q{c}") for c in "xyz"]), 0.2), P._cells(p, 0.2))
+    assert met.groupBy(*P.CELL, "_slice", "query_id").count().agg(F.max("count")).first()[0] < 100  # of 2,000
