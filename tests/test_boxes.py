@@ -51,3 +51,16 @@ def test_no_row_for_each_pair(spark):
         spark.createDataFrame([(0, "a", 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.4, 0.0)], "grasp_id long, cloud_id string, cx double, cy double, cz double, ax double, ay double, az double, width double, angle double"))
     assert plan.first().n == 1
     assert "CoGroup" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [3, 60])
+def test_samples_are_those_of_all_points(spark, n):
+    from pointloom.operators.points import resample
+
+    rng = np.random.default_rng(7)
+    points = spark.createDataFrame(pd.DataFrame(rng.normal(0, 0.2, (1500, 3)), columns=list("xyz")).assign(cloud_id="a", point_id=range(1500)))
+    a = turned(rng, 12)[:, 0]
+    grasps = spark.createDataFrame(pd.DataFrame(rng.normal(0, 0.2, (12, 3)), columns=["cx", "cy", "cz"]).assign(ax=a[:, 0], ay=a[:, 1], az=a[:, 2], width=np.linspace(0.05, 0.9, 12), angle=0.3, cloud_id="a", grasp_id=range(12)))
+    want = {(r.grasp_id, r.slot, r.point_id) for r in resample(G.crop(points, grasps), n, 4, "grasp_id").collect()}
+    got = {(r.grasp_id, r.slot, r.point_id) for r in G.sample_inside(points, grasps, n, 4).collect()}
+    assert want and got == want
