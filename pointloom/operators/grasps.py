@@ -297,20 +297,34 @@ def sweep_grasps(points: DataFrame, grasps: DataFrame, angles: int = 19, shifts:
     return middle.select("sample", "turn", "shift", "grasp_id")
 
 
-def prune_near(grasps: DataFrame, threshold: float, alpha: float = 0.05) -> DataFrame:
-    """Keep a grasp if it is at least the threshold away from every kept one before it (by grasp_id, within a cloud).
+#: Grasps of the first block of ``prune_near``, how much larger each is than all before it, and pairs that a block may try.
+FIRST, GROW, MOST_TRIED = 4096, 3, 1 << 25
 
-    Rounds over tables: keep those without an undecided or kept neighbour before them, drop the neighbours of kept ones.
-    """
-    from .rounds import save
+
+def _near(one: DataFrame, two: DataFrame, threshold: float, alpha: float) -> DataFrame:
+    """g1 of one and g2 of two that are closer than the threshold; each of one is dealt out to the 27 cells around it."""
     from .points import _cells
 
-    if threshold <= 0:
-        return grasps.select("grasp_id")
-    one = grasps.select("cloud_id", F.col("grasp_id").alias("g1"), *[F.col(f"{k}{c}").alias(f"{k}1{c}") for k in "ca" for c in "xyz"], *[F.col(f"c{c}").alias(c) for c in "xyz"])
-    two = grasps.select("cloud_id", F.col("grasp_id").alias("g2"), *[F.col(f"{k}{c}").alias(f"{k}2{c}") for k in "ca" for c in "xyz"], *[F.col(f"c{c}").alias(c) for c in "xyz"])
-    near = _cells(one, threshold, 1).drop("x", "y", "z").join(_cells(two, threshold).drop("x", "y", "z"), ["cloud_id", "_cx", "_cy", "_cz"]).where("g1 < g2")
-    edges = save(near.where(grasp_distance(near, alpha) < threshold).select("g1", "g2"))
+    side = lambda df, n: df.select("cloud_id", F.col("grasp_id").alias(f"g{n}"), *[F.col(f"{k}{c}").alias(f"{k}{n}{c}") for k in "ca" for c in "xyz"], *[F.col(f"c{c}").alias(c) for c in "xyz"])
+    both = _cells(side(one, 1), threshold, 1).drop("x", "y", "z").join(_cells(side(two, 2), threshold).drop("x", "y", "z"), ["cloud_id", "_cx", "_cy", "_cz"])
+    return both.where(grasp_distance(both, alpha) < threshold).select("g1", "g2")
+
+
+def _tried(grasps: DataFrame, threshold: float) -> int:
+    """Pairs of grasps in the same or in adjoining cells."""
+    from .points import CELL, _cells
+
+    at = grasps.select("cloud_id", *[F.col(f"c{c}").alias(c) for c in "xyz"])
+    n = lambda spread: _cells(at, threshold, spread).groupBy("cloud_id", *CELL)
+    both = n(0).agg(F.count("*").alias("n")).join(n(1).agg(F.count("*").alias("m")), ["cloud_id", *CELL])
+    return both.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+
+
+def _prune_block(grasps: DataFrame, threshold: float, alpha: float) -> DataFrame:
+    """Rounds over tables: keep those without an undecided or kept neighbour before them, drop the neighbours of kept ones."""
+    from .rounds import save
+
+    edges = save(_near(grasps, grasps, threshold, alpha).where("g1 < g2"))
     left, kept = grasps.select(F.col("grasp_id").alias("g")), None
     while True:
         blocked = edges.join(left, edges["g1"] == left["g"], "left_semi").select(F.col("g2").alias("g"))
@@ -320,3 +334,31 @@ def prune_near(grasps: DataFrame, threshold: float, alpha: float = 0.05) -> Data
         left = save(left.join(new, "g", "left_anti").join(gone, "g", "left_anti"))
         if not left.head(1):
             return kept.select(F.col("g").alias("grasp_id"))
+
+
+def prune_near(grasps: DataFrame, threshold: float, alpha: float = 0.05) -> DataFrame:
+    """Keep a grasp if it is at least the threshold away from every kept one before it (by grasp_id, within a cloud).
+
+    Grasps are decided block by block in their order. Each block's kept ones drop all later grasps near them, so the
+    next block, though larger, has few pairs left, and no table of all near pairs is made; a block that would try more
+    than MOST_TRIED pairs is halved.
+    """
+    from .rounds import running, save
+
+    if threshold <= 0:
+        return grasps.select("grasp_id")
+    names = ["cloud_id", "grasp_id", *[f"{k}{c}" for k in "ca" for c in "xyz"]]
+    left = save(running(grasps.select(*names), [F.col("grasp_id")], {"_place": F.lit(1).cast("long")}))
+    done, size, kept = 0, FIRST, None
+    while left.head(1):
+        block = save(left.where(F.col("_place") <= done + size))
+        while size > FIRST and _tried(block, threshold) > MOST_TRIED:
+            size //= 2
+            block = save(block.where(F.col("_place") <= done + size))
+        done += size
+        new = save(block.join(_prune_block(block, threshold, alpha), "grasp_id", "left_semi"))
+        kept = new if kept is None else kept.union(new)
+        left = left.where(F.col("_place") > done)
+        left = save(left.join(_near(new, left, threshold, alpha).select(F.col("g2").alias("grasp_id")).distinct(), "grasp_id", "left_anti"))
+        size = GROW * done
+    return grasps.select("grasp_id").limit(0) if kept is None else kept.select("grasp_id")
