@@ -64,3 +64,21 @@ def test_samples_are_those_of_all_points(spark, n):
     want = {(r.grasp_id, r.slot, r.point_id) for r in resample(G.crop(points, grasps), n, 4, "grasp_id").collect()}
     got = {(r.grasp_id, r.slot, r.point_id) for r in G.sample_inside(points, grasps, n, 4).collect()}
     assert want and got == want
+
+
+@pytest.mark.parametrize("block", [1 << 21, 700])
+def test_images_equal_those_of_cropped_points(spark, monkeypatch, block):
+    from pointloom.operators import frames3d as E
+
+    monkeypatch.setattr(B, "IMAGE_BLOCK", block, raising=False)
+    monkeypatch.setattr(B, "IMAGE_CHUNK", 16, raising=False)
+    rnd = np.random.default_rng(6)
+    p = [("ab"[i % 2], i, *map(float, rnd.normal(0, 0.3, 3)), *(None if i % 11 == 0 else float(x) for x in rnd.integers(-3, 4, 3))) for i in range(3000)]
+    g = [(i, "ab"[i % 2], *map(float, rnd.normal(0, 0.2, 3)), *map(float, rnd.normal(0, 1, 3)), float(rnd.uniform(0.2, 0.9)), float(rnd.uniform(-3, 3))) for i in range(40)]
+    points = spark.createDataFrame(p, "cloud_id string, point_id long, x double, y double, z double, nx double, ny double, nz double")
+    grasps = spark.createDataFrame(g, "grasp_id long, cloud_id string, cx double, cy double, cz double, ax double, ay double, az double, width double, angle double")
+    cropped = G.crop(points, grasps).join(grasps.select("grasp_id", "width"), "grasp_id").join(points.select("point_id", "nx", "ny", "nz"), "point_id")
+    rows = lambda df: sorted(tuple("-" if r[c] is None else f"{r[c] + 0:.9g}" for c in sorted(df.columns)) for r in df.collect())
+    got = E.box_images(points, grasps, 8, cap=4)
+    assert "width" not in got.columns and rows(got) == rows(E.project_image(cropped, 8, cap=4))
+    assert rows(E.box_images12(points, grasps, 8)) == rows(E.project_image12(cropped, 8))
