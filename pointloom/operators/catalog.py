@@ -103,7 +103,15 @@ def scale_metric(df: DataFrame, key: str, value: str, least: float) -> DataFrame
 
 
 def available_metrics(metrics: DataFrame) -> DataFrame:
-    return metrics.groupBy("object_id").agg(F.count_distinct("metric").alias("n_metrics"), F.count_distinct("grasp_id").alias("n_grasps"), F.array_join(F.sort_array(F.collect_set("metric")), ",").alias("names"))
+    """Of each object: how many metrics and grasps (object_id, grasp_id, metric) it has, and the metrics' names.
+
+    Metrics and grasps are told apart one after the other, by plain sums: counted side by side, each row would be shuffled
+    once for each of them, and sets of names would be sorted and spilled.
+    """
+    names = metrics.groupBy("object_id", "metric").agg(F.lit(0).cast("long").alias("n"))
+    grasps = metrics.groupBy("object_id", "grasp_id").count().groupBy("object_id").agg(F.count("grasp_id").alias("n")).select("object_id", F.lit(None).cast("string").alias("metric"), "n")
+    both = names.union(grasps).groupBy("object_id")
+    return both.agg(F.count("metric").alias("n_metrics"), F.sum("n").alias("n_grasps"), F.array_join(F.sort_array(F.collect_set("metric")), ",").alias("names"))
 
 
 def names(table: DataFrame, column: str) -> DataFrame:
