@@ -37,19 +37,21 @@ def _fraction(a: Column, b: Column, x: Column) -> Column:
     return F.aggregate(steps, start, step, lambda s: s["h"])
 
 
+def beta_share(x: Column, a: Column, b: Column, log_beta: Column) -> Column:
+    """The chance that a Beta (a, b) variable is below x, for 0 < x < 1; ``log_beta``: ln B(a, b), held in a column."""
+    front = F.exp(a * F.log(x) + b * F.log(1 - x) - log_beta)
+    return F.when(x < (a + 1) / (a + b + 2), front * _fraction(a, b, x) / a).otherwise(1 - front * _fraction(b, a, 1 - x) / b)
+
+
 def beta_quantile(p: Column, a: Column, b: Column, log_beta: Column) -> Column:
     """The number below which a Beta (a, b) variable lies with chance p; ``log_beta``: ln B(a, b), held in a column.
 
     The interval from 0 to 1 is halved ``HALVINGS`` times by the regularised incomplete Beta function.
     """
 
-    def below(x: Column) -> Column:
-        front = F.exp(a * F.log(x) + b * F.log(1 - x) - log_beta)
-        return F.when(x < (a + 1) / (a + b + 2), front * _fraction(a, b, x) / a).otherwise(1 - front * _fraction(b, a, 1 - x) / b)
-
     def halve(s: Column, _: Column) -> Column:
         x = (s["lo"] + s["hi"]) / 2
-        low = below(x) < p
+        low = beta_share(x, a, b, log_beta) < p
         return F.struct(F.when(low, x).otherwise(s["lo"]).alias("lo"), F.when(low, s["hi"]).otherwise(x).alias("hi"))
 
     start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))

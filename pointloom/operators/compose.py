@@ -176,7 +176,8 @@ def choose(state: DataFrame, policy: str, seed: int) -> DataFrame:
         return state.withColumn("draw", uniform(seed, F.col("arm"))).orderBy(F.desc("draw"), "arm").limit(1).select("arm")
     if policy == "greedy":
         return state.orderBy(F.desc("mean"), "arm").limit(1).select("arm")
-    drawn = L.with_quantile(state, uniform(seed, F.col("arm")), "draw")
+    draw = uniform(seed, F.col("arm"))
+    drawn = L.with_quantile(L.may_be_largest(state, draw), draw, "draw")
     return drawn.orderBy(F.desc("draw"), "arm").limit(1).select("arm")
 
 
