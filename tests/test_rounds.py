@@ -80,3 +80,17 @@ def test_far_neighbours(spark):
     p = spark.createDataFrame([("a", 0, 0.0, 0.0, 0.0), ("a", 1, 1.0, 0.0, 0.0), ("a", 2, 1e7, 0.0, 0.0), ("a", 3, float("nan"), 0.0, 0.0)], "cloud_id string, point_id long, x double, y double, z double")
     got = P.knn(p, p.where("point_id = 0"), 3, 0.01).collect()
     assert sorted((r.rank, r.point_id) for r in got) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_stars_are_made_piece_by_piece(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(rounds, "PIECE", 50, raising=False)
+    rnd = random.Random(7)
+    edges = [(g, max(a, b), min(a, b)) for g, a, b in ((rnd.randrange(2), rnd.randrange(300), rnd.randrange(300)) for _ in range(700)) if a != b]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["group", "a", "b"])
+    out = list(rounds._stars(batch(edges[i : i + 120]) for i in range(0, len(edges), 120)))
+    assert len(out) > 10 and max(b.num_rows for b in out) <= 200
+    got = plain_components([tuple(r.values()) for b in out for r in b.to_pylist()])
+    want = plain_components(edges)
+    assert {k: v for k, v in got.items() if k[1] != v} == {k: v for k, v in want.items() if k[1] != v}
