@@ -71,3 +71,15 @@ def test_all_neighbours_of_a_full_cell_are_shared_among_tasks(spark, monkeypatch
     assert got == {a: set(w) for a, w in brute(xyz, asked, 0.2, None).items()}
     met = P._meet(P._around(q.select("cloud_id", F.col("point_id").alias("query_id"), *[F.col(c).alias(f"q{c}") for c in "xyz"]), 0.2), P._cells(p, 0.2))
     assert met.groupBy(*P.CELL, "_slice", "query_id").count().agg(F.max("count")).first()[0] < 100  # of 2,000
+
+
+def test_tasks_follow_the_pairs(spark, monkeypatch):
+    """Pairs of crowded cells are shared among more tasks the more there are, with the same result."""
+    pts = spark.range(3000).selectExpr("'a' cloud_id", "id point_id", "(id * 37 % 1009) / 1009D x", "(id * 71 % 1013) / 1013D y", "(id * 13 % 997) / 997D z")
+    queries = pts.where("point_id % 100 = 0")
+    few = sorted(tuple(r) for r in P.neighbors(pts, queries, 0.5, 7, crowd=64).collect())
+    monkeypatch.setattr(P, "PAIRS", 1000, raising=False)
+    q = queries.select("cloud_id", F.col("point_id").alias("query_id"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
+    pairs = P.crowded_cells(P._cells(pts, 0.5), q, 0.5, 7, 64)
+    assert pairs.rdd.getNumPartitions() > 4
+    assert few == sorted(tuple(r) for r in P.neighbors(pts, queries, 0.5, 7, crowd=64).collect())
