@@ -202,7 +202,9 @@ def logistic_terms(df: DataFrame, xs: list[str], y: str, beta: list[float]) -> D
 
 def face_basis(corners: DataFrame, vertices: DataFrame) -> DataFrame:
     """Rotation of each face's stable pose: z along the normal on the side that holds the mesh's middle, x the principal
-    axis of the vertices seen along z, y = z cross x. Rows r0 (x), r1 (y), r2 (z) as x, y, z columns."""
+    axis of the vertices seen along z, y = z cross x. Rows r0 (x), r1 (y), r2 (z) as x, y, z columns.
+
+    A covariance that is zero but for rounding counts as zero, so that x doesn't turn round with the order of the sums."""
     from ..functions import cross, dot, named, once, sub, unit, vec
 
     mid = vertices.groupBy("mesh_id").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
@@ -220,7 +222,8 @@ def face_basis(corners: DataFrame, vertices: DataFrame) -> DataFrame:
     s = {a + b: F.col(f"s{min(a, b)}{max(a, b)}") for a in "xyz" for b in "xyz"}
     form = lambda p, q: sum((F.col(f"{p}{a}") * s[a + b] * F.col(f"{q}{b}") for a in "xyz" for b in "xyz"), F.lit(0.0))
     f = once(f, form("u", "u").alias("_a"), form("u", "v").alias("_b"), form("v", "v").alias("_c"))
-    f = once(f, (F.atan2(2 * F.col("_b"), F.col("_a") - F.col("_c")) / 2).alias("_t"))
+    solid = lambda c: F.when(F.abs(c) > 1e-12 * (F.col("_a") + F.col("_c")), c).otherwise(0.0)
+    f = once(f, (F.atan2(2 * solid(F.col("_b")), solid(F.col("_a") - F.col("_c"))) / 2).alias("_t"))
     f = once(f, *[(F.cos("_t") * F.col(f"u{c}") + F.sin("_t") * F.col(f"v{c}")).alias(f"r0{c}") for c in "xyz"])
     f = once(f, *named(cross(vec("r2"), vec("r0")), "r1"))
     return f.select("mesh_id", "fid", *[f"r{k}{c}" for k in range(3) for c in "xyz"])
