@@ -6,10 +6,11 @@ its class given the tokens before it, that of its item within the class given th
 item. The SINGLE commonest tokens are items of their own; the others fall into ENDINGS items by their last three bytes.
 Items with like neighbours share a class. Both softmaxes run over hashed features: the token before, the one before that
 (a skip), and both together; rare tokens count as their endings there. The number of weights follows that of distinct
-training tokens, up to ``MOST`` (4 * MOST rows of SIDE). Each training text takes part in one of ``ROUNDS`` + 1 rounds:
-the first counts which item stands before which, for the classes; in each of the others the tasks sum observed less
-expected counts by feature over their share of the texts, these sums are added up in Spark, and the driver, which holds
-the model of bounded size, moves the weights.
+training tokens, up to ``MOST`` (4 * MOST rows of SIDE). All training texts take part in everything: their tokens'
+keys are saved once, and once as codes of four bytes; from these come the counts of which item stands before which, for the classes, the
+observed counts by feature, and in each of ``ROUNDS`` steps the expected ones. Tasks sum over their share of the texts,
+like contexts at once; these sums are added up in Spark, and the driver, which holds the model of bounded size, moves the
+weights.
 
 For scoring, the counts of the commonest tokens (at most ``FREQUENT``, whatever the input's size) are broadcast; the
 rare ones are joined with the table of counts, where by choice no key is hot. Null text counts as empty and has one
@@ -35,8 +36,8 @@ FEWEST, MOST, STEP = 1 << 12, 1 << 16, 1 << 10
 #: Tokens seen so often have features of their own, the commonest first, as many as a quarter of the rows.
 COMMON = 3
 ROUNDS, RATE, DAMP, MOST_WEIGHT = 4, 0.6, 4.0, 12.0
-#: Tokens whose sums are made at once, and whose odds are.
-STRETCH, BLOCK = 1 << 17, 1 << 13
+#: Tokens whose sums are made at once, and whose odds are; tokens of which like contexts are put together.
+STRETCH, BLOCK, BATCH = 1 << 17, 1 << 13, 1 << 21
 #: Key of the end of a text, and of what stands before its first token.
 END, BEFORE = U64(0x5BD1E9955BD1E000), U64(0x27D4EB2F16566001)
 #: Tokens a task takes on at least before there are more tasks than cores, so that sums stay small beside the texts.
@@ -64,10 +65,13 @@ def token_keys(text: str | None) -> np.ndarray:
     return np.concatenate([*out, [END]]).astype(U64)
 
 
-def batched(texts: list) -> tuple[np.ndarray, np.ndarray]:
+def packed(texts: list) -> list[bytes]:
+    return [token_keys(t).tobytes() for t in texts]
+
+
+def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the tokens of several texts one after another, and how many each has."""
-    keys = [token_keys(t) for t in texts]
-    return np.concatenate(keys) if keys else np.zeros(0, U64), np.array([len(k) for k in keys], np.int64)
+    return np.frombuffer(b"".join(rows), U64), np.array([len(r) // 8 for r in rows], np.int64)
 
 
 def before(values: np.ndarray, lens: np.ndarray, first) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +113,10 @@ class Model:
         """known: keys of common tokens, commonest first; item_counts: training tokens of each item."""
         self.known, self.size, self.item_counts = known, size, item_counts.astype(np.float64)
         self.index = None
+        # a token's code is its place among the known ones, or comes after them by its ending; the last one is BEFORE
+        self.context_of = np.concatenate((known, np.arange(ENDINGS, dtype=U64), [BEFORE])).astype(U64)
+        endings = SINGLE + (known & _LOW).astype(np.int64)
+        self.item_of = np.concatenate((np.where(np.arange(len(known)) < SINGLE, np.arange(len(known)), endings), SINGLE + np.arange(ENDINGS)))
         self.arrange(np.arange(ITEMS))
         self.weights = np.zeros((4 * size, SIDE), np.float32)  # half for classes, half for items
 
@@ -123,13 +131,16 @@ class Model:
         self.class_bias = np.log(n.sum(1) / n.sum()).astype(np.float32)
         self.item_bias = np.log(n / n.sum(1, keepdims=True)).astype(np.float32)
 
-    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's item, and what it counts as in a context: itself if common, else its ending."""
+    def codes(self, keys: np.ndarray) -> np.ndarray:
         if self.index is None:
             self.index = HashIndex(self.known)
         at = self.index.find(keys)
-        ending = SINGLE + (keys & _LOW).astype(np.int64)
-        return np.where((at >= 0) & (at < SINGLE), at, ending), np.where(at >= 0, keys, keys & _LOW)
+        return np.where(at >= 0, at, len(self.known) + (keys & _LOW).astype(np.int64)).astype(np.int32)
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's item, and what it counts as in a context: itself if common, else its ending."""
+        codes = self.codes(keys)
+        return self.item_of[codes], self.context_of[codes]
 
     def rows(self, one: np.ndarray, two: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the weights active after two contexts: KINDS columns for the class, and KINDS for the item in it."""
@@ -164,20 +175,77 @@ class Model:
             yield 0, s, outer, classes, np.zeros_like(classes), self.class_bias[None]
             yield 1, s, inner, lane, classes, self.item_bias
 
+    def contexts(self, codes: np.ndarray, lens: np.ndarray, places: bool):
+        """Distinct contexts of each BATCH of tokens, in order: the two codes before, what came (its place, or its class alone), how often."""
+        base, first = len(self.context_of), len(self.context_of) - 1
+        of, width = (self.place, ITEMS) if places else (self.place // SIDE, SIDE)
+        of = of[self.item_of]
+        one, two = before(codes, lens, first)
+        for at in range(0, len(codes), BATCH):
+            s = slice(at, at + BATCH)
+            x = one[s].astype(np.int64)
+            x *= base
+            x += two[s]
+            x *= width
+            x += of[codes[s]]
+            x.sort()
+            start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            n = np.diff(np.r_[start, len(x)])
+            both, came = np.divmod(x[start], width)
+            yield *np.divmod(both, base), came, n
+
+    def observed(self, codes: np.ndarray, lens: np.ndarray, sums: np.ndarray) -> None:
+        """Add what came, by lane and row; then, for the items' rows, the classes by row."""
+        flat, width = sums.reshape(-1), sums.shape[1]
+        for one, two, place, n in self.contexts(codes, lens, True):
+            classes, lane = np.divmod(place, SIDE)
+            for at in range(0, len(n), STRETCH):
+                s = slice(at, at + STRETCH)
+                outer, inner = self.rows(self.context_of[one[s]], self.context_of[two[s]], classes[s])
+                for k in range(KINDS):
+                    for way, row in ((classes, outer[:, k]), (lane, inner[:, k]), (classes, inner[:, k] + 2 * self.size)):
+                        np.add.at(flat, way[s] * width + row, n[s].astype(sums.dtype))
+
+    def expected_at_first(self, observed: np.ndarray) -> np.ndarray:
+        """What ``expected`` gives while all weights are 0, from the sums of ``observed``."""
+        share = lambda bias: np.exp(bias) / np.exp(bias).sum(-1, keepdims=True)
+        level = 2 * self.size
+        return np.concatenate((share(self.class_bias)[:, None] * observed[:, :level].sum(0), share(self.item_bias).T @ observed[:, 2 * level :]), 1)
+
+    def expected(self, codes: np.ndarray, lens: np.ndarray, sums: np.ndarray) -> None:
+        """Add what the model expects in these contexts, by lane and row: classes once for each pair of tokens before, items once for each class after it."""
+        for one, two, classes, n in self.contexts(codes, lens, False):
+            first = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+            for at in range(0, len(first), STRETCH):
+                k = first[at : at + STRETCH]
+                end = first[at + STRETCH] if at + STRETCH < len(first) else len(n)
+                outer, _ = self.rows(self.context_of[one[k]], self.context_of[two[k]], classes[k])
+                self._expect(outer, np.add.reduceat(n[k[0] : end], k - k[0]), None, sums, 0)
+            for at in range(0, len(n), STRETCH):
+                s = slice(at, at + STRETCH)
+                _, inner = self.rows(self.context_of[one[s]], self.context_of[two[s]], classes[s])
+                self._expect(inner, n[s], classes[s], sums, 1)
+
+    def _expect(self, rows: np.ndarray, n: np.ndarray, owner: np.ndarray | None, sums: np.ndarray, level: int) -> None:
+        part = np.empty((SIDE, len(n)), np.float32)
+        for at in range(0, len(n), BLOCK):
+            b = slice(at, at + BLOCK)
+            _, e, total = self.odds(rows[b], self.class_bias[None] if owner is None else self.item_bias[owner[b]])
+            np.multiply(e.T, n[b].astype(np.float32) / total, out=part[:, b])
+        near = slice(2 * self.size * level, 2 * self.size * (level + 1))
+        flat, weights = (rows.T - near.start).astype(np.int64).ravel(), np.empty((KINDS, len(n)))
+        for k in range(SIDE):
+            weights[:] = part[k]
+            sums[k, near] += np.bincount(flat, weights.ravel(), 2 * self.size)
+
     def gradients(self, keys: np.ndarray, lens: np.ndarray, sums: np.ndarray, seen: np.ndarray) -> None:
         """Add observed less expected counts by lane and row, and how often each row was active."""
-        for level, _, rows, lane, owner, bias in self.levels(keys, lens):
-            near = slice(2 * self.size * level, 2 * self.size * (level + 1))
-            diff = np.empty((SIDE, len(lane)), np.float32)
-            for at in range(0, len(lane), BLOCK):
-                part = slice(at, at + BLOCK)
-                _, e, total = self.odds(rows[part], bias[owner[part]])
-                np.divide(e.T, -total, out=diff[:, part])
-            diff[lane, np.arange(len(lane))] += 1
-            flat = (rows.T - near.start).ravel()
-            seen[near] += np.bincount(flat, minlength=2 * self.size)
-            for k in range(SIDE):
-                sums[k, near] += np.bincount(flat, np.tile(diff[k], KINDS), 2 * self.size)
+        codes, came, model = self.codes(keys), np.zeros((SIDE, 6 * self.size), sums.dtype), np.zeros_like(sums)
+        self.observed(codes, lens, came)
+        self.expected(codes, lens, model)
+        came = came[:, : 4 * self.size]
+        sums += came - model
+        seen += came.sum(0)
 
     def step(self, sums: np.ndarray, seen: np.ndarray) -> None:
         """One step: each weight moves by a share of the log of observed over expected counts, both damped.
@@ -206,16 +274,16 @@ class Model:
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """(key, c) over all texts; summed within a task before the shuffle."""
+    """(key, c) over all texts' packed ``tokens``; summed within a task before the shuffle."""
 
     def make():
         def run(columns):
-            keys, counts = np.unique(batched(columns[0])[0], return_counts=True)
+            keys, counts = np.unique(unpacked(columns[0])[0], return_counts=True)
             return [keys.view(np.int64), counts]
 
         return run
 
-    return map_arrow(docs, [], ["text"], make, [("key", pa.int64(), "long"), ("c", pa.int64(), "long")]).groupBy("key").agg(F.sum("c").alias("c"))
+    return map_arrow(docs, [], ["tokens"], make, [("key", pa.int64(), "long"), ("c", pa.int64(), "long")]).groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def halved(x: np.ndarray) -> bytes:
@@ -243,24 +311,44 @@ def _add_up(sums: DataFrame, *keys: str) -> DataFrame:
     return sums.repartition(*keys).mapInArrow(run, "part int, way int, x binary")
 
 
+def coded(docs: DataFrame, model: Model) -> DataFrame:
+    """The codes of each text's tokens, as 32-bit numbers."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        model = held.value
+
+        def run(columns):
+            keys, lens = unpacked(columns[0])
+            return [[c.tobytes() for c in np.split(model.codes(keys), np.cumsum(lens)[:-1])] if len(lens) else []]
+
+        return run
+
+    return materialise(map_arrow(docs, [], ["tokens"], make, [("codes", pa.binary(), "binary")]), "codes")
+
+
 def summed(texts: DataFrame, shape: tuple[int, int], tasks: int, add) -> np.ndarray:
-    """An array to which every task adds for its texts, by ``add(keys, lens, array)``; the last size must divide by PARTS."""
+    """An array to which every task adds for its texts' codes, by ``add(codes, lens, array)``; the last size must divide by PARTS."""
 
     def run(batches):
         from pyspark import TaskContext
 
         total, waiting, n = None, [], 0
+
+        def flush():
+            nonlocal total, waiting, n
+            total = np.zeros(shape, np.float32) if total is None else total
+            add(np.concatenate(waiting), np.array([len(w) for w in waiting]), total)
+            waiting, n = [], 0
+
         for b in batches:
-            for at in range(0, b.num_rows, 32):
-                waiting.append(batched(b.column(0).slice(at, 32).to_pylist()))
-                n += len(waiting[-1][0])
-                if n >= STRETCH:
-                    total = np.zeros(shape, np.float32) if total is None else total
-                    add(*map(np.concatenate, zip(*waiting, strict=True)), total)
-                    waiting, n = [], 0
+            for x in b.column(0):
+                waiting.append(np.frombuffer(x.as_buffer(), np.int32))
+                n += len(waiting[-1])
+                if n >= BATCH:
+                    flush()
         if waiting:
-            total = np.zeros(shape, np.float32) if total is None else total
-            add(*map(np.concatenate, zip(*waiting, strict=True)), total)
+            flush()
         if total is not None:
             way = TaskContext.get().partitionId() // WIDE
             for i, x in enumerate(np.split(total, PARTS, 1)):
@@ -277,27 +365,30 @@ def summed(texts: DataFrame, shape: tuple[int, int], tasks: int, add) -> np.ndar
 
 
 def train(docs: DataFrame, model: Model, n_tokens: int, rounds: int = ROUNDS) -> Model:
-    """Classes, then gradient steps, over (id, text) with n_tokens tokens; the texts of round r are those whose hash leaves r."""
+    """Classes, then gradient steps, each over all texts of (tokens) with n_tokens tokens."""
     context = docs.sparkSession.sparkContext
     tasks = max(context.defaultParallelism, n_tokens // SHARE)
-    for turn in range(rounds + 1):
-        held = context.broadcast(model)
+    codes = coded(docs, model)
 
-        def neighbours(keys, lens, near, held=held):
-            item = held.value.look_up(keys)[0]
-            one, _ = before(item, lens, -1)
-            near += np.bincount(item[one >= 0] * ITEMS + one[one >= 0], minlength=ITEMS * ITEMS).reshape(ITEMS, ITEMS)
-
-        def gradients(keys, lens, sums, held=held):
-            held.value.gradients(keys, lens, sums[:SIDE], sums[SIDE])
-
-        texts = docs.where(F.pmod(F.xxhash64("id", "text"), F.lit(rounds + 1)) == turn).select("text")
-        if turn == 0:
-            model.arrange(by_context(summed(texts, (ITEMS, ITEMS), tasks, neighbours)))
-        else:
-            sums = summed(texts, (SIDE + 1, len(model.weights)), tasks, gradients)
-            model.step(sums[:SIDE], sums[SIDE])
+    def over_all(shape, method):
+        held = context.broadcast(model)
+        sums = summed(codes, shape, tasks, lambda *args: method(held.value, *args))
         held.destroy()
+        return sums
+
+    def neighbours(model, codes, lens, near):
+        item = model.item_of[codes]
+        one, _ = before(item, lens, -1)
+        near += np.bincount(item[one >= 0] * ITEMS + one[one >= 0], minlength=ITEMS * ITEMS).reshape(ITEMS, ITEMS)
+
+    model.arrange(by_context(over_all((ITEMS, ITEMS), neighbours)))
+    observed = over_all((SIDE, 6 * model.size), Model.observed)
+    came = observed[:, : 4 * model.size]
+    expected, seen = model.expected_at_first(observed), came.sum(0)
+    for turn in range(rounds):
+        if turn:
+            expected = over_all((SIDE, 4 * model.size), Model.expected)
+        model.step(came - expected, seen)
     return model
 
 
@@ -308,6 +399,8 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("id"), F.col(held_out).alias("held_out"), F.col(text_col).alias("text"))
+    # the keys are taken once: all passes start from them
+    d = materialise(map_arrow(d, ["id", "held_out"], ["text"], lambda: lambda columns: [packed(columns[0])], [("tokens", pa.binary(), "binary")]), "tokens")
     training = d.where(~F.col("held_out"))
     counts = materialise(count_tokens(training), "counts")
     ending = F.col("key").bitwiseAND(ENDINGS - 1).cast("int")
@@ -333,7 +426,7 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
     first[: len(single)] = c[: len(single)]
     size = min(MOST, max(FEWEST, -(-n_types // 64 // STEP) * STEP))
     known = keys[: max(len(single), min(size, int((c >= COMMON).sum())))]
-    model = train(training.select("id", "text"), Model(known, np.concatenate((first, others[:, 0])), size), n_train)
+    model = train(training.select("tokens"), Model(known, np.concatenate((first, others[:, 0])), size), n_train)
 
     held = spark.sparkContext.broadcast((model, keys, c))
 
@@ -345,7 +438,7 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
         share_of[: min(SINGLE, len(keys))] = 0  # alone in their item
 
         def run(columns):
-            found, lens = batched(columns[0])
+            found, lens = unpacked(columns[0])
             owner = np.repeat(np.arange(len(lens)), lens)
             at = index.find(found)
             known = at >= 0
@@ -364,7 +457,7 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
         return run
 
     new = [("n_tokens", pa.int64(), "long"), ("n_known", pa.int64(), "long"), ("base", pa.float64(), "double"), ("full", pa.float64(), "double"), ("keys", pa.list_(pa.int64()), "array<long>"), ("tf", pa.list_(pa.int32()), "array<int>")]
-    scored = materialise(map_arrow(d.withColumn("row", F.monotonically_increasing_id()), ["row", "id", "held_out"], ["text"], make, new), "scored")
+    scored = materialise(map_arrow(d.withColumn("row", F.monotonically_increasing_id()), ["row", "id", "held_out"], ["tokens"], make, new), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("keys", "tf")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.tf").alias("tf"))
     few = counts.where(F.col("c") < float(1 << cutoff))
     joined = rare.join(few, "key", "left").select("row", "tf", F.coalesce("c", F.lit(0)).alias("c"), ending.alias("h"))

@@ -130,3 +130,44 @@ def test_classes_follow_neighbours():
 def test_numbers_in_half_the_bytes():
     x = np.array([0, 1, -3.14159, 1e6, 70000.5, 1e-8], np.float32)
     assert np.allclose(lm.doubled(lm.halved(x)), x, rtol=2**-8)
+
+
+def test_contexts_together_and_one_by_one(monkeypatch):
+    """Observed and expected counts don't hang on how many tokens are put together; with no weights they follow from counts alone."""
+    rng = np.random.default_rng(4)
+    model = small(rng)
+    keys, lens = rng.choice(np.array([5 << 20, 9 << 20, 7, 8, 1 << 40], np.uint64), 200), np.array([90, 1, 109])
+    codes = model.codes(keys)
+
+    def sums(model, method, width):
+        out = np.zeros((lm.SIDE, width * model.size))
+        method(model, codes, lens, out)
+        return out
+
+    came, model_sums = sums(model, lm.Model.observed, 6), sums(model, lm.Model.expected, 4)
+    assert came[:, : 2 * model.size].sum() == came[:, 2 * model.size : 4 * model.size].sum() == lm.KINDS * 200
+    monkeypatch.setattr(lm, "BATCH", 7)
+    monkeypatch.setattr(lm, "STRETCH", 3)
+    monkeypatch.setattr(lm, "BLOCK", 2)
+    assert np.allclose(came, sums(model, lm.Model.observed, 6)) and np.allclose(model_sums, sums(model, lm.Model.expected, 4), atol=1e-4)
+    model.weights[:] = 0
+    assert np.allclose(model.expected_at_first(came), sums(model, lm.Model.expected, 4), atol=1e-4)
+
+
+def test_every_training_text_is_in_every_sum(spark, monkeypatch):
+    """Classes, observed and expected counts: each pass sees the tokens of all training texts, once."""
+    rows = [(i, t, i % 5 == 1) for i, t in enumerate(texts(40))]
+    want = sum(len(lm.token_keys(t)) for _, t, h in rows if not h)
+    totals, summed = [], lm.summed
+
+    def told(*args):
+        totals.append((args[1], summed(*args)))
+        return totals[-1][1]
+
+    monkeypatch.setattr(lm, "summed", told)
+    lm.score(spark.createDataFrame(rows, "doc_id long, text string, h boolean").repartition(3), "h").collect()
+    assert len(totals) == lm.ROUNDS + 1
+    n_texts = sum(not h for _, _, h in rows)
+    assert totals[0][1].sum() == want - n_texts  # the first token of a text has none before it
+    level = totals[2][0][1] // 2
+    assert all(abs(x[:, :level].sum() / (lm.KINDS * want) - 1) < 0.01 for _, x in totals[1:])
