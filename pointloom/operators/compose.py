@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import uniform
@@ -125,18 +125,42 @@ def image_to_mesh(mask: DataFrame, extrusion: float = 1.0) -> tuple[DataFrame, D
     it in v and u, and of one with those after it; where the neighbour in v is missing, the diagonal one takes its place.
     Edges of a single front triangle get a wall of two triangles. The other side's triangles are the same, turned.
     """
-    steps = [(0, 0), (1, 0), (0, 1), (1, 1), (-1, 0), (0, -1), (-1, -1)]
-    told = F.array(*[F.struct((F.col("v") + a).alias("v"), (F.col("u") + b).alias("u"), F.lit(1 << k).alias("bit")) for k, (a, b) in enumerate(steps)])
-    # each pixel tells its neighbours that it is there; bit 0 is the pixel itself
-    known = mask.select("frame_id", "v", "u").distinct().select("frame_id", F.inline(told)).groupBy("frame_id", "v", "u").agg(F.bit_or("bit").alias("m")).where("m & 1 = 1")
+    # rows of 64 pixels are one number each; each tells those around it what it holds, so no later step meets the pixels again
+    words = mask.selectExpr("frame_id", "v", "shiftright(u, 6) w", "shiftleft(1L, cast(u & 63 as int)) x").groupBy("frame_id", "v", "w").agg(F.bit_or("x").alias("x"))
+    told = F.array(*[F.struct((F.col("v") - a).alias("v"), (F.col("w") - b).alias("w"), F.lit(3 * a + b).alias("k")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    lines = words.select("frame_id", "x", F.inline(told)).where("k % 3 = 0 or x & if(pmod(k, 3) = 1, 3L, shiftleft(-1L, 62)) <> 0")
+    names = {3 * a + b: f"{'abc'[a + 1]}{b + 1}" for a in (-1, 0, 1) for b in (-1, 0, 1)}
+    lines = lines.groupBy("frame_id", "v", "w").agg(*[F.coalesce(F.bit_or(F.when(F.col("k") == k, F.col("x"))), F.lit(0).cast("long")).alias(n) for k, n in names.items()])
+    known = lines.where("b1 <> 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(63)))).where("shiftright(b1, i) & 1 = 1")
+
+    def window(n: str) -> Column:
+        """Bits u - 2 to u + 2 of a line, from the lowest on."""
+        low = lambda e: f"({e}) & 3"
+        here = f"if(i >= 2, shiftrightunsigned({n}1, i - 2), shiftleft({n}1, 2 - i))"
+        before, after = f"if(i < 2, shiftrightunsigned({n}0, 62 + i), 0L)", f"if(i > 61, shiftleft({low(f'{n}2')}, 66 - i), 0L)"
+        return F.expr(f"(({here}) | ({before}) | ({after})) & 31").alias(n)
+
+    known = known.select("frame_id", "v", (F.col("w") * 64 + F.col("i")).cast(dict(mask.dtypes)["u"]).alias("u"), *[window(n) for n in "abc"])
+    on = lambda a, b: F.col("abc"[a + 1]).bitwiseAND(F.lit(1 << (b + 2))) != 0
+    # whether the pixel at a step has a triangle: with its neighbours before it (straight, slanted), with those after it
+    b1 = lambda a, b: on(a, b) & on(a - 1, b) & on(a, b - 1)
+    b2 = lambda a, b: on(a, b) & ~on(a - 1, b) & on(a, b - 1) & on(a - 1, b - 1) & (F.col("v") + a > 1) & (F.col("u") + b > 1)
+    a1 = lambda a, b: on(a, b) & on(a + 1, b) & on(a, b + 1)
+    a2 = lambda a, b: on(a, b) & ~on(a + 1, b) & on(a, b + 1) & on(a + 1, b + 1)
     here = lambda a, b: F.struct((F.col("v") + a).alias("v"), (F.col("u") + b).alias("u"))
-    has = lambda k: F.col("m").bitwiseAND(F.lit(1 << k)) > 0  # noqa: E731  bit k: the neighbour at minus step k
-    tri = lambda *p: F.struct(*[here(*x).alias(n) for x, n in zip(p, "abc", strict=True)])
-    before = F.when(has(1) & has(2), tri((0, 0), (-1, 0), (0, -1))).when(has(2) & has(3) & (F.col("v") > 1) & (F.col("u") > 1), tri((0, 0), (-1, -1), (0, -1)))
-    after = F.when(has(4) & has(5), tri((0, 0), (1, 0), (0, 1))).when(has(5) & has(6), tri((0, 0), (1, 1), (0, 1)))
-    front = known.select("frame_id", F.explode(F.array_compact(F.array(before, after))).alias("t")).select("frame_id", "t.a", "t.b", "t.c").distinct()
-    edge = F.array(*[F.struct(F.col(p).alias("p"), F.col(q).alias("q"), F.least(p, q).alias("lo"), F.greatest(p, q).alias("hi")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))])
-    edges = front.select("frame_id", F.inline(edge)).groupBy("frame_id", "lo", "hi").agg(F.count("*").alias("n"), F.min(F.struct("p", "q")).alias("e")).where("n = 1").select("frame_id", "e.p", "e.q")
+
+    def triangle(p, q, r, *shared: Column) -> Column:
+        """The corners and which of the sides p-q, q-r, r-p are of this triangle alone."""
+        return F.struct(*[here(*x).alias(n) for x, n in zip((p, q, r), "abc", strict=True)], F.array(*[~x for x in shared]).alias("alone"))
+
+    past, next_ = b1(0, 1) | b2(0, 1), a1(0, -1) | a2(0, -1)
+    before = F.when(b1(0, 0), triangle((0, 0), (-1, 0), (0, -1), b2(0, 1) | a1(-1, 0), a1(-1, -1), next_))
+    before = before.when(b2(0, 0), triangle((0, 0), (-1, -1), (0, -1), a2(-1, -1), b1(0, -1) | a2(-1, -2), next_))
+    after = F.when(a1(0, 0), triangle((0, 0), (1, 0), (0, 1), b1(1, 0) | a2(0, -1), b1(1, 1), past))
+    after = after.when(a2(0, 0), triangle((0, 0), (1, 1), (0, 1), b2(1, 1), b2(1, 2) | a1(0, 1), past))
+    front = known.select("frame_id", F.inline(F.array_compact(F.array(before, after))))
+    side = lambda k, p, q: F.when(F.col("alone")[k], F.struct(F.col(p).alias("p"), F.col(q).alias("q")))
+    edges = front.select("frame_id", F.inline(F.array_compact(F.array(*[side(k, p, q) for k, (p, q) in enumerate((("a", "b"), ("b", "c"), ("c", "a")))]))))
     at = lambda x, back: F.struct(F.col(f"{x}.v").alias("v"), F.col(f"{x}.u").alias("u"), F.lit(back).alias("back"))
     face = lambda *p: F.struct(*[at(*x).alias(n) for x, n in zip(p, "abc", strict=True)])
     sides = front.select("frame_id", F.inline(F.array(face(("a", 0), ("b", 0), ("c", 0)), face(("a", 1), ("c", 1), ("b", 1)))))
