@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, U64, HashIndex, byte_table, map_arrow, materialise, mix, pieces, prefix, span_hash, spans, utf8
+from .common import BASES, U64, HashIndex, Tables, byte_table, map_arrow, materialise, mix, pieces, prefix, span_hash, spans, utf8
 
 FREQUENT = 1 << 18
 #: Items are the commonest tokens one by one, and the rest by a hash of how they end; SIDE classes hold SIDE items each.
@@ -35,7 +35,8 @@ KINDS = 3
 FEWEST, MOST, STEP = 1 << 12, 1 << 16, 1 << 10
 #: Tokens seen so often have features of their own, the commonest first, as many as a quarter of the rows.
 COMMON = 3
-ROUNDS, RATE, DAMP, MOST_WEIGHT = 4, 0.6, 4.0, 12.0
+#: DAMP is for sums over all training texts.
+ROUNDS, RATE, DAMP, MOST_WEIGHT = 4, 0.6, 20.0, 12.0
 #: Tokens whose sums are made at once, and whose odds are; tokens of which like contexts are put together.
 STRETCH, BLOCK, BATCH = 1 << 17, 1 << 13, 1 << 21
 #: Key of the end of a text, and of what stands before its first token.
@@ -311,7 +312,7 @@ def _add_up(sums: DataFrame, *keys: str) -> DataFrame:
     return sums.repartition(*keys).mapInArrow(run, "part int, way int, x binary")
 
 
-def coded(docs: DataFrame, model: Model) -> DataFrame:
+def coded(docs: DataFrame, model: Model, tables: Tables) -> DataFrame:
     """The codes of each text's tokens, as 32-bit numbers."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -324,7 +325,7 @@ def coded(docs: DataFrame, model: Model) -> DataFrame:
 
         return run
 
-    return materialise(map_arrow(docs, [], ["tokens"], make, [("codes", pa.binary(), "binary")]), "codes")
+    return tables.keep(map_arrow(docs, [], ["tokens"], make, [("codes", pa.binary(), "binary")]), "codes")
 
 
 def summed(texts: DataFrame, shape: tuple[int, int], tasks: int, add) -> np.ndarray:
@@ -368,7 +369,8 @@ def train(docs: DataFrame, model: Model, n_tokens: int, rounds: int = ROUNDS) ->
     """Classes, then gradient steps, each over all texts of (tokens) with n_tokens tokens."""
     context = docs.sparkSession.sparkContext
     tasks = max(context.defaultParallelism, n_tokens // SHARE)
-    codes = coded(docs, model)
+    tables = Tables()
+    codes = coded(docs, model, tables)
 
     def over_all(shape, method):
         held = context.broadcast(model)
@@ -389,6 +391,7 @@ def train(docs: DataFrame, model: Model, n_tokens: int, rounds: int = ROUNDS) ->
         if turn:
             expected = over_all((SIDE, 4 * model.size), Model.expected)
         model.step(came - expected, seen)
+    tables.drop("codes")
     return model
 
 
@@ -400,7 +403,8 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("id"), F.col(held_out).alias("held_out"), F.col(text_col).alias("text"))
     # the keys are taken once: all passes start from them
-    d = materialise(map_arrow(d, ["id", "held_out"], ["text"], lambda: lambda columns: [packed(columns[0])], [("tokens", pa.binary(), "binary")]), "tokens")
+    tables = Tables()
+    d = tables.keep(map_arrow(d, ["id", "held_out"], ["text"], lambda: lambda columns: [packed(columns[0])], [("tokens", pa.binary(), "binary")]), "tokens")
     training = d.where(~F.col("held_out"))
     counts = materialise(count_tokens(training), "counts")
     ending = F.col("key").bitwiseAND(ENDINGS - 1).cast("int")
@@ -458,6 +462,7 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
 
     new = [("n_tokens", pa.int64(), "long"), ("n_known", pa.int64(), "long"), ("base", pa.float64(), "double"), ("full", pa.float64(), "double"), ("keys", pa.list_(pa.int64()), "array<long>"), ("tf", pa.list_(pa.int32()), "array<int>")]
     scored = materialise(map_arrow(d.withColumn("row", F.monotonically_increasing_id()), ["row", "id", "held_out"], ["tokens"], make, new), "scored")
+    tables.drop("tokens")
     rare = scored.select("row", F.explode(F.arrays_zip("keys", "tf")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.tf").alias("tf"))
     few = counts.where(F.col("c") < float(1 << cutoff))
     joined = rare.join(few, "key", "left").select("row", "tf", F.coalesce("c", F.lit(0)).alias("c"), ending.alias("h"))
