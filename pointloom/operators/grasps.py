@@ -267,17 +267,22 @@ def sweep_grasps(points: DataFrame, grasps: DataFrame, angles: int = 19, shifts:
     """
     g = grasps.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(angles - 1)))).withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(shifts - 1))))
     g = g.withColumn("sample", F.col("grasp_id")).withColumn("grasp_id", (F.col("sample") * angles + F.col("turn")) * shifts + F.col("shift"))
-    g = g.withColumn("angle", F.col("angle") + F.radians(-90.0 + F.col("turn") * (180.0 / max(1, angles - 1))))
+    turned = F.col("angle") + F.radians(-90.0 + F.col("turn") * (180.0 / max(1, angles - 1)))
+    g = g.withColumn("angle", turned)
     for c in "xyz":
         g = g.withColumn(f"c{c}", F.col(f"c{c}") + F.col(f"a{c}") * (F.col("shift") - (shifts - 1) / 2) * step)
     names = g.columns
     g = grasp_frame(g)  # the hand stands back by a bite along its approach
     g = g.select(*[(F.col(n) - gripper["init_bite"] * F.col(f"ap{n[1]}")).alias(n) if n in ("cx", "cy", "cz") else F.col(n) for n in names])
-    free = free_hands(points, g, gripper).where(F.col("free") & (F.col("n") >= max(1, least))).select("grasp_id")
-    middle = middle_of_group(g.join(free, "grasp_id", "left_semi"), ["sample", "turn"], ["shift"])
+    n = count_inside(points, grasp_frame(g), region_boxes(gripper), blocked, drop=True)
+    free = n.where("left = 0 and right = 0 and bottom = 0").where(F.col("open") >= max(1, least)).select("grasp_id")
+    # turn and shift come from the number of a swept grasp, so that not all of them are dealt out again
+    own = grasps.select(F.col("grasp_id").alias("sample"), *[f"a{c}" for c in "xyz"], "angle")
+    free = free.selectExpr("grasp_id", f"cast(pmod(grasp_id, {shifts}) as int) shift", f"(grasp_id - pmod(grasp_id, {shifts})) div {shifts} _at")
+    free = free.selectExpr("grasp_id", "shift", f"cast(pmod(_at, {angles}) as int) turn", f"cast((_at - pmod(_at, {angles})) div {angles} as {dict(own.dtypes)['sample']}) sample")
+    middle = middle_of_group(free, ["sample", "turn"], ["shift"])
     if steep is not None:
-        down = grasp_frame(middle.select("grasp_id", *[f"{k}{c}" for k in "ca" for c in "xyz"], "angle", "width")).where(F.col("apz") < -steep).select("grasp_id")
-        middle = middle.join(down, "grasp_id", "left_semi")
+        middle = grasp_frame(middle.join(own, "sample").withColumn("angle", turned)).where(F.col("apz") < -steep)
     return middle.select("sample", "turn", "shift", "grasp_id")
 
 
